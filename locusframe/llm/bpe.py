@@ -73,11 +73,15 @@ def _split(n: int):
                         if w not in number:
                             number[w] = len(number)
                     places.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+            every = np.concatenate(places)
+            # numbered anew by frequency: small numbers compress well
+            ranked = np.argsort(-np.bincount(every, minlength=len(number)), kind="stable")
+            rank = np.empty(len(ranked), np.uint32)
+            rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
             words = [w.encode() for w in number]
+            words = [words[i] for i in ranked.tolist()]
             bucket = _bucket_of(words, n)
             order = np.argsort(bucket, kind="stable")
-            slot = np.empty(len(order), np.uint32)  # words are numbered anew, bucket by bucket
-            slot[order] = np.arange(len(order), dtype=np.uint32)
             edges = np.searchsorted(bucket[order], np.arange(n + 1)).tolist()
             home = (task_id() << 20) + serial
             out = []
@@ -87,7 +91,7 @@ def _split(n: int):
                     out.append((pid, WORDS, home, _squeeze(np.fromiter(map(len, own), np.uint32, len(own)), np.frombuffer(b"".join(own), np.uint8))))
             yield packed_batch(out)
             known = np.array([i is not None for i in ids])
-            yield packed_batch([(_home_pid(home, n), PLACES, home, _squeeze(np.array([i or 0 for i in ids], np.int64), known, np.array([len(x) for x in places], np.uint32), slot[np.concatenate(places)]))])
+            yield packed_batch([(_home_pid(home, n), PLACES, home, _squeeze(np.array([i or 0 for i in ids], np.int64), known, np.array([len(x) for x in places], np.uint32), rank[every], bucket.astype(np.uint32)))])
 
     return run
 
@@ -137,11 +141,14 @@ def _reassemble(path: str):
             counts = np.concatenate([x[1] for x in got] or [np.zeros(0, np.uint32)]).astype(np.int64)
             flat = np.concatenate([x[2] for x in got] or [np.zeros(0, np.uint32)])
             del got
-            starts = np.cumsum(counts) - counts
-            doc_ids, known, sizes, slots = _expand(data)
+            doc_ids, known, sizes, ranks, bucket = _expand(data)
+            order = np.argsort(bucket, kind="stable")  # buckets' answers, one after another, are in this order of words
+            starts = np.empty(len(order), np.int64)
+            starts[order] = np.cumsum(counts) - counts
+            counts[order] = counts.copy()
             rows, held, at = [], 0, 0
             for doc_id, real, size in zip(doc_ids.tolist(), known.tolist(), sizes.tolist(), strict=True):
-                own = slots[at : at + size]
+                own = ranks[at : at + size]
                 at += size
                 lengths = counts[own]
                 total = int(lengths.sum())
