@@ -9,7 +9,9 @@ from ..operators.transforms import cigar_ops
 
 
 def _fields(spark: SparkSession, path: str, comment: str) -> DataFrame:
-    return spark.read.text(path).filter(~F.col("value").startswith(comment) & (F.length("value") > 0)).select(F.split("value", "\t").alias("f"))
+    """f: the fields of each line; null for comments, so that a filter pushed below this one can't parse them."""
+    real = ~F.col("value").startswith(comment) & (F.length("value") > 0)
+    return spark.read.text(path).filter(real).select(F.when(real, F.split("value", "\t")).alias("f"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
