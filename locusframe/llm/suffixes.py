@@ -93,8 +93,8 @@ class Suffixes:
         whole = ((self.at - self.first) * 64 + (self.last - self.first)).astype(np.uint64)
         for start in (self.first, self.last):
             for i in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-                whole = mixed(whole * U(0x9FB21C651E98DF25) + w[start + i])
-        return key, whole
+                whole = whole * U(0x9FB21C651E98DF25) + w[start + i]
+        return key, mixed(whole)
 
 
 def _pids(lead: np.ndarray, key: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = state > 0
     rid, key, whole, state = rid[keep], key[keep], whole[keep], state[keep]
     order = np.argsort(rid, kind="stable")
-    yield from _by_rid(rid[order], (key[order] ^ (whole[order] << U(1))), state[order])
+    yield from _by_rid(rid[order], _tag(key[order], whole[order]), state[order])
 
 
 def _by_rid(rid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -213,8 +213,8 @@ def _by_rid(rid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(d, pa.binary())], names=["rid", "data"])
 
 
-def _tags(s: Suffixes) -> np.ndarray:
-    key, whole = s.keys()
+def _tag(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """What a suffix and its strings are called in a document's entries."""
     return key ^ ((whole & U((1 << 48) - 1)) << U(1))
 
 
@@ -233,10 +233,11 @@ def _contexts(n: int):
                     tags, states = _merged(parts.as_py())
                     wanted = np.unique(tags[states == OPEN])
                     s = Suffixes(np.frombuffer(text.as_py(), np.uint8))
-                    own = _tags(s)
+                    keys, wholes = s.keys()
+                    own = _tag(keys, wholes)
                     at = np.flatnonzero(np.isin(own, wanted))
                     at = at[np.unique(own[at], return_index=True)[1]]
-                    key = s.keys()[0][at]
+                    key = keys[at]
                     raw = s.data.tobytes()
                     for k, tag, a, b, place in zip(key.tolist(), own[at].tolist(), s.first[at].tolist(), s.last[at].tolist(), s.at[at].tolist()):
                         out.append((k, tag, doc_id.as_py(), rid.as_py(), place - a, raw[a : b + LENGTH]))
@@ -291,7 +292,7 @@ def _cover(carried: tuple[str, ...]):
                     rows.append((doc_id.as_py(), len(raw), 0, raw)), spans.append([])
                     continue
                 s = Suffixes(np.frombuffer(raw, np.uint8))
-                own = _tags(s)
+                own = _tag(*s.keys())
                 hit = np.zeros(len(raw) + 1, np.int64)
                 tags, state = _merged(states.as_py())
                 at = np.flatnonzero(np.isin(own, tags[state == COVERED]))
