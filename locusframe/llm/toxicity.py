@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .blocks import LOWER, crc32_mod, groups, prepare, texts, word_hashes, written
 
 #: About so many labelled documents of each class, at most, are learned from; every CHECK-th of them calibrates.
-SAMPLE, CHECK = 4000, 4
+SAMPLE, CHECK = 2800, 4
 DISCOUNT = 0.75
 TOP = (1, 3)
 #: Bigrams seen less often in the sample are left to the backoff.
