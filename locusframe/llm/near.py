@@ -14,9 +14,13 @@ the order; frequent shingles, as a sample of texts shows, come last in it.
 3. Pairs whose sizes differ too much go.  Each node has a hashed bitmap; bits
    that only one of two bitmaps has bound the overlap from above, and most
    other pairs go.  For what is left the two sorted arrays are intersected.
-4. Groups are formed from the links.  Then the same is done for *all* pairs of
-   nodes that share a shingle but are in different groups, so no link between
-   groups is lost, while no pairs within a group of copies are listed.
+4. Groups are formed from the links.  In turns, as long as each at least halves
+   what is apart, a node of each group of a shingle is paired with one of the
+   shingle's largest group.  Then the same is done for *all* pairs of nodes that
+   share a shingle but are still in different groups, so no link between groups
+   is lost, while no pairs within a group of copies are listed.  A shingle at
+   places i and j of the order doesn't list a pair if min(n - i, m - j) is too
+   small an overlap: the first shingle that a linked pair shares lists it.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SIZE = 5
 BLOCK = 8 << 20
 #: Texts for the order of shingles: one in RATE, SAMPLE at least. FREQUENT: in so many of them. At most LISTED shingles are told to the tasks.
 RATE, SAMPLE, FREQUENT, LISTED = 64, 4000, 3, 500_000
+#: Places in a set are told in so many steps, rounded down.
+STEPS = 1000
 U = np.uint64
 ENTRIES, MEMBERS = 0, 1
 SENT = "pid int, kind int, data binary, doc_id long, n long, node long, bits binary"
@@ -107,7 +113,7 @@ def _send(n: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
         for block in groups(batches, BLOCK):
-            members, nodes, sizes, keys, owners, hot = [], {}, [], [], [], []
+            members, nodes, sizes, keys, owners, hot, places = [], {}, [], [], [], [], []
             for batch in block:
                 for doc_id, own in zip(batch.column(0).to_pylist(), sets_of(*texts(batch)), strict=True):
                     if not len(own) or doc_id is None:
@@ -120,22 +126,23 @@ def _send(n: int, frequent):
                         sizes.append(len(own))
                         first, late = first_shingles(own, listed)
                         keys.append(first), hot.append(late)
+                        places.append((np.arange(len(first)) * STEPS // len(own)).astype(np.uint8))
                         owners.append(np.full(len(first), nodes[node], np.uint32))
             rows = []
             if keys:
-                key, owner, late = np.concatenate(keys), np.concatenate(owners), np.concatenate(hot)
+                key, owner, late, place = (np.concatenate(x) for x in (keys, owners, hot, places))
                 ids, size = np.array(list(nodes), np.int64), np.array(sizes, np.uint32)
                 spread = np.where(late, mixed(key + mixed(ids.view(np.uint64))[owner]), key)
                 pid = ((spread >> U(32)) * U(n)) >> U(32)
                 order = np.lexsort((key, pid))
-                key, owner, late, pid = key[order], owner[order], late[order], pid[order]
+                key, owner, late, place, pid = key[order], owner[order], late[order], place[order], pid[order]
                 edges = np.searchsorted(pid, np.arange(n + 1)).tolist()
                 for k in range(n):
                     own = slice(edges[k], edges[k + 1])
                     if own.stop > own.start:
                         used, local = np.unique(owner[own], return_inverse=True)
                         local = local.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                        rows.append((k, ENTRIES, zstandard.ZstdCompressor(1).compress(pack(np.diff(key[own], prepend=U(0)), local, late[own], ids[used], size[used])), None, None, None, None))
+                        rows.append((k, ENTRIES, zstandard.ZstdCompressor(1).compress(pack(np.diff(key[own], prepend=U(0)), local, late[own], place[own], ids[used], size[used])), None, None, None, None))
             spot = int(mixed(np.array([len(members), (members[0][0] or 0) & (2**62 - 1)], np.uint64))[1] % U(n))
             rows += [(spot, MEMBERS, None, *m) for m in members]
             for at in range(0, len(rows), 2000):
@@ -167,30 +174,36 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nulls = pa.nulls(member.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([member.column(1), *member.columns[3:7], nulls, nulls], names=[x.split()[0] for x in FOUND.split(", ")])
         for data in batch.filter(pc.equal(batch.column(1), ENTRIES)).column(2).to_pylist():
-            steps, local, late, ids, sizes = unpack(zstandard.ZstdDecompressor().decompress(data))
-            parts.append((np.cumsum(steps, dtype=np.uint64).view(np.int64), ids[local], sizes[local], late.astype(bool)))
+            steps, local, late, place, ids, sizes = unpack(zstandard.ZstdDecompressor().decompress(data))
+            parts.append((np.cumsum(steps, dtype=np.uint64).view(np.int64), ids[local], sizes[local], late.astype(bool), place))
     if not parts:
         return
-    key, node, size, late = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, node, size, late, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     order = np.lexsort((node, key))
-    key, node, size, late = key[order], node[order], size[order], late[order]
+    key, node, size, late, place = key[order], node[order], size[order], late[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, size, late = key[new], node[new], size[new].astype(np.int64), late[new]
+    key, node, size, late, place = key[new], node[new], size[new].astype(np.int64), late[new], place[new]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     counts = np.diff(starts, append=len(key))
     # shingles with the same nodes tell the same: one of them is kept, unless other buckets have nodes of it too
     tag = np.add.reduceat(mixed(node.view(np.uint64) ^ U(0x9E3779B97F4A7C15)), starts)
     once = np.zeros(len(starts), bool)
-    once[np.unique(tag, return_index=True)[1]] = True
+    _, one, alike = np.unique(tag, return_index=True, return_inverse=True)
+    once[one] = True
+    # what is kept has each node's first place in any of them
+    alike = np.repeat(alike, counts)
+    order = np.lexsort((node, alike))
+    runs = np.flatnonzero(np.concatenate([[True], (alike[order][1:] != alike[order][:-1]) | (node[order][1:] != node[order][:-1])]))
+    place[order] = np.repeat(np.minimum.reduceat(place[order], runs), np.diff(runs, append=len(order)))
     kept = np.repeat(((counts > 1) & once) | late[starts], counts)
-    key, node, size, late = key[kept], node[kept], size[kept], late[kept]
+    key, node, size, late, place = key[kept], node[kept], size[kept], late[kept], place[kept]
     if not len(key):
         return
     for at in range(0, len(key), 100_000):
         own = slice(at, at + 100_000)
-        yield _found(SHARED, len(key[own]), key=key[own], node=node[own], n=size[own])
+        yield _found(SHARED, len(key[own]), key=key[own], node=node[own], n=size[own], other=place[own].astype(np.int64) * size[own] // STEPS)
     tile = band(size)
     order = np.lexsort((node, tile, key))
     key, node, tile, late = key[order], node[order], tile[order], late[order]
@@ -277,7 +290,7 @@ def join(docs: DataFrame) -> DataFrame:
     listed = spark.sparkContext.broadcast(frequent_shingles(rows))
     found = written(exchange(rows.mapInArrow(_send(n, listed), SENT), n).mapInArrow(_tile, FOUND), "tiles")
     members = found.filter(F.col("kind") == MEMBERS).select("doc_id", "n", "node", "bits")
-    shared = found.filter(F.col("kind") == SHARED).select("key", "node", "n")
+    shared = found.filter(F.col("kind") == SHARED).select("key", "node", "n", F.col("other").alias("place"))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("bits").alias("bits"))
     nodes = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "nodes")
     # texts of nodes that share a shingle with another: a row of the smallest doc_id with that set
@@ -287,23 +300,55 @@ def join(docs: DataFrame) -> DataFrame:
     least = heads.groupBy("key", "tile").agg(F.min("node").alias("first"))
     far = heads.join(least, ["key", "tile"]).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = found.filter(F.col("kind") == PAIRS).select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links = written(verified(pairs, nodes, sources), "links")
-    group = components(links)
+    done = written(pairs.distinct(), "done")
+    group = components(written(verified(done, nodes, sources), "links"))
+    placed, apart = _placed(shared, group)
+    turn = 0
+    while apart:
+        tested = written(_to_hubs(placed, turn).join(done, ["a", "b"], "left_anti"), "hubs")
+        done = done.unionByName(tested)
+        group = components(_edges(group).unionByName(written(verified(tested, nodes, sources), "links")))
+        before, turn = apart, turn + 1
+        placed, apart = _placed(shared, group)
+        if 2 * apart > before:
+            break
     # all other pairs that share a shingle and are in different groups
-    placed = shared.join(group, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = placed.join(open_keys, "key", "left_semi")
-    right = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = left.join(right, "key").filter("component < component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    done = pairs.distinct()
+    right = placed.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("component").alias("component2"))
+    across = placed.join(right, "key").filter("component < component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n and 7 * least(n - place, n2 - place2) >= 3 * (n + n2)").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     rest = verified(across.join(done, ["a", "b"], "left_anti"), nodes, sources)
-    group = components(links.unionByName(rest))
+    group = components(_edges(group).unionByName(rest))
     named = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(best, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _edges(group: DataFrame) -> DataFrame:
+    return group.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _placed(shared: DataFrame, group: DataFrame) -> tuple[DataFrame, int]:
+    """Nodes by shingle, with their groups, of shingles that more than one group has; and how many (shingle, group) there are."""
+    placed = shared.join(group, "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    placed = written(placed.join(open_keys, "key", "left_semi"), "open")
+    return placed, placed.select("key", "component").distinct().count()
+
+
+def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): within a shingle and band of sizes, a node of the largest group with one of each other group.
+
+    Which nodes depends on the shingle and the turn, so a group meets many
+    hubs in a turn; there are at most as many pairs as (shingle, band, group).
+    """
+    chance = F.xxhash64("key", "node", F.lit(turn))
+    tile = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
+    one = placed.withColumn("tile", tile).groupBy("key", "tile", "component").agg(F.min_by("node", chance).alias("node"), F.count("*").alias("size"))
+    one = written(one, "one")
+    hub = one.groupBy("key", "tile").agg(F.max_by("node", F.struct("size", "component")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", "tile", "hub")
+    return one.join(hub, ["key", "tile"]).filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts whose set is the node's: rows of one doc_id may have different texts."""
     for batch in batches:
