@@ -41,6 +41,8 @@ SIZE = 5
 BLOCK = 8 << 20
 #: Texts for the order of shingles: one in RATE, SAMPLE at least. FREQUENT: in so many of them. At most LISTED shingles are told to the tasks.
 RATE, SAMPLE, FREQUENT, LISTED = 64, 4000, 3, 500_000
+#: So many members of a block go to one bucket, which the block chooses.
+DEALT = 64
 #: Places in a set are told in so many steps, rounded down.
 STEPS = 1000
 U = np.uint64
@@ -143,8 +145,8 @@ def _send(n: int, frequent):
                         used, local = np.unique(owner[own], return_inverse=True)
                         local = local.astype(np.uint16 if len(used) < 65536 else np.uint32)
                         rows.append((k, ENTRIES, zstandard.ZstdCompressor(1).compress(pack(np.diff(key[own], prepend=U(0)), local, late[own], place[own], ids[used], size[used])), None, None, None, None))
-            spot = int(mixed(np.array([len(members), (members[0][0] or 0) & (2**62 - 1)], np.uint64))[1] % U(n))
-            rows += [(spot, MEMBERS, None, *m) for m in members]
+            spots = mixed(np.arange(0, len(members), DEALT).astype(np.uint64) + U((members[0][0] or 0) & (2**62 - 1))) % U(n)
+            rows += [(int(spots[i // DEALT]), MEMBERS, None, *m) for i, m in enumerate(members)]
             for at in range(0, len(rows), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 2000], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["pid", "kind", "data", "doc_id", "n", "node", "bits"])
 
