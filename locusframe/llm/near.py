@@ -340,10 +340,13 @@ def _placed(shared: DataFrame, group: DataFrame) -> tuple[DataFrame, int]:
 def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): within a shingle and band of sizes, a node of the largest group with one of each other group.
 
-    Which nodes depends on the shingle and the turn, so a group meets many
-    hubs in a turn; there are at most as many pairs as (shingle, band, group).
+    In the first turn they are nodes that have the shingle early: few of their
+    shingles are rarer, so they resemble more of the others.  Later they depend
+    on the shingle and the turn, so a group meets many hubs.  There are at most
+    as many pairs as (shingle, band, group).
     """
-    chance = F.xxhash64("key", "node", F.lit(turn))
+    own = F.floor(F.lit(STEPS) * F.col("place") / F.col("n")) if turn == 0 else F.lit(0)
+    chance = F.struct(own, F.xxhash64("key", "node", F.lit(turn)))
     tile = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
     one = placed.withColumn("tile", tile).groupBy("key", "tile", "component").agg(F.min_by("node", chance).alias("node"), F.count("*").alias("size"))
     one = written(one, "one")
