@@ -170,6 +170,26 @@ def test_near_copies_of_many_sizes(spark):
     assert {found[i] for i in range(40)} == {0} and all(found[100 + i] == 100 + i for i in range(20))
 
 
+def test_near_copies_at_the_threshold(spark):
+    """A large group of texts that differ by about as much as links allow, in random places: some link, some don't."""
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 5, 6))):
+            words[at] = f"x{i}y{at}" if rng.random() < 0.7 else f"z{at}"
+        texts.append(" ".join(words[: rng.randint(95, 120)]))
+    sets, up = [shingles(t) for t in texts], list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if up[i] != up[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    assert 1 < len(set(up)) < 150
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near.join(d).collect()} == dict(enumerate(up))
+
+
 def test_bound_holds():
     rng = np.random.default_rng(5)
     for n, m in ((5, 9), (300, 340), (900, 1100), (30000, 35000)):
