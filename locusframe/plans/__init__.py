@@ -1,0 +1,5 @@
+"""Named queries: importing the package registers all of them."""
+
+from . import catalog, sites
+
+__all__ = ["catalog", "sites"]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from locusframe.functions import scalars as S
-from locusframe.operators import filters, intervals, kernels, transforms, windows
+from locusframe.operators import filters, intervals, kernels, sites, transforms, windows
 from locusframe.sources import text
 
 
@@ -78,3 +78,49 @@ def test_bed_and_vcf(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("##f\n#CHROM\nchr1\t7\t.\tAC\tA,T\t50.5\tPASS\tDP=3;DB\n")
     v = text.read_vcf(spark, str(tmp_path / "a.vcf")).first()
     assert (v.start, v.end, v.alts, v.qual, v.filters, v.info) == (7, 8, ["A", "T"], 50.5, [], {"DP": "3", "DB": None})
+
+
+def test_cigars(spark):
+    c = spark.createDataFrame([("5M10N2D20N3M",), ("2S1N1D1N1D1N3M",), ("4M",), (None,)], "c string")
+    r = c.select(transforms.collapse_ndn(F.col("c")).alias("n"), transforms.cigar_lengths(F.col("c")).alias("l"), transforms.invert_cigar(F.col("c")).alias("i")).collect()
+    assert [x.n for x in r] == ["5M32N3M", "2S3N1D1N3M", "4M", None]
+    assert tuple(r[1].l) == (5, 8, 2) and r[0].i == "3M20N2D10N5M"
+
+
+def test_clipping_and_masks(spark):
+    d = spark.createDataFrame([("ACGTAAGG", [1, 2, 3, 4, 5, 6, 7, 8]), ("AC", [1, 2]), ("", [])], "b string, q array<int>")
+    r = d.select(transforms.clip_to(F.col("b"), F.col("q"), F.lit(2), F.lit(3)).alias("c"), transforms.trim_adapter(F.col("b"), ["AAGGTT", "CCCC"], 0, 3).alias("t"), transforms.mask_simple_repeats(F.col("b"), 4, 4, 4).alias("m")).collect()
+    assert [tuple(x.c) for x in r] == [("CG", [2, 3]), ("C", [2]), ("", [])]
+    assert [x.t for x in r] == ["ACGT", "AC", ""]
+    assert [x.m for x in r] == ["ACGTAAGG", "AC", ""]
+    tie = spark.createDataFrame([([20, 15, 30],), ([5, 5, 40],)], "q array<int>").select(transforms.clip_ends(F.col("q"), 15).alias("c")).collect()
+    assert [tuple(x.c) for x in tie] == [(1, 3), (3, 3)]
+
+
+def test_empirical_quality_against_enumeration(spark):
+    def brute(errors, n, reported):
+        def score(q):
+            shift = abs(int(q - reported))
+            if q == 0 or shift >= 20:
+                return -1e300 * ((q == 0) + (shift >= 20))
+            p = 10 ** (-q / 10)
+            return math.log10(0.9 * math.exp(-shift * shift / 0.5)) + (errors + 1) * math.log10(p) + (n + 1 - errors) * math.log10(1 - p)
+
+        return max(range(61), key=lambda q: (score(q), -q))
+
+    cases = [(0, 0, 30.0), (5, 100, 30.0), (1000, 1_000_000, 20.5), (3, 3, 10.0), (0, 10_000_000, 40.0), (1, 10, 93.0)]
+    got = spark.createDataFrame(cases, "e long, n long, r double").select(sites.empirical_quality(F.col("e"), F.col("n"), F.col("r")).alias("q")).collect()
+    assert [int(x.q) for x in got] == [brute(*c) for c in cases]
+
+
+def test_excess_het_against_enumeration(spark):
+    def brute(rr, ra, aa):
+        n, rare = rr + ra + aa, min(2 * rr + ra, 2 * aa + ra)
+        if rare <= 1:
+            return -10 * math.log10(0.5)
+        w = {h: math.exp(h * math.log(2) + math.lgamma(n + 1) - math.lgamma(h + 1) - math.lgamma((rare - h) / 2 + 1) - math.lgamma(n - h - (rare - h) / 2 + 1)) for h in range(rare % 2, rare + 1, 2)}
+        return -10 * math.log10((sum(x for h, x in w.items() if h > ra) + w[ra] / 2) / sum(w.values()))
+
+    cases = [(10, 0, 0), (5, 1, 0), (10, 5, 2), (0, 12, 0), (3, 9, 3), (40, 3, 30)]
+    got = spark.createDataFrame(cases, "a long, b long, c long").select(sites.excess_het(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
+    assert np.allclose([x.x for x in got], [brute(*c) for c in cases], atol=1e-6)
