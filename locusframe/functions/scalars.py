@@ -122,12 +122,23 @@ def strand_odds_ratio(ref_fwd: Column, ref_rev: Column, alt_fwd: Column, alt_rev
 
 
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of a 2 x 2 table: the sum of the probabilities that are no greater than the observed one's."""
-    row, col, n = a + b, a + c, a + b + c + d
-    log_p = lambda x: log10_binomial(row, x) + log10_binomial(n - row, col - x) - log10_binomial(n, col)
+    """Two-sided p of a 2 x 2 table: the sum of the probabilities that are no greater than the observed one's.
+
+    Weights follow from one another, so the work grows with the range of the first cell.
+    """
+    row, col, n = (x.cast("long") for x in (a + b, a + c, a + b + c + d))
     low, high = F.greatest(F.lit(0).cast("long"), col - (n - row)), F.least(row, col)
-    every = F.transform(F.sequence(low, high), log_p)
-    return F.least(F.lit(1.0), F.aggregate(F.filter(every, lambda x: x <= log_p(a) + 1e-7), F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x)))
+    following = lambda lw, x: F.when(x < high, lw + F.log((row - x) * (col - x) / ((x + 1.0) * (n - row - col + x + 1)))).otherwise(0.0)
+    own = F.aggregate(F.when(a > low, F.sequence(low, a.cast("long") - 1)).otherwise(F.array().cast("array<long>")), F.lit(0.0), following)
+
+    def add(s: Column, x: Column) -> Column:
+        w = F.exp(s["lw"] - F.greatest(s["top"], s["lw"]))
+        scale = F.exp(s["top"] - F.greatest(s["top"], s["lw"]))
+        part = F.when(s["lw"] <= s["own"] + 1e-7, w).otherwise(0.0)
+        return F.struct(following(s["lw"], x).alias("lw"), F.greatest(s["top"], s["lw"]).alias("top"), (s["all"] * scale + w).alias("all"), (s["part"] * scale + part).alias("part"), s["own"].alias("own"))
+
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in ("lw", "top", "all", "part")], own.alias("own"))
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), zero, add, lambda s: s["part"] / s["all"]))
 
 
 def inbreeding(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
