@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PIECE, buckets, exchange, groups, mixed, pack, planes, prepare, texts, unpack, unplanes, written
+from .blocks import PIECE, buckets, exchange, groups, mixed, pack, prepare, texts, unpack, written
 
 LENGTH, GRAM = 50, 16
 BLOCK = 12 << 20
@@ -37,6 +37,10 @@ BLOCK = 12 << 20
 SAMPLE, EACH = 2000, 32
 U = np.uint64
 WINDOW = LENGTH - GRAM + 1
+#: Starts of 8-byte words that hold all bytes of the first string, and of the last one from byte 16 on: it starts at most WINDOW - 1 later.
+IN_FIRST, IN_LAST = np.array([0, 8, 16, 24, 32, 40, LENGTH - 8]), np.array([16, 24, 32, 40, LENGTH - 8])
+#: A value for each of these words, so that equal words count differently in other places.
+SALT = np.random.default_rng(50).integers(1, 2**63, (len(IN_FIRST) + len(IN_LAST), 1), dtype=np.uint64)
 #: Low bits of a packed hash that hold a position within a piece.
 PLACE = 27
 
@@ -91,9 +95,10 @@ class Suffixes:
         w = loads(self.data)
         key = mixed(w[self.at] * U(0xC2B2AE3D27D4EB4F) + mixed(w[self.at + 8]))
         whole = ((self.at - self.first) * 64 + (self.last - self.first)).astype(np.uint64)
-        for start in (self.first, self.last):
-            for i in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-                whole = whole * U(0x9FB21C651E98DF25) + w[start + i]
+        # each word is mixed before they are added: a sum of plain words lets their high bytes cancel
+        for low in range(0, len(whole), 1 << 15):
+            own = slice(low, low + (1 << 15))
+            whole[own] += mixed(w[np.concatenate([self.first[own] + IN_FIRST[:, None], self.last[own] + IN_LAST[:, None]])] + SALT).sum(0, dtype=np.uint64)
         return key, mixed(whole)
 
 
@@ -134,7 +139,6 @@ def _send(splitters):
             if not docs:
                 continue
             key, whole, pid, owner = (np.concatenate(x) for x in (keys, wholes, pids, owners))
-            whole &= U((1 << 48) - 1)
             del keys, wholes, pids, owners
             rank = np.array(docs, np.int64)[owner]
             order = np.lexsort((rank, whole, key, pid))
@@ -151,7 +155,7 @@ def _send(splitters):
                 if own.stop > own.start:
                     used, local = np.unique(owner[own], return_inverse=True)
                     local = local.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                    out.append((k, _squeeze(pack(np.diff(key[own], prepend=U(0)), np.frombuffer(planes(whole[own])[2 * (own.stop - own.start) :], np.uint8), local, docs[used], rids[used]))))
+                    out.append((k, _squeeze(pack(np.diff(key[own], prepend=U(0)), whole[own], local, docs[used], rids[used]))))
             for at in range(0, len(out), 64):
                 pid_, data_ = zip(*out[at : at + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pid_, pa.int32()), pa.array(data_, pa.binary())], names=["pid", "data"])
@@ -166,9 +170,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = []
     for batch in batches:
         for data in batch.column(1).to_pylist():
-            steps, low, local, docs, rids = unpack(_expand(data))
-            n = len(steps)
-            whole = unplanes(np.concatenate([np.zeros(2 * n, np.uint8), low]).tobytes(), np.uint64)
+            steps, whole, local, docs, rids = unpack(_expand(data))
             parts.append((np.cumsum(steps, dtype=np.uint64), whole, docs[local], rids[local]))
     if not parts:
         return
@@ -215,7 +217,7 @@ def _by_rid(rid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _tag(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """What a suffix and its strings are called in a document's entries."""
-    return key ^ ((whole & U((1 << 48) - 1)) << U(1))
+    return key ^ (whole << U(1))
 
 
 def _merged(parts: list[bytes]) -> list[np.ndarray]:

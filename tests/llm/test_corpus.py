@@ -132,6 +132,35 @@ def test_suffix_dedup(docs, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_tells_apart_high_bytes_of_words(spark):
+    base = bytearray(b"stock item 0000 of the northern store, third shelf")
+    assert len(base) == suffixes.LENGTH
+    made = []
+    for a in range(65, 91):
+        for b in range(65, 91):
+            base[7], base[15] = a, b
+            made.append(bytes(base))
+    keys = [suffixes.Suffixes(np.frombuffer(x, np.uint8)).keys() for x in made]
+    assert len({(int(key[0]), int(whole[0])) for key, whole in keys}) == len(made)
+    rows = [(i, x.decode()) for i, x in enumerate(made)] + [(len(made), made[3].decode())]
+    found = {r.doc_id: r.n_removed for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: suffixes.LENGTH if i == len(made) else 0 for i in range(len(rows))}
+
+
+def test_suffix_hash_sees_each_byte_of_all_strings():
+    s = suffixes.Suffixes(np.frombuffer(prose(200).encode(), np.uint8))
+    for at, first, last in zip(s.at.tolist(), s.first.tolist(), s.last.tolist()):
+        whole = set()
+        for i in [None, *range(first, last + suffixes.LENGTH)]:
+            data = s.data.copy()
+            if i is not None:
+                data[i] ^= 1
+            other = suffixes.Suffixes(data)
+            other.at, other.first, other.last = np.array([at]), np.array([first]), np.array([last])
+            whole.add(int(other.keys()[1][0]))
+        assert len(whole) == last - first + suffixes.LENGTH + 1
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
