@@ -1,11 +1,19 @@
-"""Licence scan: texts and their lines against templates, by the Dice coefficient of word bigrams.
+"""Licence scan: texts, their lines and runs of words against templates, by the Dice coefficient of word bigrams.
 
 Text is normalised to lower-case ASCII letters and digits, anything else being
-a gap.  A document's segments are its lines and the document as a whole.  With
+a gap.  A document's segments are its lines, the document as a whole, and for
+each template all runs of as many words as it has, wherever lines end.  With
 A and B the sets of bigrams of a segment and a template, Dice is
 2 |A and B| / (|A| + |B|).  It reaches a threshold t only if the sizes differ
 by a factor of at most (2 - t) / t: templates outside these bounds are never
-compared, nor are segments too few of whose bigrams occur in any template.
+compared, nor are segments too few of whose bigrams occur in any template.  A
+run of words is looked at only where so many of the template's bigrams lie
+within its length that it can reach t.
+
+Runs that match overlap, so the best is taken first (ties: first template,
+first place), and a run goes if half of its bigrams lie in runs taken before.
+Of those taken, a run goes if it lies within a matching line or text of the
+same template, or of at least its coefficient.
 """
 
 from __future__ import annotations
@@ -42,15 +50,23 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Whole licences, which are looked for as runs of words and as whole texts, in addition to the templates.
+_MIT = TEMPLATES["MIT-permission"] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+LICENCES = {"BSD-2-Clause": _BSD + _BSD_END, "BSD-3-Clause": _BSD + _BSD_THIRD + _BSD_END, "MIT": _MIT}
+#: Runs of words that are compared at once.
+RUNS = 2048
 
 
 def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of bigrams, their bounds by text, and where each bigram starts."""
-    begin, _, hashes, bounds = word_hashes(data, offsets, GAP, LOWER)
+    """Hashes of bigrams, their bounds by text, and where each bigram's words start and its last one ends."""
+    begin, size, hashes, bounds = word_hashes(data, offsets, GAP, LOWER)
     g, to = windows(hashes, bounds, 2)
     counts = np.diff(to)
     first = np.repeat(bounds[:-1], counts) + np.arange(to[-1]) - np.repeat(to[:-1], counts)
-    return g, to, np.stack([begin[first], begin[first + 1]]) if len(first) else np.zeros((2, 0), np.int64)
+    return g, to, np.stack([begin[first], begin[first + 1], begin[first + 1] + size[first + 1]]) if len(first) else np.zeros((3, 0), np.int64)
 
 
 def compiled(templates: dict[str, str]) -> list[tuple[str, np.ndarray]]:
@@ -96,18 +112,73 @@ def best(a: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold: floa
     return top
 
 
+def lengths(templates: dict[str, str]) -> list[int]:
+    """Bigrams of each template, repeated ones too, in the order of ``compiled``."""
+    raw = [np.frombuffer(templates[name].encode(), np.uint8) for name in sorted(templates)]
+    return [len(_bigrams(x, np.array([0, len(x)]))[0]) for x in raw]
+
+
+def _isin(g: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+
+
+def runs(g: np.ndarray, doc: np.ndarray, templates: list[tuple[str, np.ndarray]], sizes: list[int], threshold: float) -> list[tuple[int, float, str, int, int]]:
+    """Runs of bigrams that match a template of their length: text, coefficient, template, first bigram, bigrams. doc: each bigram's text."""
+    share, out = threshold / (2 - threshold), []
+    if not len(g):
+        return out
+    hits = np.flatnonzero(_isin(g, np.unique(np.concatenate([b for _, b in templates]))))
+    for (name, b), size in zip(templates, sizes, strict=True):
+        if not len(b):
+            continue
+        # a set of bigrams that reaches the threshold shares this many of them
+        need = max(1, int(np.ceil(share * len(b) - 1e-9)))
+        own = hits[_isin(g[hits], b)]
+        first, last = own[: len(own) - need + 1], own[need - 1 :]
+        close = (last - first < size) & (doc[first] == doc[last]) if len(own) >= need else np.zeros(0, bool)
+        if not close.any():
+            continue
+        low, high = np.maximum(last[: len(close)][close] - size + 1, 0), first[: len(close)][close]
+        start = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(low.tolist(), high.tolist(), strict=True)]))
+        start = start[start + size <= len(g)]
+        start = start[doc[start] == doc[start + size - 1]]
+        for at in range(0, len(start), RUNS):
+            some = start[at : at + RUNS]
+            held = np.sort(g[some[:, None] + np.arange(size)], 1)
+            new = np.ones(held.shape, bool)
+            new[:, 1:] = held[:, 1:] != held[:, :-1]
+            dice = 2 * (new & _isin(held, b)).sum(1) / (new.sum(1) + len(b))
+            for i in np.flatnonzero(dice >= threshold).tolist():
+                out.append((int(doc[some[i]]), float(dice[i]), name, int(some[i]), size))
+    return out
+
+
+def taken(found: list[tuple[int, float, str, int, int]], n: int) -> list[tuple[int, float, str, int, int]]:
+    """Of overlapping runs the best. n: bigrams in all."""
+    covered, out = np.zeros(n, bool), []
+    for x in sorted(found, key=lambda x: (-x[1], x[2], x[3])):
+        own = covered[x[3] : x[3] + x[4]]
+        if 2 * int(own.sum()) < x[4]:
+            own[:] = True
+            out.append(x)
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, dice, n_found, found for every row of docs.
 
     docs: doc_id and text; more columns are ignored.  found: for each matching
-    segment its first byte and length (-1: the whole text), the template and
-    the coefficient.  licence and dice: the best of them (ties: first name),
+    line, text or run of words its first byte and length (-1: the whole text),
+    the template and the coefficient.  licence and dice: the best of them (ties: first name),
     null if there is none, as for null and empty texts and those of fewer than
     two words.  A null doc_id stays null; repeated rows each give a row.
     """
     prepare(docs.sparkSession)
     known = compiled(templates or TEMPLATES)
-    vocabulary = np.unique(np.concatenate([b for _, b in known]))
+    entire = [] if templates else compiled(LICENCES)
+    all_ = templates or TEMPLATES | LICENCES
+    windowed, sizes = compiled(all_), lengths(all_)
+    vocabulary = np.unique(np.concatenate([b for _, b in windowed]))
     share = threshold / (2 - threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +189,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(to))
             found: dict[int, list[dict]] = {}
             for i, a in candidates(doc, g, vocabulary, share):
-                if top := best(a, known, threshold):
+                if top := best(a, known, threshold) or best(a, entire, threshold):
                     found.setdefault(i, []).append({"start": 0, "length": -1, "licence": top[1], "dice": top[0]})
             breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
             line, other = np.searchsorted(breaks, starts[0]), np.searchsorted(breaks, starts[1])
@@ -132,7 +203,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                     low = max(int(offsets[d]), int(breaks[n - 1]) + 1 if n else 0)
                     high = min(int(offsets[d + 1]), int(breaks[n]) if n < len(breaks) else int(offsets[-1]))
                     found.setdefault(d, []).append({"start": low - int(offsets[d]), "length": high - low, "licence": top[1], "dice": top[0]})
+            for d, dice, name, s, size in sorted(taken(runs(g, doc, windowed, sizes, threshold), len(g)), key=lambda x: x[3]):
+                low, high = int(starts[0][s] - offsets[d]), int(starts[2][s + size - 1] - offsets[d])
+                others = [(x["start"], x["start"] + x["length"] if x["length"] >= 0 else int(offsets[d + 1] - offsets[d])) for x in found.get(d, []) if "run" not in x and (x["licence"] == name or x["dice"] >= dice)]
+                if not any(a <= low and high <= b for a, b in others):
+                    found.setdefault(d, []).append({"start": low, "length": high - low, "licence": name, "dice": dice, "run": True})
             rows = [found.get(i, []) for i in range(len(offsets) - 1)]
+            for x in (x for r in rows for x in r):
+                x.pop("run", None)
             tops = [min(((-x["dice"], x["licence"]) for x in r), default=(None, None)) for r in rows]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("licence", pa.string()), ("dice", pa.float64())]))
             yield pa.RecordBatch.from_arrays([whole.column(0), pa.array([x[1] for x in tops], pa.string()), pa.array([None if x[0] is None else -x[0] for x in tops], pa.float64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind)], names=["doc_id", "licence", "dice", "n_found", "found"])

@@ -1,7 +1,10 @@
 """The corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import itertools
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -301,6 +304,62 @@ def test_licences(docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def words_of(text):
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def test_licences_over_several_lines_or_within_one(spark):
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 60))
+    header, inline = licences.TEMPLATES["Apache-2.0-header"], "This project is open source and is Licensed under the Apache License, Version 2.0. Contributions are welcome."
+    cases = {
+        0: ("MIT", wrap("MIT License Copyright (c) 2020 A. Person " + licences.LICENCES["MIT"])),
+        1: ("Apache-2.0", inline),
+        2: ("Apache-2.0-header", prose(300) + "\n# " + wrap(header).replace("\n", "\n# ") + "\n" + prose(300)),
+        3: ("BSD-3-Clause", prose(200) + " " + wrap(licences.LICENCES["BSD-3-Clause"].replace("copyright holder nor", "author nor")) + " " + prose(200)),
+        4: ("MIT-permission", prose(100) + "\n" + wrap(licences.TEMPLATES["MIT-permission"]) + "\n" + prose(100)),
+        5: (None, prose(900)),
+    }
+    found = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in cases.items()], "doc_id long, text string")).collect()}
+    for i, (name, text) in cases.items():
+        names = {x.licence for x in found[i].found}
+        assert name in names if name else not names, (i, names)
+    (x,) = found[1].found
+    assert inline.encode()[x.start : x.start + x.length] == b"Licensed under the Apache License, Version 2.0" and x.dice == 1
+
+
+def test_licence_runs_against_brute_force(spark):
+    rng = random.Random(3)
+    templates = {"a": "one two three four five six", "b": "one two three four five seven", "c": "six one six one six two", "d": "two three"}
+    sets = {k: set(itertools.pairwise(words_of(t))) for k, t in templates.items()}
+    made = [" ".join(rng.choice([rng.choice(list(templates.values())), *"one two three six x y z".split()]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    rows, want, line = [], {}, {}
+    for i, text in enumerate(made):
+        ws = words_of(text)
+        text = "".join(w + rng.choice([" ", "\n", ", "]) for w in ws)
+        rows.append((i, text))
+
+        def match(words, names=templates):
+            own = set(itertools.pairwise(words))
+            return [(2 * len(own & sets[k]) / (len(own) + len(sets[k])), k) for k in names if own and 2 * len(own & sets[k]) / (len(own) + len(sets[k])) >= 0.8]
+
+        places = [n for n, a in enumerate(text.split("\n")) for _ in words_of(a)]
+        segments = [(d, k, n) for n, a in [(None, text), *enumerate(text.split("\n"))] for d, k in sorted(match(words_of(a)), key=lambda x: (-x[0], x[1]))[:1]]
+        windows = [(-d, k, j, len(words_of(t)) - 1) for k, t in templates.items() for j in range(len(ws) - len(words_of(t)) + 1) for d, _ in match(ws[j : j + len(words_of(t))], [k])]
+        used, chosen = set(), []
+        for d, k, j, n in sorted(windows):
+            if 2 * len(used & {*range(j, j + n)}) < n:
+                used |= {*range(j, j + n)}
+                within = [(e, m) for e, m, at in segments if at is None or {at} == set(places[j : j + n + 1])]
+                if not any(m == k or e >= -d for e, m in within):
+                    chosen.append((-d, k))
+        tops = [(-d, k) for d, k, _ in segments] + [(-d, k) for d, k in chosen]
+        want[i], line[i] = (*min(tops, default=(None, None)), len(tops)), len(segments)
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), templates).collect()}
+    for i, text in rows:
+        assert (None if got[i].dice is None else -got[i].dice, got[i].licence, got[i].n_found) == want[i], text
+    assert sum(x[2] > 0 for x in want.values()) > 100 and sum(got[i].n_found > line[i] for i, _ in rows) > 50
+
+
 def test_licence_sets_against_brute_force():
     a = licences.compiled({"a": "x y z x y", "b": "x y"})
     assert [(n, len(b)) for n, b in a] == [("a", 3), ("b", 1)]
