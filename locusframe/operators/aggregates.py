@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.blocks import groups, prepare, texts
+
+#: Bytes of sequences whose k-mers are counted together before the shuffle, and starts that are taken at once.
+BLOCK, STARTS = 8 << 20, 4 << 20
+
 
 def flag_statistics(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Conditional counts in one scan."""
@@ -89,3 +98,43 @@ def rank_sum(df: DataFrame, group: list[str], series: Column, value: str) -> Dat
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     return sums.filter("n1 > 0 and n2 > 0").select(*group, "n1", "n2", F.round(u, 4).alias("u"), F.round((u - F.col("n1") * F.col("n2") / 2) / sd, 6).alias("z"))
+
+
+def kmer_counts(df: DataFrame, sequence: Column, k: int) -> DataFrame:
+    """kmer, n of all k-mers of sequences of the letters a to z, k up to 12; none spans two rows.
+
+    A k-mer is a number of 5 bits a letter. Each block of rows is counted
+    before the shuffle, so it sends each distinct k-mer once.
+    """
+    if not 1 <= k <= 12:
+        raise ValueError("k must be from 1 to 12")
+    kind = np.uint32 if k <= 6 else np.uint64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in groups(batches, BLOCK):
+            codes, counts = [], []
+            for batch in block:
+                data, offsets = texts(batch, "s")
+                for low in range(int(offsets[0]), int(offsets[-1]) - k + 1, STARTS):
+                    high = min(int(offsets[-1]) - k + 1, low + STARTS)
+                    code = np.zeros(high - low, kind)
+                    for i in range(k):
+                        code = (code << kind(5)) | (data[low + i : high + i] - 97).astype(kind)
+                    # starts in the last k - 1 letters of a row run into the next one
+                    whole = np.ones(high - low, bool)
+                    for i in range(1, k):
+                        cut = offsets[1:] - i - low
+                        whole[cut[(cut >= 0) & (cut < high - low)]] = False
+                    some, n = np.unique(code[whole], return_counts=True)
+                    codes.append(some), counts.append(n)
+            if not codes:
+                continue
+            some, place = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.bincount(place, np.concatenate(counts), len(some)).astype(np.int64)
+            for at in range(0, len(some), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000])], names=["code", "n"])
+
+    prepare(df.sparkSession)
+    found = df.select(sequence.cast("binary").alias("s")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letters = [F.char(F.shiftright("code", 5 * i).bitwiseAND(31) + 97) for i in reversed(range(k))]
+    return found.select(F.concat(*letters).alias("kmer"), "n")

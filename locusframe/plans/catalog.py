@@ -291,6 +291,11 @@ def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.explode(S.kmers(letters(), 6)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+@query()
+def kmer_count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.kmer_counts(table(spark, sf_dir, "documents"), letters(), 6).filter("n > 1")
+
+
 @query(f"with b as (select distinct {kmers_sql(16)} k from (select {LETTERS} t from benchmark)), d as (select doc_id, {kmers_sql(16)} k from (select doc_id, {LETTERS} t from documents)), h as (select doc_id, count(*) n from d join b using (k) group by 1) select doc_id from documents where doc_id not in (select doc_id from h where n >= 3)")
 def kmer_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = table(spark, sf_dir, "benchmark").select(F.explode(S.kmers(letters(), 16)).alias("kmer"))

@@ -1,12 +1,16 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import scalars as S
-from locusframe.operators import filters, intervals, kernels, sites, transforms, windows
+from locusframe.operators import aggregates, filters, intervals, kernels, sites, transforms, windows
+from locusframe.plans import catalog
 from locusframe.sources import text
 
 
@@ -124,3 +128,22 @@ def test_excess_het_against_enumeration(spark):
     cases = [(10, 0, 0), (5, 1, 0), (10, 5, 2), (0, 12, 0), (3, 9, 3), (40, 3, 30)]
     got = spark.createDataFrame(cases, "a long, b long, c long").select(sites.excess_het(F.col("a"), F.col("b"), F.col("c")).alias("x")).collect()
     assert np.allclose([x.x for x in got], [brute(*c) for c in cases], atol=1e-6)
+
+
+@pytest.mark.parametrize("k", [1, 6, 7, 12])
+def test_kmer_counts(spark, k, monkeypatch):
+    monkeypatch.setattr(aggregates, "STARTS", 50)
+    rng = random.Random(k)
+    rows = [None, "", "a", "zzzzzz"] + ["".join(rng.choice("abz") for _ in range(rng.randrange(60))) for _ in range(200)]
+    want = Counter(t[i : i + k] for t in rows if t for i in range(len(t) - k + 1))
+    d = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert {r.kmer: r.n for r in aggregates.kmer_counts(d, F.col("t"), k).collect()} == want
+    assert aggregates.kmer_counts(d.limit(0), F.col("t"), k).count() == 0
+
+
+def test_kmer_count_documents(spark):
+    """All k-mers of documents, against a plain count."""
+    small = "/root/testdata/sf0.001"
+    texts = [re.sub("[^a-z]", "", r.text.lower()) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r.text]
+    want = Counter(t[i : i + 6] for t in texts for i in range(len(t) - 5))
+    assert {r.kmer: r.n for r in catalog.QUERIES["kmer_count_documents"](spark, small).collect()} == {x: n for x, n in want.items() if n > 1}
