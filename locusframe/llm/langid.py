@@ -27,8 +27,8 @@ PROFILE = 400
 SAMPLE = 3000
 ORDERS = (1, 2, 3)
 CODES = 1 << 19
-#: Most languages of a model; a training table with more keeps the commonest.
-LANGUAGES = 1000
+#: Languages that a task counts at once, at CODES numbers each, before it sends what it has.
+HELD = 50
 
 
 @lru_cache(1)
@@ -82,6 +82,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = grams(text.as_py())
             counts = total.setdefault(lang.as_py(), np.zeros(CODES, np.int64))
             counts += np.bincount(found, minlength=CODES)
+            if len(total) >= HELD:
+                yield from _counted(total)
+                total.clear()
+    yield from _counted(total)
+
+
+def _counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for lang, counts in total.items():
         codes = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int32()), pa.array(counts[codes])], names=["lang", "code", "n"])
@@ -96,8 +103,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict
     prepare(docs.sparkSession)
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"), F.abs(F.xxhash64("text") % 1_000_000).alias("at"))
     shares = rows.groupBy("lang").agg((F.lit(sample * 1e6) / F.count("*")).alias("share"))
-    shares = shares.orderBy("share", "lang").limit(LANGUAGES)
-    chosen = rows.join(F.broadcast(shares), "lang").filter("at < share").select("text", "lang")  # LANGUAGES rows at most
+    chosen = rows.join(F.broadcast(shares), "lang").filter("at < share").select("text", "lang")  # a row for each language
     counts = chosen.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, profile).alias("best"))  # at most CODES entries for a language
     return {r.lang: [x.code for x in r.best] for r in best.collect()}
@@ -115,10 +121,12 @@ def predict(rows: DataFrame, profiles: dict[str, list[int]], *carried: str) -> D
     model = rows.sparkSession.sparkContext.broadcast([profiles[name] for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.full((len(names), CODES), size, np.int16)
-        for i, codes in enumerate(model.value):
-            ranks[i, codes] = np.arange(len(codes))
-        order = np.arange(size)
+        # by code, the languages whose profile has it and its rank there
+        codes = np.concatenate([np.array(p, np.int64) for p in model.value]) if names else np.zeros(0, np.int64)
+        order = np.argsort(codes, kind="stable")
+        speaks = np.repeat(np.arange(len(names)), [len(p) for p in model.value])[order]
+        ranks = np.concatenate([np.arange(len(p)) for p in model.value])[order] if names else codes
+        starts = np.searchsorted(codes[order], np.arange(CODES + 1))
         for batch in batches:
             lang, score, fit = [], [], []
             for text in batch.column("text"):
@@ -126,8 +134,10 @@ def predict(rows: DataFrame, profiles: dict[str, list[int]], *carried: str) -> D
                 if not len(own):
                     lang.append("und"), score.append(0.0), fit.append(0.0)
                     continue
-                seen = ranks[:, own]
-                near = 1 - np.where(seen == size, size, np.abs(seen - order[: len(own)])).sum(1) / (size * len(own))
+                n = starts[own + 1] - starts[own]
+                at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                saved = size - np.abs(ranks[at] - np.repeat(np.arange(len(own)), n))
+                near = 1 - (size * len(own) - np.bincount(speaks[at], saved, len(names))) / (size * len(own))
                 best = int(near.argmax())
                 others = np.delete(near, best)
                 top = float(near[best])

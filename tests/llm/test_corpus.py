@@ -378,6 +378,24 @@ def test_languages(spark):
     assert langid.identify(d.limit(0)).count() == 0
 
 
+def test_language_id_keeps_every_language(spark):
+    name = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    d = spark.createDataFrame([(" ".join([name(i)] * 3), f"l{i}") for i in range(1100)], "text string, lang string").repartition(2)
+    profiles = langid.learn(d)
+    assert set(profiles) == {f"l{i}" for i in range(1100)}
+    assert all(profiles[f"l{i}"] == langid.ranked(" ".join([name(i)] * 3)).tolist() for i in (0, 500, 1099))
+
+
+def test_language_id_distances_against_brute_force(spark):
+    profiles = {x: langid.ranked(prose(200) + " " + x * 9).tolist() for x in "abcde"}
+    rows = [(i, prose(30) + RNG.choice("abcde") * 5) for i in range(50)]
+    size = max(map(len, profiles.values()))
+    for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), profiles, "doc_id").collect():
+        own = langid.ranked(rows[r.doc_id][1], size).tolist()
+        fits = {x: 1 - sum(abs(p.index(c) - i) if c in p else size for i, c in enumerate(own)) / (size * len(own)) for x, p in profiles.items()}
+        assert math.isclose(r.fit, max(fits.values())) and r.lang_pred == max(sorted(fits), key=fits.get)
+
+
 def test_toxicity(spark):
     bad = lambda i: i % 3 == 0
     rows = [(i, " ".join([f"{RNG.choice('abcdefgh')}{RNG.randrange(50)}" for _ in range(40)] + (["vile", "rotten"] if bad(i) else ["kind"]))) for i in range(400)]
