@@ -97,13 +97,14 @@ def _counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, list[int]]:
     """Profiles by language, from rows with text and lang; ``sample`` bounds (in expectation) the documents of each language.
 
-    Rows are chosen by a hash of their text, so copies count once or not at
-    all. What comes to the driver is ``profile`` codes for each language.
+    Rows are chosen by a hash of their text, and copies within a language
+    count once. What comes to the driver is ``profile`` codes for each language.
     """
     prepare(docs.sparkSession)
-    rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"), F.abs(F.xxhash64("text") % 1_000_000).alias("at"))
-    shares = rows.groupBy("lang").agg((F.lit(sample * 1e6) / F.count("*")).alias("share"))
-    chosen = rows.join(F.broadcast(shares), "lang").filter("at < share").select("text", "lang")  # a row for each language
+    rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("text").alias("hash"))
+    shares = rows.select("lang", "hash").distinct().groupBy("lang").agg((F.lit(sample * 1e6) / F.count("*")).alias("share"))
+    chosen = rows.join(F.broadcast(shares), "lang").filter(F.abs(F.col("hash") % 1_000_000) < F.col("share"))  # a row for each language
+    chosen = chosen.dropDuplicates(["lang", "hash"]).select("text", "lang")
     counts = chosen.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, profile).alias("best"))  # at most CODES entries for a language
     return {r.lang: [x.code for x in r.best] for r in best.collect()}

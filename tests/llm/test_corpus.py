@@ -386,6 +386,13 @@ def test_language_id_keeps_every_language(spark):
     assert all(profiles[f"l{i}"] == langid.ranked(" ".join([name(i)] * 3)).tolist() for i in (0, 500, 1099))
 
 
+def test_language_id_learns_from_copies_once(spark):
+    own = [(f"{prose(30)} {i}", "en") for i in range(300)]
+    once, often = (spark.createDataFrame(own + [("zq zq zqz qqz", "en")] * n, "text string, lang string").repartition(3) for n in (1, 150))
+    for sample in (100, 1000):
+        assert langid.learn(often, sample) == langid.learn(once, sample)
+
+
 def test_language_id_distances_against_brute_force(spark):
     profiles = {x: langid.ranked(prose(200) + " " + x * 9).tolist() for x in "abcde"}
     rows = [(i, prose(30) + RNG.choice("abcde") * 5) for i in range(50)]
