@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.blocks import groups, prepare, texts
+from ..functions.batches import blocks, bounded_batches, bytes_of
 
 #: Bytes of sequences whose k-mers are counted together before the shuffle, and starts that are taken at once.
 BLOCK, STARTS = 8 << 20, 4 << 20
@@ -111,10 +111,10 @@ def kmer_counts(df: DataFrame, sequence: Column, k: int) -> DataFrame:
     kind = np.uint32 if k <= 6 else np.uint64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in groups(batches, BLOCK):
+        for block in blocks(batches, BLOCK):
             codes, counts = [], []
             for batch in block:
-                data, offsets = texts(batch, "s")
+                data, offsets = bytes_of(batch.column("s"))
                 for low in range(int(offsets[0]), int(offsets[-1]) - k + 1, STARTS):
                     high = min(int(offsets[-1]) - k + 1, low + STARTS)
                     code = np.zeros(high - low, kind)
@@ -134,7 +134,7 @@ def kmer_counts(df: DataFrame, sequence: Column, k: int) -> DataFrame:
             for at in range(0, len(some), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000])], names=["code", "n"])
 
-    prepare(df.sparkSession)
+    bounded_batches(df.sparkSession)
     found = df.select(sequence.cast("binary").alias("s")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     letters = [F.char(F.shiftright("code", 5 * i).bitwiseAND(31) + 97) for i in reversed(range(k))]
     return found.select(F.concat(*letters).alias("kmer"), "n")
