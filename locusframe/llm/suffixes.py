@@ -1,27 +1,36 @@
 """Suffix-array dedup: bytes of documents that repeat an earlier document.
 
 A byte goes if it lies in a string of LENGTH bytes that also starts in a
-document with a smaller doc_id.  A full suffix array would sort a suffix for
-each byte; here it is sparse.  In each string of LENGTH bytes one suffix is
-chosen by content (the least hash of GRAM leading bytes), so equal strings
-choose the same one, and a suffix stands for all the strings that chose it.
-
-1. Suffixes are range-partitioned by their leading bytes, at splitters sampled
-   from the corpus; values that fill several splitters are spread over these
-   by their next bytes.  A task sends each distinct suffix of its block once.
-2. A bucket sorts its suffixes by leading bytes, then by what else their
-   strings hold (keys of several words, the later ones deciding among equals),
-   and compares neighbours: a suffix whose strings are all the same as in a
-   smaller document is covered.  Equal leading bytes with other strings, as at
-   the two ends of a passage, remain open.
-3. Open suffixes are sent with the bytes of their strings, and each string is
-   looked up among the others with the same leading bytes.
-4. Each document puts together what is covered.
+document with a smaller doc_id.  A suffix for each byte would multiply the
+input by LENGTH, so the suffix array is sparse: in each string of LENGTH bytes
+one suffix is chosen by content (of those that leave GRAM bytes, the one whose
+GRAM leading bytes have the least hash), so equal strings choose the same one.
+A suffix stands for the run of strings that chose it, which start up to
+WINDOW - 1 bytes before it; it travels with all bytes of them, as a record:
+the bytes from the suffix on, the bytes before it, and the run's bounds.
+
+1. A task sorts the records of its block of documents, keeps each distinct one
+   once with the smallest doc_id that has it, and sends them, in order, to the
+   ranges between splitters of GRAM leading bytes, sampled from the corpus.
+2. A bucket sorts its records by multikey quicksort: by their first 8 bytes,
+   then ties by the next 8, and so on.  Neighbours' longest common prefixes
+   tell which strings of a record may occur in another one: equal records with
+   a larger doc_id are covered as a whole, and the strings of records that
+   share only a prefix long enough are sorted in the same way.
+3. At the block's home, where its texts wait (compressed), bytes are cut.
+
+No comparison crosses a bucket's boundary: splitters have GRAM bytes, so
+suffixes on two sides of one differ within them, and two equal strings agree
+in at least GRAM bytes after the chosen place.  Where one such lead is so
+frequent that it fills a good part of a bucket, its strings are taken one by
+one instead, as suffixes of exactly LENGTH bytes that are dealt by all of them.
+A record reaches its bucket once for each block, whatever its frequency.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +38,31 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PIECE, buckets, exchange, groups, mixed, pack, prepare, texts, unpack, written
+from .blocks import PACKED, buckets, exchange, groups, mixed, pack, packed_batch, prepare, task_id, texts, unpack
 
 LENGTH, GRAM = 50, 16
+WINDOW = LENGTH - GRAM + 1
 BLOCK = 12 << 20
-#: Documents, in expectation, from which splitters are sampled, and suffixes taken of each.
+#: Level of compression of what is sent: disk is scarcer than time here.
+SQUEEZE = 9
+#: Starts of strings that are looked at together: small arrays stay in the processor's cache.
+PIECE = 1 << 16
+#: Low bits of a hash that hold a place within a piece.
+PLACE = 17
+#: Documents, in expectation, from which splitters are sampled (or one for each bucket, if those are more), and suffixes taken of each.
 SAMPLE, EACH = 2000, 32
+#: A lead is frequent if it takes more than this share of a bucket.
+FREQUENT = 0.25
+#: Strings that a bucket compares at once.
+STRINGS = 1 << 20
+#: Bytes of a record: the suffix, what lies before it, the run's two bounds, two unused.
+BEFORE = WINDOW - 1
+RECORD = LENGTH + BEFORE + 4
+WORDS, LEAD, STRING = RECORD // 8, GRAM // 8, -(-LENGTH // 8)
 U = np.uint64
-WINDOW = LENGTH - GRAM + 1
-#: Starts of 8-byte words that hold all bytes of the first string, and of the last one from byte 16 on: it starts at most WINDOW - 1 later.
-IN_FIRST, IN_LAST = np.array([0, 8, 16, 24, 32, 40, LENGTH - 8]), np.array([16, 24, 32, 40, LENGTH - 8])
-#: A value for each of these words, so that equal words count differently in other places.
-SALT = np.random.default_rng(50).integers(1, 2**63, (len(IN_FIRST) + len(IN_LAST), 1), dtype=np.uint64)
-#: Low bits of a packed hash that hold a position within a piece.
-PLACE = 27
+#: A record all of whose strings are covered.
+ALL = U(1 << 63)
+RECORDS, TEXTS, STRINGS_OF, ANSWERS, STRING_ANSWERS = range(5)
 
 
 def loads(data: np.ndarray) -> np.ndarray:
@@ -50,296 +70,448 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,)) if len(data) >= 8 else np.zeros(0, np.uint64)
 
 
-class Suffixes:
-    """The chosen suffixes of one text: positions, and the strings (first start, last start) that chose each."""
-
-    def __init__(self, data: np.ndarray):
-        self.data = np.ascontiguousarray(data)
-        n = len(data)
-        if n < LENGTH:
-            self.at = self.first = self.last = np.zeros(0, np.int64)
-            return
-        words = loads(self.data)
-        at, first, last = [], [], []
-        for low in range(0, n - LENGTH + 1, PIECE):
-            high = min(n - LENGTH + 1, low + PIECE)  # starts of strings low .. high - 1
-            w = words[low : high + LENGTH - 8]
-            value = w[:-8] * U(0x9E3779B97F4A7C15)
-            value ^= w[8:]
-            value *= U(0xD6E8FEB86659FD93)
-            value ^= value >> U(29)
-            value *= U(0xBF58476D1CE4E5B9)
-            value &= U((1 << 64) - (1 << PLACE))
-            value |= np.arange(len(value), dtype=np.uint64)
-            size = 1
-            while size * 2 <= WINDOW:
-                value = np.minimum(value[:-size], value[size:])
-                size *= 2
-            if size < WINDOW:
-                value = np.minimum(value[: size - WINDOW], value[WINDOW - size :])
-            chosen = (value & U((1 << PLACE) - 1)).astype(np.int64)
-            turn = np.flatnonzero(np.diff(chosen, prepend=-1))
-            at.append(chosen[turn] + low)
-            first.append(turn + low)
-            last.append(np.append(turn[1:] - 1, len(chosen) - 1) + low)
-        self.at, self.first, self.last = (np.concatenate(x) for x in (at, first, last))
-
-    def lead(self) -> np.ndarray:
-        """The leading 8 bytes in order of bytes."""
-        return loads(self.data)[self.at].byteswap()
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each suffix's leading bytes, and of all its strings together with where it lies in them."""
-        if not len(self.at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        w = loads(self.data)
-        key = mixed(w[self.at] * U(0xC2B2AE3D27D4EB4F) + mixed(w[self.at + 8]))
-        whole = ((self.at - self.first) * 64 + (self.last - self.first)).astype(np.uint64)
-        # each word is mixed before they are added: a sum of plain words lets their high bytes cancel
-        for low in range(0, len(whole), 1 << 15):
-            own = slice(low, low + (1 << 15))
-            whole[own] += mixed(w[np.concatenate([self.first[own] + IN_FIRST[:, None], self.last[own] + IN_LAST[:, None]])] + SALT).sum(0, dtype=np.uint64)
-        return key, mixed(whole)
-
-
-def _pids(lead: np.ndarray, key: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each suffix: by leading bytes, and among equal splitters by the hash of all GRAM bytes."""
-    low, high = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
-    return low + (key >> U(20)).astype(np.int64) % (high - low + 1)
-
-
-SENT = "pid int, data binary"
-#: State of a suffix of one document: all strings covered, or open.
-COVERED, OPEN = 1, 2
-
-
-def _squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(raw)
-
-
-def _expand(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
-
-
-def _send(splitters):
+def chosen(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen suffixes of texts that lie one after another: where each begins, and the first and last start of a string that chose it."""
+    total = len(data) - LENGTH + 1
+    none = np.zeros(0, np.int64)
+    if total <= 0:
+        return none, none, none
+    words, turns, ats, last = loads(data), [], [], -1
+    for low in range(0, total, PIECE):
+        high = min(total, low + PIECE)
+        w = words[low : high + LENGTH - 8].copy()
+        value = w[:-8] * U(0x9E3779B97F4A7C15)
+        value ^= w[8:]
+        value *= U(0xD6E8FEB86659FD93)
+        value ^= value >> U(29)
+        value *= U(0xBF58476D1CE4E5B9)
+        value &= U((1 << 64) - (1 << PLACE))
+        value |= np.arange(len(value), dtype=np.uint64)
+        size = 1
+        while size * 2 <= WINDOW:
+            value = np.minimum(value[:-size], value[size:])
+            size *= 2
+        if size < WINDOW:
+            value = np.minimum(value[: size - WINDOW], value[WINDOW - size :])
+        at = (value & U((1 << PLACE) - 1)).astype(np.int64) + low
+        turn = np.flatnonzero(np.diff(at, prepend=last))
+        turns.append(turn + low), ats.append(at[turn])
+        last = int(at[-1])
+    turn, at = np.concatenate(turns), np.concatenate(ats)
+    # a run ends with its text
+    first = np.sort(np.concatenate([turn, offsets[:-1][offsets[:-1] < total]]))
+    first = first[np.diff(first, prepend=-1) > 0]
+    at = at[np.searchsorted(turn, first, "right") - 1]
+    doc = np.searchsorted(offsets, first, "right") - 1
+    end = np.minimum(np.append(first[1:] - 1, total - 1), offsets[doc + 1] - LENGTH)
+    keep = end >= first
+    return at[keep], first[keep], end[keep]
+
+
+def records(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A row of WORDS numbers for each suffix, which compare as their bytes do."""
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+    size = BEFORE + LENGTH
+    near = np.ndarray((len(padded) - size + 1,), f"V{size}", padded, strides=(1,))[at].view(np.uint8).reshape(-1, size)
+    low, high = (at - last)[:, None], (at - first)[:, None]
+    column = np.arange(size)
+    near *= (column >= BEFORE - high) & (column < size - low)
+    out = np.zeros((len(at), RECORD), np.uint8)
+    out[:, :LENGTH], out[:, LENGTH:size] = near[:, BEFORE:], near[:, :BEFORE]
+    out[:, size : size + 1], out[:, size + 1 : size + 2] = low, high
+    return as_words(out)
+
+
+def as_words(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(np.uint64).byteswap(inplace=True)
+
+
+def as_bytes(words: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(words).byteswap().view(np.uint8)
+
+
+def bounds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before the suffix the last and the first string of each record's run start."""
+    return ((words[:, -1] >> U(24)) & U(255)).astype(np.int64), ((words[:, -1] >> U(16)) & U(255)).astype(np.int64)
+
+
+def multikey(words: np.ndarray, depth: int, order: np.ndarray | None = None, new: np.ndarray | None = None, since: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows by their first ``depth`` words: a quicksort by one word, then by the next among its ties.
+
+    Returns the order, and where a row differs from the one before it. order
+    and new: of a sort by the first ``since`` words, which goes on.
+    """
+    if order is None:
+        order = np.argsort(words[:, 0])
+        value = words[order, 0]
+        new = np.ones(len(order), bool)
+        new[1:] = value[1:] != value[:-1]
+        since = 1
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    at, group = np.flatnonzero(tied), np.cumsum(new)[tied]
+    for d in range(since, depth):
+        if not len(at):
+            break
+        value = words[order[at], d]
+        turn = np.lexsort((value, group))
+        order[at] = order[at[turn]]
+        value, group = value[turn], group[turn]
+        change = np.ones(len(at), bool)
+        change[1:] = (value[1:] != value[:-1]) | (group[1:] != group[:-1])
+        new[at] = change
+        tied = ~change
+        tied[:-1] |= ~change[1:]
+        at, group = at[tied], np.cumsum(change)[tied]
+    return order, new
+
+
+def exploded(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of records that start low to high bytes before the suffix: their rows, records and starts."""
+    rows = as_bytes(words)
+    size = BEFORE + LENGTH
+    text = np.concatenate([rows[:, LENGTH:size], rows[:, :LENGTH]], 1)
+    counts = high - low + 1
+    owner = np.repeat(np.arange(len(words)), counts)
+    back = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + low[owner]
+    flat = np.append(text.ravel(), np.zeros(LENGTH, np.uint8))
+    own = np.ndarray((len(flat) - LENGTH + 1,), f"V{LENGTH}", flat, strides=(1,))[owner * size + BEFORE - back].view(np.uint8).reshape(-1, LENGTH)
+    out = np.zeros((len(own), 8 * STRING), np.uint8)
+    out[:, :LENGTH] = own
+    return as_words(out), owner, back
+
+
+def runs(new: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order: the run of equal rows that each is in, and the least doc of each run."""
+    return np.cumsum(new) - 1, np.minimum.reduceat(doc, np.flatnonzero(new)) if len(doc) else doc
+
+
+def masks(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each record, which of its strings occur in a smaller doc: bit k for the one that starts k bytes before the suffix, or ALL."""
+    out = np.zeros(len(doc), np.uint64)
+    order, new = multikey(words, LEAD)
+    several = ~new
+    several[:-1] |= ~new[1:]
+    order, new = order[several], new[several]  # a lead that one record has is in one document only
+    if not len(order):
+        return out
+    lead = new.copy()
+    order, new = multikey(words, WORDS, order, new, LEAD)
+    run, least = runs(new, doc[order])
+    heads = np.flatnonzero(new)
+    kind = np.cumsum(lead)[heads] - 1  # the lead of each distinct record
+    one = words[order[heads]]
+    rows = as_bytes(one)[:, :LENGTH]
+    differs = rows[1:] != rows[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), LENGTH)
+    common[kind[1:] != kind[:-1]] = 0
+    longest = np.maximum(np.append(common, 0), np.append(0, common))
+    low, high = bounds(one)
+    low = np.maximum(low, LENGTH - longest)
+    edges = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+    mixed_docs = (np.maximum.reduceat(least, edges) > np.minimum.reduceat(least, edges))[kind]
+    some = np.flatnonzero((low <= high) & mixed_docs)
+    found = np.zeros(len(heads), np.uint64)
+    size = np.cumsum((high - low + 1)[some])
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STRINGS, "right")))
+        if to < len(some):  # a lead's records stay together
+            to = int(np.searchsorted(kind[some], kind[some[to - 1]], "right"))
+        own = some[at:to]
+        strings, owner, back = exploded(one[own], low[own], high[own])
+        turn, new_string = multikey(strings, STRING)
+        group, smallest = runs(new_string, least[own][owner[turn]])
+        hit = np.empty(len(turn), bool)
+        hit[turn] = least[own][owner[turn]] > smallest[group]
+        bits = np.where(hit, U(1) << back.astype(np.uint64), U(0))
+        found[own] = np.add.reduceat(bits, np.flatnonzero(np.diff(owner, prepend=-1)))
+        at = to
+    out[order] = np.where(doc[order] > least[run], ALL, found[run])
+    return out
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(SQUEEZE).compress(pack(*arrays))
+
+
+def _expand(raw: bytes) -> list[np.ndarray]:
+    return unpack(zstandard.ZstdDecompressor().decompress(raw))
+
+
+def shortened(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted records without what each shares with the one before it, and without the unused bytes: prefix lengths, bounds, bytes."""
+    rows = as_bytes(words)
+    differs = rows[1:, :LENGTH] != rows[:-1, :LENGTH]
+    common = np.zeros(len(rows), np.uint8)
+    common[1:] = np.where(differs.any(1), differs.argmax(1), LENGTH)
+    low, high = bounds(words)
+    return common, low.astype(np.uint8), high.astype(np.uint8), rows[_own(common, low, high)]
+
+
+def _own(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    column, size = np.arange(RECORD), LENGTH + BEFORE
+    low, high = low.astype(np.int64)[:, None], high.astype(np.int64)[:, None]
+    return ((column >= common[:, None]) & (column < LENGTH - low)) | ((column >= size - high) & (column < size))
+
+
+def restored(common: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The bytes of shortened records."""
+    rows = np.zeros((len(common), RECORD), np.uint8)
+    rows[_own(common, low, high)] = data
+    every = np.arange(len(common))
+    for j in range(int(common.max(initial=0))):  # a column's byte is that of the last record that has its own there
+        rows[:, j] = rows[np.maximum.accumulate(np.where(common <= j, every, 0)), j]
+    rows[:, LENGTH + BEFORE], rows[:, LENGTH + BEFORE + 1] = low, high
+    return rows
+
+
+def cuts(words: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Where each range between splitters begins among sorted rows, and the end. splitters: rows of LEAD words."""
+    low, high = (np.searchsorted(words[:, 0], splitters[:, 0], side) for side in ("left", "right"))
+    inner = [a + int(np.searchsorted(words[a:b, 1], s, "left")) for a, b, s in zip(low.tolist(), high.tolist(), splitters[:, 1], strict=True)]
+    return np.array([0, *inner, len(words)])
+
+
+def among(words: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Which sorted rows have one of these leads."""
+    out = np.zeros(len(words), bool)
+    for first, second in leads:
+        a, b = np.searchsorted(words[:, 0], first, "left"), np.searchsorted(words[:, 0], first, "right")
+        c, d = a + np.searchsorted(words[a:b, 1], second, "left"), a + np.searchsorted(words[a:b, 1], second, "right")
+        out[c:d] = True
+    return out
+
+
+def _home_pid(home: int, n: int) -> int:
+    return ((home >> 20) + 31 * (home & 0xFFFFF)) % n
+
+
+class Part(NamedTuple):
+    """Suffixes of a block, or of as much of it as is sorted at once."""
+
+    at: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    rank: np.ndarray  # of each suffix's record among the distinct ones
+    again: np.ndarray  # a smaller document of the block has the same record
+    often: np.ndarray  # of each distinct record: its lead is frequent
+    words: np.ndarray  # the other distinct records, sorted
+    least: np.ndarray  # their least documents
+    strings: np.ndarray  # distinct strings of the records with a frequent lead, by bucket
+    pid: np.ndarray
+    smallest: np.ndarray
+    place: np.ndarray  # of each string of each of these records among the distinct ones
+    low: np.ndarray
+    high: np.ndarray
+    local: np.ndarray  # a smaller document of the block has the same string
+
+
+def parts(batch: pa.RecordBatch, frequent: np.ndarray, n: int) -> Iterator[Part]:
+    """Suffixes of a block's documents. The same block always gives the same parts: its home asks again for what it sent."""
+    data, offsets = texts(batch)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    ids = batch.column("doc_id")
+    known, ids = np.array(ids.is_valid()), ids.fill_null(0).to_numpy()
+    every = chosen(data, offsets)
+    doc = np.searchsorted(offsets, every[1], "right") - 1
+    keep = known[doc]
+    every, doc = [x[keep] for x in every], ids[doc[keep]]
+    # long texts are sorted in parts, which bounds the memory of records
+    for a in range(0, len(doc), BLOCK // 8):
+        (at, first, last), own = (x[a : a + BLOCK // 8] for x in every), doc[a : a + BLOCK // 8]
+        words = records(data, at, first, last)
+        order, new = multikey(words, WORDS)
+        group, least = runs(new, own[order])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = group
+        words = words[order[new]]
+        often = among(words, frequent)
+        low, high = bounds(words[often])
+        strings, owner, _ = exploded(words[often], low, high)
+        order, new = multikey(strings, STRING)
+        group, smallest = runs(new, least[often][owner[order]])
+        strings = strings[order[new]]
+        pid = (mixed((strings * np.arange(1, 2 * STRING, 2, dtype=np.uint64)).sum(1, dtype=np.uint64)) % U(n)).astype(np.int64)
+        dealt = np.argsort(pid, kind="stable")
+        place, string = np.empty(len(dealt), np.int64), np.empty(len(order), np.int64)
+        place[dealt], string[order] = np.arange(len(dealt)), group
+        local = smallest[string] < least[often][owner]
+        yield Part(at, first, last, rank, own > least[rank], often, words[~often], least[~often], strings[dealt], pid[dealt], smallest[dealt], place[string], low, high, local)
+
+
+def _ipc(batch: pa.RecordBatch) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def _send(n: int, told):
+    """Sorted distinct records of each block, and its texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = splitters.value
-        for block in groups(batches, BLOCK):
-            keys, wholes, pids, owners, docs, rids = [], [], [], [], [], []
-            for batch in block:
-                data, offsets = texts(batch)
-                for i, (doc_id, rid) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist(), strict=True)):
-                    if doc_id is None or offsets[i + 1] - offsets[i] < LENGTH:
-                        continue
-                    s = Suffixes(data[offsets[i] : offsets[i + 1]])
-                    key, whole = s.keys()
-                    keys.append(key), wholes.append(whole), pids.append(_pids(s.lead(), key, bounds))
-                    owners.append(np.full(len(key), len(docs), np.uint32))
-                    docs.append(doc_id), rids.append(rid)
-            if not docs:
-                continue
-            key, whole, pid, owner = (np.concatenate(x) for x in (keys, wholes, pids, owners))
-            del keys, wholes, pids, owners
-            rank = np.array(docs, np.int64)[owner]
-            order = np.lexsort((rank, whole, key, pid))
-            key, whole, pid, owner = key[order], whole[order], pid[order], owner[order]
-            rids, docs = np.array(rids, np.int64), np.array(docs, np.int64)
-            # the same suffix of one document counts once
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]) | (rids[owner[1:]] != rids[owner[:-1]])
-            key, whole, pid, owner = key[new], whole[new], pid[new], owner[new]
-            edges = np.searchsorted(pid, np.arange(len(bounds) + 2)).tolist()
-            out = []
-            for k in range(len(bounds) + 1):
-                own = slice(edges[k], edges[k + 1])
-                if own.stop > own.start:
-                    used, local = np.unique(owner[own], return_inverse=True)
-                    local = local.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                    out.append((k, _squeeze(pack(np.diff(key[own], prepend=U(0)), whole[own], local, docs[used], rids[used]))))
-            for at in range(0, len(out), 64):
-                pid_, data_ = zip(*out[at : at + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pid_, pa.int32()), pa.array(data_, pa.binary())], names=["pid", "data"])
+        splitters, frequent = told.value
+        for serial, block in enumerate(groups(batches, BLOCK)):
+            home = (task_id() << 20) + serial
+            whole = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
+            yield packed_batch([(_home_pid(home, n), TEXTS, home, _squeeze(_ipc(whole)))])
+            for i, part in enumerate(parts(whole, frequent, n)):
+                head, out = np.array([i], np.uint32), []
+                strings, edges = np.searchsorted(part.pid, np.arange(n + 1)).tolist(), cuts(part.words, splitters).tolist()
+                for k in range(n):
+                    own = slice(strings[k], strings[k + 1])
+                    if own.stop > own.start:
+                        out.append((k, STRINGS_OF, home, _squeeze(head, as_bytes(part.strings[own]).ravel(), part.smallest[own])))
+                    own = slice(edges[k], edges[k + 1])
+                    if own.stop > own.start:
+                        out.append((k, RECORDS, home, _squeeze(head, *shortened(part.words[own]), part.least[own])))
+                    if len(out) >= 64:
+                        yield packed_batch(out)
+                        out = []
+                if out:
+                    yield packed_batch(out)
 
     return run
 
 
-STATES = "rid long, data binary"
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = []
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            steps, whole, local, docs, rids = unpack(_expand(data))
-            parts.append((np.cumsum(steps, dtype=np.uint64), whole, docs[local], rids[local]))
-    if not parts:
-        return
-    key, whole, doc, rid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    # first by leading bytes; what is alone there is in one document only and goes
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    several = same.copy()
-    several[:-1] |= same[1:]
-    order = order[several]
-    key, whole, doc, rid = key[several], whole[order], doc[order], rid[order]
-    order = np.lexsort((doc, whole, key))
-    key, whole, doc, rid = key[order], whole[order], doc[order], rid[order]
-    if not len(key):
-        return
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    part = head | np.concatenate([[True], whole[1:] != whole[:-1]])
-    starts, subs = np.flatnonzero(head), np.flatnonzero(part)
-    group, sub = np.cumsum(head) - 1, np.cumsum(part) - 1
-    least = doc[subs][sub]  # of the documents with these strings
-    low, high = np.minimum.reduceat(doc, starts)[group], np.maximum.reduceat(doc, starts)[group]
-    variants = np.diff(np.append(np.flatnonzero(np.isin(subs, starts)), len(subs)))[group]
-    covered = doc > least
-    is_open = (doc == least) & (variants > 1) & (high > low)
-    state = np.where(covered, COVERED, np.where(is_open, OPEN, 0)).astype(np.uint8)
-    keep = state > 0
-    rid, key, whole, state = rid[keep], key[keep], whole[keep], state[keep]
-    order = np.argsort(rid, kind="stable")
-    yield from _by_rid(rid[order], _tag(key[order], whole[order]), state[order])
-
-
-def _by_rid(rid: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with its entries packed. rid: ascending."""
-    starts = np.flatnonzero(np.diff(rid, prepend=rid[0] - 1 if len(rid) else 0))
-    ends = np.append(starts[1:], len(rid)).tolist()
-    out = [(int(rid[a]), pack(*(c[a:b] for c in columns))) for a, b in zip(starts.tolist(), ends, strict=True)]
-    for at in range(0, len(out), 2000):
-        r, d = zip(*out[at : at + 2000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(d, pa.binary())], names=["rid", "data"])
-
-
-def _tag(key: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """What a suffix and its strings are called in a document's entries."""
-    return key ^ (whole << U(1))
-
-
-def _merged(parts: list[bytes]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*map(unpack, parts), strict=True)]
-
-
-def _contexts(n: int):
-    """Open suffixes with the bytes of their strings, once for each block of documents."""
-
+def _answer(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in groups(batches, BLOCK):
-            out = []
-            for batch in block:
-                for text, doc_id, rid, parts in zip(*(batch.column(k) for k in ("text", "doc_id", "rid", "parts")), strict=True):
-                    tags, states = _merged(parts.as_py())
-                    wanted = np.unique(tags[states == OPEN])
-                    s = Suffixes(np.frombuffer(text.as_py(), np.uint8))
-                    keys, wholes = s.keys()
-                    own = _tag(keys, wholes)
-                    at = np.flatnonzero(np.isin(own, wanted))
-                    at = at[np.unique(own[at], return_index=True)[1]]
-                    key = keys[at]
-                    raw = s.data.tobytes()
-                    for k, tag, a, b, place in zip(key.tolist(), own[at].tolist(), s.first[at].tolist(), s.last[at].tolist(), s.at[at].tolist()):
-                        out.append((k, tag, doc_id.as_py(), rid.as_py(), place - a, raw[a : b + LENGTH]))
-            for at in range(0, len(out), 20_000):
-                k, tag, doc, rid, place, raw = zip(*out[at : at + 20_000], strict=True)
-                keys = np.array(k, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array((keys % U(n)).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.array(tag, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(place, pa.int32()), pa.array(raw, pa.binary())], names=["pid", "key", "tag", "doc_id", "rid", "place", "raw"])
+        sent: dict[int, list] = {RECORDS: [], STRINGS_OF: []}
+        for batch in batches:
+            for pid, kind, home, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if kind == TEXTS:
+                    yield packed_batch([(pid, kind, home, data)])
+                else:
+                    part, *rows, doc = _expand(data)
+                    sent[kind].append((pid, home, int(part[0]), restored(*rows).ravel() if kind == RECORDS else rows[0], doc))
+        for kind, answer, width in ((RECORDS, ANSWERS, RECORD), (STRINGS_OF, STRING_ANSWERS, 8 * STRING)):
+            if not sent[kind]:
+                continue
+            where = [(pid, home, part, len(doc)) for pid, home, part, _, doc in sent[kind]]
+            doc = np.concatenate([x[4] for x in sent[kind]])
+            words = as_words(np.concatenate([x[3] for x in sent.pop(kind)]).reshape(-1, width))
+            if kind == RECORDS:
+                found = masks(words, doc)
+            else:
+                order, new = multikey(words, STRING)
+                group, least = runs(new, doc[order])
+                found = np.zeros(len(doc), np.uint64)
+                found[order] = doc[order] > least[group]
+            del words
+            at = 0
+            for pid, home, part, size in where:
+                own = found[at : at + size]
+                some = np.flatnonzero(own)
+                yield packed_batch([(_home_pid(home, n), answer, home, _squeeze(np.array([part, pid, size], np.uint32), np.diff(some, prepend=0).astype(np.uint32), own[some]))])
+                at += size
 
     return run
 
 
-CONTEXT = "pid int, key long, tag long, doc_id long, rid long, place int, raw binary"
-
-
-def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open suffix, which of its strings start in a smaller document: a bit for each, the first string's lowest."""
-    held = pa.Table.from_batches(batches, pa.schema([("pid", pa.int32()), ("key", pa.int64()), ("tag", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("place", pa.int32()), ("raw", pa.binary())]))
-    if not held.num_rows:
-        return
-    held = held.sort_by([("key", "ascending"), ("doc_id", "ascending")])
-    key, doc = held.column("key").to_numpy(), held.column("doc_id").to_numpy()
-    rid, tag, raw = held.column("rid").to_numpy(), held.column("tag").to_numpy(), held.column("raw")
-    masks = np.zeros(len(key), np.uint64)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-        if doc[a] == doc[b - 1]:
-            continue
-        least: dict[bytes, int] = {}
-        for i in range(a, b):
-            own, d, mask = raw[i].as_py(), int(doc[i]), 0
-            for j in range(len(own) - LENGTH + 1):
-                if least.setdefault(own[j : j + LENGTH], d) < d:
-                    mask |= 1 << j
-            masks[i] = mask
-    keep = masks > 0
-    order = np.argsort(rid[keep], kind="stable")
-    if keep.any():
-        yield from _by_rid(rid[keep][order], tag[keep][order].view(np.uint64), masks[keep][order])
+def _gathered(answers: list[list[np.ndarray]]) -> np.ndarray:
+    """Answers of all buckets, in the order in which they were asked."""
+    out = []
+    for head, steps, values in sorted(answers, key=lambda x: int(x[0][1])):
+        own = np.zeros(int(head[2]), np.uint64)
+        own[np.cumsum(steps, dtype=np.int64)] = values
+        out.append(own)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary"
 
 
-def _cover(carried: tuple[str, ...]):
+def covered(part: Part, found: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts of strings that go. found, strings: answers for the part's records and for its strings of frequent leads."""
+    mask = np.zeros(len(part.often), np.uint64)
+    mask[~part.often] = found
+    if part.often.any():
+        counts = part.high - part.low + 1
+        starts = np.cumsum(counts) - counts
+        back = np.arange(counts.sum()) - np.repeat(starts - part.low, counts)
+        hit = (strings[part.place] > 0) | part.local
+        mask[part.often] = np.add.reduceat(np.where(hit, U(1) << back.astype(np.uint64), U(0)), starts)
+    mask = mask[part.rank]
+    whole = part.again | (mask == ALL)
+    first, last = [part.first[whole]], [part.last[whole]]
+    some = np.flatnonzero((mask > 0) & ~whole)
+    mask, at = mask[some], part.at[some]
+    for k in range(WINDOW):
+        start = at[(mask >> U(k)) & U(1) > 0] - k
+        first.append(start), last.append(start)
+    return np.concatenate(first), np.concatenate(last)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _cut(n: int, told, carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+        waiting: dict[int, bytes] = {}
+        answers: dict[int, dict[tuple[int, int], list]] = {}
         for batch in batches:
-            rows, spans = [], []
-            for text, doc_id, states, masks in zip(*(batch.column(k) for k in ("text", "doc_id", "parts", "masks")), strict=True):
-                raw = text.as_py()
-                if not states.is_valid:
-                    rows.append((doc_id.as_py(), len(raw), 0, raw)), spans.append([])
-                    continue
-                s = Suffixes(np.frombuffer(raw, np.uint8))
-                own = _tag(*s.keys())
-                hit = np.zeros(len(raw) + 1, np.int64)
-                tags, state = _merged(states.as_py())
-                at = np.flatnonzero(np.isin(own, tags[state == COVERED]))
-                np.add.at(hit, s.first[at], 1)
-                np.add.at(hit, s.last[at] + LENGTH, -1)
-                if masks.is_valid:
-                    tags, bits = _merged(masks.as_py())
-                    order = np.argsort(tags)
-                    tags, bits = tags[order], bits[order]
-                    place = np.minimum(np.searchsorted(tags, own), len(tags) - 1)
-                    for i in np.flatnonzero(tags[place] == own).tolist():
-                        mask, a = int(bits[place[i]]), int(s.first[i])
-                        while mask:
-                            j = (mask & -mask).bit_length() - 1
-                            hit[a + j] += 1
-                            hit[a + j + LENGTH] -= 1
-                            mask &= mask - 1
-                gone = np.cumsum(hit[:-1]) > 0
-                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                spans.append([{"start": a, "length": b - a} for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-                rows.append((doc_id.as_py(), len(raw), int(gone.sum()), s.data[~gone].tobytes()))
-            doc, n, removed, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *(batch.column(c) for c in carried)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *carried])
+            for kind, home, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if kind == TEXTS:
+                    waiting[home] = data
+                else:
+                    head, *rest = _expand(data)
+                    answers.setdefault(home, {}).setdefault((kind, int(head[0])), []).append([head, *rest])
+        while waiting:
+            home, data = waiting.popitem()
+            batch = next(iter(pa.ipc.open_stream(pa.py_buffer(_expand(data)[0]))))
+            given = answers.pop(home, {})
+            data, offsets = texts(batch)
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            hit = np.zeros(len(data) + 1, np.int64)
+            for i, part in enumerate(parts(batch, told.value[1], n)):
+                first, last = covered(part, *(_gathered(given.get((kind, i), [])) for kind in (ANSWERS, STRING_ANSWERS)))
+                hit += np.bincount(first, minlength=len(hit)) - np.bincount(last + LENGTH, minlength=len(hit))
+            gone = np.cumsum(hit[:-1]) > 0
+            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+            # a run that goes on into the next text ends there
+            joint = offsets[1:-1]
+            joint = np.unique(joint[(joint > 0) & (joint < len(data))])
+            joint = joint[gone[joint] & gone[joint - 1]]
+            begin, end = (np.sort(np.concatenate([np.flatnonzero(edge == x), joint])) for x in (1, -1))
+            doc = np.searchsorted(offsets, begin, "right") - 1
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(offsets))), pa.int32()), pa.StructArray.from_arrays([pa.array(begin - offsets[doc]), pa.array(end - begin)], ["start", "length"]))
+            before = np.concatenate([[0], np.cumsum(gone)])
+            size, removed = np.diff(offsets), np.diff(before[offsets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(removed), spans, _binary(data[~gone], size - removed), *(batch.column(c) for c in carried)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *carried])
 
     return run
 
 
-def splitters(rows: DataFrame, n: int) -> np.ndarray:
-    """n - 1 leading values that cut a sample's suffixes into equal parts. What comes to the driver is bounded by SAMPLE and EACH."""
+def sampled(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n - 1 leads that cut a sample's suffixes into equal parts, and the frequent ones. What comes to the driver is bounded by SAMPLE, n and EACH."""
     count = rows.count()
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch)
-            leads = [np.zeros(0, np.uint64)]
+            leads = [np.zeros((0, LEAD), np.uint64)]
             for i in range(batch.num_rows):
-                lead = Suffixes(data[offsets[i] : offsets[i + 1]]).lead() if offsets[i + 1] - offsets[i] >= LENGTH else leads[0]
-                leads.append(lead[:: max(1, len(lead) // EACH)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leads).view(np.int64))], names=["lead"])
-
-    share = min(1.0, SAMPLE / max(count, 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
-    lead = np.sort(chosen.select("text").mapInArrow(some, "lead long").toArrow().column(0).to_numpy().view(np.uint64))
-    return lead[(np.arange(1, n) * len(lead)) // n] if len(lead) else np.zeros(n - 1, np.uint64)
+                own = data[offsets[i] : offsets[i + 1]]
+                at, first, last = chosen(own, np.array([0, len(own)]))
+                step = max(1, len(at) // EACH)
+                leads.append(records(own, at[::step], first[::step], last[::step])[:, :LEAD])
+            found = np.concatenate(leads).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(LEAD)], names=["a", "b"])
+
+    share = min(1.0, max(SAMPLE, n) / max(count, 1))
+    picked = rows.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
+    table = picked.select("text").mapInArrow(some, "a long, b long").toArrow()
+    leads = np.stack([table.column(i).to_numpy().view(np.uint64) for i in range(LEAD)], 1)
+    if not len(leads):
+        return np.zeros((n - 1, LEAD), np.uint64), np.zeros((0, LEAD), np.uint64)
+    order, new = multikey(leads, LEAD)
+    leads = leads[order]
+    starts = np.flatnonzero(new)
+    often = starts[np.diff(starts, append=len(leads)) > max(8, FREQUENT * len(leads) / n)]
+    return leads[(np.arange(1, n) * len(leads)) // n], leads[often] if n > 1 else leads[:0]
 
 
 def dedup(docs: DataFrame, *carried: str) -> DataFrame:
@@ -348,24 +520,15 @@ def dedup(docs: DataFrame, *carried: str) -> DataFrame:
     docs: doc_id and text; more columns are ignored.  Texts are UTF-8 bytes;
     matches never cross documents, and are judged on the input.  A null text
     is empty.  A null doc_id is smaller than none: nothing of it goes, and it
-    removes nothing.  Rows of one doc_id never remove each other's bytes.
+    removes nothing.  Rows of one doc_id never remove each other's bytes.  A
+    text of any length is one row, which its task holds as a whole.  No rows
+    give no rows.  docs should be read from files: a task that is run again
+    has to see the same rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     n = buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
-    rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-    bounds = spark.sparkContext.broadcast(splitters(rows.filter(F.length("text") >= LENGTH), n))
-    states = written(exchange(rows.select("doc_id", "text", "rid").mapInArrow(_send(bounds), SENT), n).mapInArrow(_compare, STATES), "suffixes")
-    flagged = states.groupBy("rid").agg(F.collect_list("data").alias("parts"))  # at most one entry for each bucket
-    has_open = states.mapInArrow(_only_open, STATES).groupBy("rid").agg(F.collect_list("data").alias("parts"))
-    opened = rows.select("doc_id", "text", "rid").join(has_open, "rid").mapInArrow(_contexts(n), CONTEXT)
-    masks = written(exchange(opened, n).mapInArrow(_look_up, STATES), "strings")
-    found = masks.groupBy("rid").agg(F.collect_list("data").alias("masks"))
-    return rows.join(flagged.join(found, "rid", "left"), "rid", "left").select("text", "doc_id", "parts", "masks", *carried).mapInArrow(_cover(carried), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))
-
-
-def _only_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [bool((unpack(x)[1] == OPEN).any()) for x in batch.column(1).to_pylist()]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    told = spark.sparkContext.broadcast(sampled(rows.filter(F.length("text") >= LENGTH), n))
+    sent = exchange(rows.mapInArrow(_send(n, told), PACKED), n)
+    return exchange(sent.mapInArrow(_answer(n), PACKED), n).mapInArrow(_cut(n, told, carried), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))

@@ -7,9 +7,12 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -143,25 +146,75 @@ def test_suffix_dedup_tells_apart_high_bytes_of_words(spark):
         for b in range(65, 91):
             base[7], base[15] = a, b
             made.append(bytes(base))
-    keys = [suffixes.Suffixes(np.frombuffer(x, np.uint8)).keys() for x in made]
-    assert len({(int(key[0]), int(whole[0])) for key, whole in keys}) == len(made)
     rows = [(i, x.decode()) for i, x in enumerate(made)] + [(len(made), made[3].decode())]
     found = {r.doc_id: r.n_removed for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: suffixes.LENGTH if i == len(made) else 0 for i in range(len(rows))}
 
 
-def test_suffix_hash_sees_each_byte_of_all_strings():
-    s = suffixes.Suffixes(np.frombuffer(prose(200).encode(), np.uint8))
-    for at, first, last in zip(s.at.tolist(), s.first.tolist(), s.last.tolist()):
-        whole = set()
-        for i in [None, *range(first, last + suffixes.LENGTH)]:
-            data = s.data.copy()
-            if i is not None:
-                data[i] ^= 1
-            other = suffixes.Suffixes(data)
-            other.at, other.first, other.last = np.array([at]), np.array([first]), np.array([last])
-            whole.add(int(other.keys()[1][0]))
-        assert len(whole) == last - first + suffixes.LENGTH + 1
+def in_buckets(documents, n, splitters, frequent, monkeypatch):
+    """dedup's steps without Spark: two blocks of documents, n buckets, these splitters and frequent leads."""
+    told = SimpleNamespace(value=(splitters, frequent))
+    steps = []
+    for task in (0, 1):
+        monkeypatch.setattr(suffixes, "task_id", lambda task=task: task)
+        half = documents[task::2]
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in half], pa.int64()), pa.array([t for _, t in half], pa.binary())], names=["doc_id", "text"])
+        steps += suffixes._send(n, told)(iter([batch]))
+    for stage in (suffixes._answer(n), suffixes._cut(n, told, ())):
+        sent = pa.Table.from_batches(steps)
+        steps = [b for k in range(n) for b in stage(iter(sent.filter(pc.equal(sent.column("pid"), k)).to_batches()))]
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept"]) for b in steps for r in b.to_pylist())
+
+
+@pytest.mark.parametrize("block", [suffixes.BLOCK, 400])
+def test_suffix_dedup_in_buckets_against_brute_force(block, monkeypatch):
+    """Copies, periods and passages over several buckets; leads declared frequent at random; blocks sorted in several parts."""
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    monkeypatch.setattr(suffixes, "STRINGS", 100)
+    rng = random.Random(block)
+    words = [bytes(rng.choices(b"abcdefghij", k=rng.randrange(2, 7))) for _ in range(60)]
+    text = lambda n: b" ".join(rng.choices(words, k=n))
+    for _ in range(12):
+        passages = [text(rng.randrange(8, 40)) for _ in range(4)]
+        made = []
+        for _ in range(40):
+            own = text(rng.randrange(30)) + rng.choice(passages)[rng.randrange(8) :] + text(rng.randrange(20))
+            own = rng.choice([own] * 8 + [b"x" * rng.randrange(300), b"ab" * rng.randrange(90), rng.choice(made)[1] if made else b""])
+            made.append((rng.randrange(60), own))
+        whole = np.frombuffer(b"".join(t for _, t in made), np.uint8)
+        leads = suffixes.records(whole, *suffixes.chosen(whole, np.cumsum([0] + [len(t) for _, t in made])))[:, : suffixes.LEAD]
+        order, new = suffixes.multikey(leads, suffixes.LEAD)
+        assert [tuple(x) for x in leads[order].tolist()] == sorted(tuple(x) for x in leads.tolist())
+        leads = leads[order]
+        frequent = leads[np.flatnonzero(new)][rng.randrange(3) :: rng.choice([3, 1000])]
+        least = {}
+        for d, t in made:
+            for j in range(len(t) - 49):
+                least[t[j : j + 50]] = min(least.get(t[j : j + 50], d), d)
+        want = []
+        for d, t in made:
+            gone = np.zeros(len(t), bool)
+            for j in range(len(t) - 49):
+                gone[j : j + 50] |= least[t[j : j + 50]] < d
+            want.append((d, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), np.frombuffer(t, np.uint8)[~gone].tobytes()))
+        assert in_buckets(made, 4, leads[np.arange(1, 4) * len(leads) // 4], frequent, monkeypatch) == sorted(want)
+
+
+def test_suffix_records_are_sent_whole():
+    data = np.frombuffer((prose(400) + "\0" * 90 + prose(20)).encode(), np.uint8)
+    words = suffixes.records(data, *suffixes.chosen(data, np.array([0, len(data)])))
+    words = words[suffixes.multikey(words, suffixes.WORDS)[0]]
+    assert (suffixes.restored(*suffixes.shortened(words)) == suffixes.as_bytes(words)).all()
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    """A text longer than a block (and so sorted in parts), with a copy of itself; passages lie over the borders of pieces."""
+    rng = np.random.default_rng(9)
+    long = rng.integers(97, 123, suffixes.BLOCK * 2 + 77, dtype=np.uint8).tobytes().decode()
+    rows = [(1, long), (2, long[5:-5]), (3, "q" + long[suffixes.PIECE - 30 : suffixes.PIECE + 30] + "q"), (4, long[:49])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n) for r in suffixes.dedup(d).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n")).collect()}
+    assert found == {1: (len(long), 0, 0), 2: (len(long) - 10, len(long) - 10, 1), 3: (62, 60, 1), 4: (49, 0, 0)}
 
 
 def shingles(t):
