@@ -47,6 +47,8 @@ BLOCK = 12 << 20
 SQUEEZE = 9
 #: Starts of strings that are looked at together: small arrays stay in the processor's cache.
 PIECE = 1 << 16
+#: Records that are built at once.
+ROWS = 1 << 14
 #: Low bits of a hash that hold a place within a piece.
 PLACE = 17
 #: Documents, in expectation, from which splitters are sampled (or one for each bucket, if those are more), and suffixes taken of each.
@@ -112,13 +114,16 @@ def records(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarra
     """A row of WORDS numbers for each suffix, which compare as their bytes do."""
     padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
     size = BEFORE + LENGTH
-    near = np.ndarray((len(padded) - size + 1,), f"V{size}", padded, strides=(1,))[at].view(np.uint8).reshape(-1, size)
-    low, high = (at - last)[:, None], (at - first)[:, None]
-    column = np.arange(size)
-    near *= (column >= BEFORE - high) & (column < size - low)
+    near = np.ndarray((len(padded) - size + 1,), f"V{size}", padded, strides=(1,))
     out = np.zeros((len(at), RECORD), np.uint8)
-    out[:, :LENGTH], out[:, LENGTH:size] = near[:, BEFORE:], near[:, :BEFORE]
-    out[:, size : size + 1], out[:, size + 1 : size + 2] = low, high
+    column = np.arange(size, dtype=np.int16)
+    for i in range(0, len(at), ROWS):  # a slice at a time: what is needed for it stays small
+        own = slice(i, i + ROWS)
+        low, high = ((at[own] - x[own]).astype(np.int16)[:, None] for x in (last, first))
+        some = near[at[own]].view(np.uint8).reshape(-1, size)
+        some *= (column >= BEFORE - high) & (column < size - low)
+        out[own, :LENGTH], out[own, LENGTH:size] = some[:, BEFORE:], some[:, :BEFORE]
+        out[own, size : size + 1], out[own, size + 1 : size + 2] = low, high
     return as_words(out)
 
 
@@ -443,6 +448,18 @@ def covered(part: Part, found: np.ndarray, strings: np.ndarray) -> tuple[np.ndar
     return np.concatenate(first), np.concatenate(last)
 
 
+def joined(first: np.ndarray, last: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of strings that start from first to last: begin, end and text. No run goes on into the next text."""
+    order = np.argsort(first)
+    first = first[order]
+    reach = np.maximum.accumulate(last[order] + LENGTH)
+    doc = np.searchsorted(offsets, first, "right") - 1
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(new)
+    return first[starts], reach[np.append(starts[1:] - 1, len(first) - 1)] if len(first) else reach, doc[starts]
+
+
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
@@ -465,21 +482,15 @@ def _cut(n: int, told, carried: tuple[str, ...]):
             given = answers.pop(home, {})
             data, offsets = texts(batch)
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            hit = np.zeros(len(data) + 1, np.int64)
-            for i, part in enumerate(parts(batch, told.value[1], n)):
-                first, last = covered(part, *(_gathered(given.get((kind, i), [])) for kind in (ANSWERS, STRING_ANSWERS)))
-                hit += np.bincount(first, minlength=len(hit)) - np.bincount(last + LENGTH, minlength=len(hit))
-            gone = np.cumsum(hit[:-1]) > 0
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            # a run that goes on into the next text ends there
-            joint = offsets[1:-1]
-            joint = np.unique(joint[(joint > 0) & (joint < len(data))])
-            joint = joint[gone[joint] & gone[joint - 1]]
-            begin, end = (np.sort(np.concatenate([np.flatnonzero(edge == x), joint])) for x in (1, -1))
-            doc = np.searchsorted(offsets, begin, "right") - 1
+            found = [covered(part, *(_gathered(given.get((kind, i), [])) for kind in (ANSWERS, STRING_ANSWERS))) for i, part in enumerate(parts(batch, told.value[1], n))]
+            begin, end, doc = joined(*(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1)), offsets)
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[begin] += 1
+            edge[end] -= 1
+            gone = np.cumsum(edge[:-1], dtype=np.int8) > 0
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(offsets))), pa.int32()), pa.StructArray.from_arrays([pa.array(begin - offsets[doc]), pa.array(end - begin)], ["start", "length"]))
-            before = np.concatenate([[0], np.cumsum(gone)])
-            size, removed = np.diff(offsets), np.diff(before[offsets])
+            size = np.diff(offsets)
+            removed = np.bincount(doc, end - begin, len(size)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(removed), spans, _binary(data[~gone], size - removed), *(batch.column(c) for c in carried)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", *carried])
 
     return run
