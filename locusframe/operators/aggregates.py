@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import blocks, bounded_batches, bytes_of
+from ..functions.joins import null_safe
 
 #: Bytes of sequences whose k-mers are counted together before the shuffle, and starts that are taken at once.
 BLOCK, STARTS = 8 << 20, 4 << 20
@@ -33,18 +34,19 @@ def multilevel(df: DataFrame, levels: list[str], measures: list[Column]) -> Data
 
 
 def histogram_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Lower median from value counts: rows are pre-aggregated by value, and no group is collected."""
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("n"))
+    """Lower median from value counts: rows are pre-aggregated by value, and no group is collected. Null values don't count."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*group).orderBy(value)
     running = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
     return running.filter("2 * upto >= all").groupBy(*group).agg(F.min(value).alias("median"), F.first("all").alias("n"))
 
 
-def spread(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Median and median absolute deviation, each from counts by value."""
+def spread(df: DataFrame, group: list[str], value: str, more: list[Column] = ()) -> DataFrame:
+    """Median and median absolute deviation, each from counts by value. Null groups are a group. more: other aggregates."""
     middle = histogram_median(df, group, value)
-    away = df.join(middle.select(*group, "median"), group).withColumn("away", F.abs(F.col(value) - F.col("median")))
-    return middle.join(histogram_median(away, group, "away").select(*group, F.col("median").alias("mad")), group)
+    away = null_safe(df, middle.select(*group, "median"), group).withColumn("away", F.abs(F.col(value) - F.col("median")))
+    out = null_safe(middle, histogram_median(away, group, "away").select(*group, F.col("median").alias("mad")), group)
+    return null_safe(out, df.groupBy(*group).agg(*more), group) if more else out
 
 
 def robust_centre(df: DataFrame, value: str, weight: str, z: float) -> DataFrame:
@@ -62,9 +64,9 @@ def gated_counts(df: DataFrame, group: list[str], gates: list[tuple[str, Column]
 
 
 def best_hits(df: DataFrame, group: str, score: str, margin: float) -> DataFrame:
-    """Hits within a margin of their group's best."""
+    """Hits within a margin of their group's best. Rows without a group are one group; null scores are no hits."""
     best = df.groupBy(group).agg(F.max(score).alias("best"))
-    return df.join(best, group).filter(F.col(score) >= (1 - margin) * F.col("best"))
+    return null_safe(df, best, [group]).filter(F.col(score) >= (1 - margin) * F.col("best"))
 
 
 def abundance(hits: DataFrame, read: str, taxon: str, paths: DataFrame) -> DataFrame:

@@ -112,12 +112,71 @@ def metrics(pf_only: bool, aligned_only: bool) -> Column:
 
 def overclipped(least: int, both_ends: bool = True) -> Column:
     """Dropped: soft-clipped (at both ends, or at either) and with fewer aligned bases."""
-    first, last = F.element_at("cigar", 1)["op"] == "S", F.element_at("cigar", -1)["op"] == "S"
+    first, last = (F.coalesce(F.get("cigar", i)["op"] == "S", F.lit(False)) for i in (F.lit(0), F.size("cigar") - 1))
     return ~(((first & last) if both_ends else (first | last)) & (_consumed("MIX=") < least))
 
 
 def host_alignment(identity: int) -> Column:
-    return ~((_consumed("M=X") - _consumed("D")) >= identity)
+    """Dropped: reads that match a host in at least so many bases (aligned ones less deletions and less differences, by the tag NM)."""
+    differ = F.coalesce(F.col("tags")["NM"].cast("int"), F.lit(0))
+    return ~((_consumed("M=X") - _consumed("D") - differ) >= identity)
+
+
+def agrees_with_header(lengths: dict[str, int]) -> Column:
+    """Unmapped, or on a contig of the header and not past its end. lengths: of the contigs, which are few."""
+    known = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair]) if lengths else F.create_map().cast("map<string,int>")
+    return flag(4) | F.coalesce(F.col("start") <= F.try_element_at(known, F.coalesce("contig", F.lit(""))), F.lit(False))
+
+
+def evidence(least_quality: int, least_aligned: int) -> Column:
+    """Reads that may tell of a rearrangement: primary, no duplicates, mapped well enough, enough aligned bases."""
+    return PLAIN["primary_line"]() & ~flag(0x400) & ~flag(0x200) & _mapped() & F.col("mapq").between(least_quality, 254) & (_consumed("M=X") >= least_aligned)
+
+
+def variant_ids(ids: list[str]) -> Column:
+    return F.coalesce(F.col("id").isin(*ids), F.lit(False))
+
+
+def variant_type(ref: Column, alts: Column) -> Column:
+    """NO_VARIATION, SNP, MNP, INDEL, SYMBOLIC or MIXED, from the lengths of alleles."""
+    one = lambda a: F.when(a.rlike(r"^<|\[|\]"), "SYMBOLIC").when(F.length(a) != F.length(ref), "INDEL").when(F.length(ref) == 1, "SNP").otherwise("MNP")
+    kinds = F.array_distinct(F.transform(F.filter(alts, lambda a: a != "*"), one))
+    return F.when(F.size(kinds) == 0, "NO_VARIATION").when(F.size(kinds) == 1, kinds[0]).otherwise("MIXED")
+
+
+def variant_types(kinds: list[str]) -> Column:
+    return variant_type(F.col("ref"), F.col("alts")).isin(*kinds)
+
+
+def kept_by(df: DataFrame, conditions: dict[str, Column], key: str) -> DataFrame:
+    """For each filter by itself, how many rows it keeps and the sum of their keys. One scan; null drops."""
+    cells = []
+    for name, c in conditions.items():
+        keep = F.coalesce(c, F.lit(False))
+        cells.append(F.struct(F.lit(name).alias("filter"), F.count_if(keep).alias("n"), F.coalesce(F.sum(F.when(keep, F.col(key))), F.lit(0)).cast("long").alias("keys")))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def tag_genotypes(genotypes: Column, conditions: dict[str, Callable[[Column], Column]], missing: bool = False, invert: bool = False, to_no_call: bool = False) -> Column:
+    """Genotypes whose FT field lists the filters that they match (PASS if none). conditions: of a genotype's map of fields.
+
+    to_no_call: the alleles of a genotype that matches any become ".".
+    """
+
+    def one(g: Column) -> Column:
+        values = g["values"]
+        hit = lambda c: F.coalesce(c, F.lit(missing)) != F.lit(invert)
+        found = F.array_compact(F.array(*[F.when(hit(f(values)), F.lit(name)) for name, f in conditions.items()]))
+        old = F.filter(F.split(F.coalesce(F.try_element_at(values, F.lit("FT")), F.lit("")), ";"), lambda x: ~x.isin("", "PASS", "."))
+        every = F.array_distinct(F.concat(old, found))
+        told = F.when(F.size(every) == 0, "PASS").otherwise(F.array_join(every, ";"))
+        calls = F.regexp_replace(values["GT"], "[0-9]+", ".")
+        fields = F.map_from_entries(F.concat(F.filter(F.map_entries(values), lambda e: e["key"] != "FT"), F.array(F.struct(F.lit("FT").alias("key"), told.alias("value")))))
+        if to_no_call:
+            fields = F.transform_values(fields, lambda k, v: F.when((k == "GT") & (F.size(found) > 0), calls).otherwise(v))
+        return F.struct(g["sample"].alias("sample"), fields.alias("values"))
+
+    return F.transform(genotypes, one)
 
 
 def tag(df: DataFrame, conditions: dict[str, Column], name: str = "filters", missing: bool = False, invert: bool = False) -> DataFrame:

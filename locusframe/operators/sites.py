@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe
 from ..functions.scalars import error_probability, half_up
 
 #: Peak and spread of the prior on a shift of quality; greatest quality on the grid and of a result.
@@ -42,6 +43,7 @@ def recalibrated(df: DataFrame, group: str, reported: str, covariates: list[str]
     The rows are counted once by all keys; coarser tables are folded from that
     small table.  A quality shifts by group, then by reported quality, then by
     each covariate, each estimated with the shifts before it as its prior.
+    Null is a value of its own for each key.
     """
     keys = [group, reported]
     sums = lambda by, rows: rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
@@ -49,11 +51,11 @@ def recalibrated(df: DataFrame, group: str, reported: str, covariates: list[str]
     expected = F.sum(F.col("n") * error_probability(F.col(reported)))
     by_group = counts.groupBy(group).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), (-10 * F.log10(expected / F.sum("n"))).alias("base"))
     by_group = by_group.select(group, empirical_quality(F.col("errors"), F.col("n"), F.col("base")).alias("q1"))
-    by_quality = sums(keys, counts).join(by_group, group).select(*keys, empirical_quality(F.col("errors"), F.col("n"), F.col("q1")).alias("q2"))
-    out, shift = counts.join(by_quality, keys), F.lit(0.0)
+    by_quality = null_safe(sums(keys, counts), by_group, [group]).select(*keys, empirical_quality(F.col("errors"), F.col("n"), F.col("q1")).alias("q2"))
+    out, shift = null_safe(counts, by_quality, keys), F.lit(0.0)
     for i, c in enumerate(covariates):
-        own = sums([*keys, c], counts).join(by_quality, keys)
-        out = out.join(own.select(*keys, c, (empirical_quality(F.col("errors"), F.col("n"), F.col("q2")) - F.col("q2")).alias(f"shift{i}")), [*keys, c])
+        own = null_safe(sums([*keys, c], counts), by_quality, keys)
+        out = null_safe(out, own.select(*keys, c, (empirical_quality(F.col("errors"), F.col("n"), F.col("q2")) - F.col("q2")).alias(f"shift{i}")), [*keys, c])
         shift = shift + F.col(f"shift{i}")
     quality = F.greatest(F.lit(1), F.least(F.lit(MOST), half_up(F.col("q2") + shift)))
     return out.select(*keys, *covariates, "n", "errors", quality.cast("long").alias("recalibrated"))
@@ -61,7 +63,7 @@ def recalibrated(df: DataFrame, group: str, reported: str, covariates: list[str]
 
 def apply_recalibration(df: DataFrame, recal: DataFrame, keys: list[str], reported: str) -> DataFrame:
     """Rows with their new quality; one whose keys were never counted keeps the reported one."""
-    return df.join(recal.select(*keys, "recalibrated"), keys, "left").withColumn("recalibrated", F.coalesce("recalibrated", F.col(reported).cast("long")))
+    return null_safe(df, recal.select(*keys, "recalibrated"), keys, "left").withColumn("recalibrated", F.coalesce("recalibrated", F.col(reported).cast("long")))
 
 
 def diploid_likelihoods(df: DataFrame, keys: list[str], alt: Column, quality: Column) -> DataFrame:

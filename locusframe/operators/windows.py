@@ -1,30 +1,33 @@
-"""Ranking and order-dependent operators. Windows are partitioned by a key; none sorts all rows in one task."""
+"""Ranking and order-dependent operators. None sorts all rows in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import null_safe
+from .ordered import beside, ranged, running
+
 
 def mark_duplicates(df: DataFrame, key: list[Column], score: Column, tie: Column) -> DataFrame:
     """duplicate is false for the row of each key with the greatest score, ties to the smallest ``tie``.
 
     The winner comes from an aggregate, so a key that a third of all rows has
-    is no single task's group.
+    is no single task's group.  Null keys are equal to each other; a null score
+    is less than any other, a null ``tie`` greater.
     """
     keyed = df.withColumns({f"key{i}": k for i, k in enumerate(key)}).withColumns({"own_score": score, "own_tie": tie})
     names = [f"key{i}" for i in range(len(key))]
     best = keyed.groupBy(*names).agg(F.max(F.struct("own_score", (-F.col("own_tie")).alias("t"))).alias("best"))
-    joined = keyed.join(best, names)
-    return joined.withColumn("duplicate", ~((F.col("own_score") == F.col("best.own_score")) & (-F.col("own_tie") == F.col("best.t")))).drop(*names, "own_score", "own_tie", "best")
+    joined = null_safe(keyed, best, names)
+    return joined.withColumn("duplicate", ~(F.col("own_score").eqNullSafe(F.col("best.own_score")) & (-F.col("own_tie")).eqNullSafe(F.col("best.t")))).drop(*names, "own_score", "own_tie", "best")
 
 
 def runs(df: DataFrame, contig: str, at: str, label: Column, measures: list[Column]) -> DataFrame:
-    """Blocks of consecutive rows with equal labels (reference-block banding): start, end, label and measures."""
-    w = Window.partitionBy(contig).orderBy(at)
-    marked = df.withColumn("label", label)
-    changes = F.when(F.lag("label").over(w).eqNullSafe(F.col("label")) & F.lag(at).over(w).isNotNull(), 0).otherwise(1)
-    numbered = marked.withColumn("changes", changes).withColumn("run", F.sum("changes").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Blocks of consecutive rows with equal labels: start, end, label and measures. ``at`` must tell a contig's rows apart."""
+    rows = beside(ranged(df.withColumn("label", label), [contig], [at]), [contig], [at], F.struct("label"), "last", after=False)
+    changes = F.when(F.col("last").isNotNull() & F.col("last.label").eqNullSafe(F.col("label")), 0).otherwise(1)
+    numbered = running(rows, [contig], [at], changes, "sum", "run")
     return numbered.groupBy(contig, "run", "label").agg(F.min(at).alias("start"), F.max(at).alias("end"), *measures)
 
 
@@ -37,9 +40,11 @@ def clustered(df: DataFrame, contig: str, at: str, tie: str, size: int, span: in
 
 def remove_near(df: DataFrame, contig: str, at: str, tie: str, least: int) -> DataFrame:
     """Rows with no neighbour within ``least``; the nearest row seen counts even if it goes itself."""
-    w = Window.partitionBy(contig).orderBy(at, tie)
-    before, after = F.col(at) - F.lag(at).over(w), F.lead(at).over(w) - F.col(at)
-    return df.withColumn("near", F.coalesce(before <= least, F.lit(False)) | F.coalesce(after <= least, F.lit(False))).filter("not near").drop("near")
+    rows = ranged(df, [contig], [at, tie])
+    rows = beside(rows, [contig], [at, tie], F.col(at), "before", after=False)
+    rows = beside(rows, [contig], [at, tie], F.col(at), "after")
+    near = F.coalesce(F.col(at) - F.col("before") <= least, F.lit(False)) | F.coalesce(F.col("after") - F.col(at) <= least, F.lit(False))
+    return rows.filter(~near).drop("pid", "before", "after")
 
 
 def downsample(df: DataFrame, contig: str, at: str, rank_by: Column, n: int) -> DataFrame:

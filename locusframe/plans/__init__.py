@@ -1,5 +1,5 @@
 """Named queries: importing the package registers all of them."""
 
-from . import catalog, sites
+from . import catalog, reads, sites
 
-__all__ = ["catalog", "sites"]
+__all__ = ["catalog", "reads", "sites"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the rows of a Parquet table (a folder, or one file)."""
@@ -29,21 +31,16 @@ def deduplicated(events: DataFrame, time: str, key: str, late: str) -> DataFrame
 
 
 def finished(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to its end into a written table in the shared folder, and read that.
+    """Run a stream to its end into a table in the shared folder, and read that.
 
-    Append mode holds back windows that the watermark hasn't passed; complete mode needs a memory table.
+    Append mode holds back windows that the watermark hasn't passed; complete
+    mode writes the whole result anew after each batch. Nothing comes to the driver.
     """
     spark = df.sparkSession
+    base = scratch(spark, name)
     if mode == "append":
-        import uuid
-
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not top:
-            import tempfile
-
-            top = tempfile.mkdtemp(prefix="shared-")
-        base = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.writeStream.format("parquet").option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start(base).awaitTermination()
-        return spark.read.schema(df.schema).parquet(base)
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+        writer = df.writeStream.format("parquet").option("path", base)
+    else:
+        writer = df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(base))
+    writer.option("checkpointLocation", f"{base}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(base)
