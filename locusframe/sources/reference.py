@@ -73,10 +73,10 @@ def gc_share(bases: Column) -> Column:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, bases, quals of FASTQ files. Their records have no mark to split at, so a file is one task's: many files should hold them."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
-    rows = lines.select("l", F.explode(F.sequence(F.lit(0), F.size("l") - 4, F.lit(4))).alias("i")).filter("size(l) >= 4")
-    at = lambda k: F.get("l", F.col("i") + k)
-    return rows.select(F.substr(F.split_part(at(0), F.lit(" "), F.lit(1)), F.lit(2)).alias("name"), at(1).alias("bases"), F.transform(F.split(at(3), ""), lambda c: F.ascii(c) - 33).alias("quals"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    at = lambda i: F.get("l", i)
+    record = lambda i: F.struct(F.substr(F.split_part(at(i), F.lit(" "), F.lit(1)), F.lit(2)).alias("name"), at(i + 1).alias("bases"), F.transform(F.split(at(i + 3), ""), lambda c: F.ascii(c) - 33).alias("quals"))
+    return lines.filter(F.size("l") >= 4).select(F.inline(F.transform(F.sequence(F.lit(0), F.size("l") - 4, F.lit(4)), record)))
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:

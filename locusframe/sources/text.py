@@ -197,6 +197,11 @@ def read_variants(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def _sample_text(name: str, keys: Column) -> Column:
+    own = F.get(F.filter("genotypes", lambda g: g["sample"] == name), F.lit(0))["values"]
+    return F.when(own.isNotNull(), F.array_join(F.transform(keys, lambda k: F.coalesce(F.try_element_at(own, k), F.lit("."))), ":"))
+
+
 def vcf_line(samples: list[str]) -> Column:
     """A site as a line; INFO in order of keys, FORMAT with GT first."""
     dot = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("."))
@@ -207,9 +212,8 @@ def vcf_line(samples: list[str]) -> Column:
     if samples:
         used = F.array_sort(F.array_distinct(F.flatten(F.transform("genotypes", lambda g: F.map_keys(g["values"])))))
         keys = F.concat(F.filter(used, lambda k: k == "GT"), F.filter(used, lambda k: k != "GT"))
-        own = lambda name: F.filter("genotypes", lambda g: g["sample"] == name)[0]["values"]
         columns.append(dot(F.array_join(keys, ":")))
-        columns += [F.coalesce(F.array_join(F.transform(keys, lambda k, n=name: F.coalesce(F.try_element_at(own(n), k), F.lit("."))), ":"), F.lit(".")) for name in samples]
+        columns += [F.coalesce(_sample_text(name, keys), F.lit(".")) for name in samples]
     return F.concat_ws("\t", *columns)
 
 
