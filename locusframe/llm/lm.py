@@ -141,22 +141,31 @@ def _total(n: int):
     return run
 
 
+def without_own(found: list[tuple[np.ndarray, np.ndarray]], totals: np.ndarray) -> list[np.ndarray]:
+    """For each n-gram its total less its own document's count, by n. One stable sort: equal n-grams stay in the order of documents."""
+    every = np.concatenate([g for g, _ in found])
+    doc = np.concatenate([np.repeat(np.arange(len(to) - 1, dtype=np.int32), np.diff(to)) for _, to in found])
+    place = np.argsort(every, kind="stable")
+    every, doc = every[place], doc[place]
+    new = np.ones(len(place), bool)
+    new[1:] = every[1:] != every[:-1]
+    run = new.copy()
+    run[1:] |= doc[1:] != doc[:-1]
+    del every, doc
+    first = np.flatnonzero(run)
+    own = np.diff(first, append=len(place))
+    rest = totals[np.cumsum(new)[first]] - own  # the first total is the empty n-gram's
+    out = np.empty(len(place), np.int64)
+    out[place] = np.repeat(rest, own)
+    return np.split(out, np.cumsum([to[-1] for _, to in found])[:-1])
+
+
 def document_scores(data: np.ndarray, offsets: np.ndarray, totals: np.ndarray, order: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
     """Words and sum of log scores of each text of a block. totals: of the block's distinct n-grams, in order."""
     found, bounds = block_grams(data, offsets, order)
     words = np.diff(bounds)
-    hashes, _ = distinct(found, 0)
-    others = []  # for each n: how often each n-gram occurs in other documents
-    for g, to in found:
-        at = np.searchsorted(hashes, g)
-        doc = np.repeat(np.arange(len(words)), np.diff(to))
-        key = np.lexsort((at, doc))
-        new = np.ones(len(key), bool)
-        new[1:] = (at[key][1:] != at[key][:-1]) | (doc[key][1:] != doc[key][:-1])
-        first = np.flatnonzero(new)
-        own = np.empty(len(key), np.int64)
-        own[key] = np.diff(first, append=len(key))[np.cumsum(new) - 1]
-        others.append(totals[at] - own)
+    others = without_own(found, totals)  # for each n: how often each n-gram occurs in other documents
+    found = [(None, to) for _, to in found]
     rest = np.repeat(totals[0] - words, words)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(others[0] > 0, others[0] / rest, 1 / (rest + 1.0))
