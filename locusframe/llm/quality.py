@@ -1,16 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame and SQL functions only.
 
 Fixed base checks reject texts that are short or repeat themselves.  Each rule
-then rejects a text whose value exceeds the rule's cutoff for the text's
-stratum (its language).  Cutoffs are chosen from a fixed grid, from lenient to
-strict, on labelled good texts that pass the base checks: a cutoff is
-certified if, were the share of good texts that it rejects as high as the
-rule's allowance, so few rejections would have a probability (exact binomial)
-of at most DELTA, divided by the number of strata and rules (Bonferroni).
-Testing within a rule and stratum stops at the first cutoff that fails (fixed
-sequence), so it needs no further correction.  With probability 1 - DELTA, no
-stratum loses more than RISK of its good texts to the rules together.  A
-stratum with too few labels gets no cutoff, and its texts are kept.
+then rejects a text whose value exceeds the rule's cutoff.  The cutoffs of all
+rules are tightened in fixed steps, from lenient to strict, a level of each
+rule after the other; how many steps are taken is decided for each stratum (a
+text's language) on its labelled good texts that pass the base checks.  A step
+is certified if, were the share of good texts that all cutoffs so far reject
+together as high as RISK, so few rejections would have a probability (exact
+binomial) of at most DELTA divided by the number of strata (Bonferroni).  The
+first step that fails ends the stratum's sequence (fixed-sequence testing), so
+the steps need no further correction.  With probability 1 - DELTA, no stratum
+loses more than RISK of its good texts to the rules.  Copies of a labelled text
+are one trial; near copies count as if they were independent.  A stratum needs
+some 60 to 100 labelled good texts (with RISK and DELTA of 0.05 and up to ten
+strata); with fewer it gets no cutoff, and its texts are kept.
 """
 
 from __future__ import annotations
@@ -43,22 +46,16 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three that is found twice or more.
 
-    Hashes of the windows are sorted with their positions in the low bits, so
-    equal windows become neighbours; no step is quadratic in the text.
+    Hashes of the windows are sorted with their positions, so equal windows
+    become neighbours; no step is quadratic in the text.
     """
     n = F.size(words)
     hashes = bound(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
 
     def covered(h: Column) -> Column:
-        low = bound(F.size(h), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(k + 1)).cast("int")) - 1)
-        ordered = bound(low, lambda m: F.array_sort(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))))
-
-        def where(s: Column, m: Column) -> Column:
-            at = lambda x: x.bitwiseAND(m).cast("int")
-            value = lambda x: F.get(h, at(x))
-            return F.array_sort(F.transform(F.filter(s, lambda x, i: (value(x) == value(F.get(s, i - 1))) | (value(x) == value(F.get(s, i + 1)))), at))
-
-        places = bound(low, lambda m: bound(ordered, lambda s: where(s, m)))
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        again = lambda s: F.filter(s, lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False)))
+        places = bound(ordered, lambda s: F.array_sort(F.transform(again(s), lambda x: x["at"])))
         return bound(places, lambda p: F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3), F.get(p, i + 1) - x), F.lit(3))), F.lit(0), lambda a, x: a + x))
 
     return F.when(n < 4, F.lit(0)).otherwise(bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
@@ -81,6 +78,7 @@ def features(docs: DataFrame) -> DataFrame:
         long(repeated_words(F.col("words")), "n_repeat_words"),
         long(F.size("lines"), "n_lines"),
         long(F.regexp_count("body", F.lit("[!?]")), "n_marks"),
+        F.xxhash64("body").alias("hash"),
     ).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
@@ -95,40 +93,57 @@ def binomial(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), first, add)["s"]
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum, with each rule's cutoff (null: the rule isn't used there). rows: of features()."""
+#: Steps in order: rule and cutoff.
+STEPS = [(rule, grid[level]) for level in range(max(len(g) for _, g in RULES.values())) for rule, (_, grid) in RULES.items() if level < len(grid)]
+
+
+def first_step() -> str:
+    """The first step whose cutoff a text exceeds, as SQL; their number if it exceeds none. Needs a word."""
+    cases = []
+    for rule, (value, _) in RULES.items():
+        cases.append("case " + " ".join(f"when {value} > {c} then {i}" for i, (r, c) in enumerate(STEPS) if r == rule) + f" else {len(STEPS)} end")
+    return f"least({', '.join(cases)})"
+
+
+def certified(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, steps (how many are taken), n (labelled good texts). rows: of features(), with step.
+
+    What is counted is a number for each stratum and step.
+    """
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    held = rows.filter("not base_failed").join(good, "doc_id")
-    counts = [F.count_if(F.expr(f"{value} > {c}")).alias(f"{rule}_{i}") for rule, (value, grid) in RULES.items() for i, c in enumerate(grid)]
-    tallies = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    tests = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, grid) in RULES.items() for i, c in enumerate(grid)]))
-    share = risk / len(RULES)
+    held = rows.filter("not base_failed").join(good, "doc_id").groupBy("stratum", "hash").agg(F.min("step").alias("step"))
+    tallies = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("step") <= i).alias(f"k{i}") for i in range(len(STEPS))])
     strata = rows.select("stratum").distinct().agg(F.count("*").alias("strata"))  # one row
-    tested = tallies.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*").join(F.broadcast(strata))
-    p = F.when(F.col("k") < F.col("n") * share, binomial(F.col("k"), F.col("n"), share)).otherwise(1.0)
-    failed = tested.withColumn("failed", p > delta / (F.col("strata") * len(RULES)))
-    chosen = failed.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(F.col("failed"), F.col("i"))), F.lit(1 << 20)).alias("stop"), F.collect_list(F.struct("i", "cutoff")).alias("grid"))  # a grid's length at most
-    value = F.aggregate("grid", F.lit(None).cast("int"), lambda a, x: F.when(x["i"] < F.col("stop"), F.least(a, x["cutoff"])).otherwise(a))
-    return chosen.select("stratum", "rule", value.alias("cutoff")).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    tests = tallies.crossJoin(F.broadcast(strata)).select("stratum", "n", "strata", F.posexplode(F.array(*[f"k{i}" for i in range(len(STEPS))])).alias("i", "k"))
+    p = F.when(F.col("k") < F.col("n") * risk, binomial(F.col("k"), F.col("n"), risk)).otherwise(1.0)
+    return tests.withColumn("failed", p > F.lit(delta) / F.col("strata")).groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("failed"), F.col("i"))), F.lit(len(STEPS))).alias("steps"), F.first("n").alias("n"))
+
+
+def cutoffs(steps: DataFrame) -> DataFrame:
+    """A row for each stratum with the cutoff of each rule after its steps; null: the rule isn't used there."""
+    last = lambda rule: F.coalesce(*[F.when(F.col("steps") > i, F.lit(c)) for i, (r, c) in reversed(list(enumerate(STEPS))) if r == rule])
+    return steps.select("stratum", "n", *[last(rule).alias(rule) for rule in RULES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed and kept for every row of docs.
 
     docs: doc_id, text, lang; labels: doc_id, quality (1: good); more columns
-    are ignored.  A null doc_id has no label and is judged like others;
-    repeated rows each give a row; no rows give no rows.
+    are ignored.  A null text has no words and fails the base checks, as does
+    an empty one; a null language is a stratum.  A null doc_id has no label and
+    is judged like others; repeated rows each give a row; of repeated or
+    opposite labels of one doc_id a good one counts.  Texts of any length are
+    judged as a whole.  No rows give no rows; without labels only the base
+    checks reject.
     """
-    rows = written(features(docs.select("doc_id", "text", "lang")), "features")
-    limits = cutoffs(rows, labels, risk, delta)
-    rejected = F.lit(False)
-    for rule, (value, _) in RULES.items():
-        rejected |= F.coalesce(F.expr(value) > F.col(rule), F.lit(False))
-    out = rows.join(limits, "stratum", "left")
+    rows = features(docs.select("doc_id", "text", "lang")).withColumn("step", F.when(~F.col("base_failed"), F.expr(first_step())))
+    rows = written(rows, "features")
+    out = rows.join(certified(rows, labels, risk, delta).select("stratum", "steps"), "stratum", "left")
+    rejected = F.coalesce(F.col("step") < F.col("steps"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "n_lines", "n_marks")
 
 
-_RULES_SQL = ",\n    ".join(f"('{rule}', {i}, {c})" for rule, (_, grid) in RULES.items() for i, c in enumerate(grid))
+_STEPS_SQL = ", ".join(f"({i}, '{rule}', {c})" for i, (rule, c) in enumerate(STEPS))
 _VALUE_SQL = "case rule " + " ".join(f"when '{rule}' then {value.replace(' div ', ' // ')}" for rule, (value, _) in RULES.items()) + " end"
 SQL = f"""
 with d as (select row_number() over () rid, doc_id, coalesce(lang, 'none') stratum, coalesce(text, '') body from documents),
@@ -136,16 +151,16 @@ w as (select rid, list_filter(regexp_split_to_array(body, '[\\x20\\x09-\\x0D]+')
 g as (select rid, unnest(range(1, len(ws) - 1)) i, ws from w where len(ws) >= 3),
 h as (select rid, i, count(*) over (partition by rid, ws[i], ws[i + 1], ws[i + 2]) c from g),
 r as (select rid, count(distinct p) n from (select rid, unnest([i, i + 1, i + 2]) p from h where c > 1) group by rid),
-f as (select d.doc_id, d.stratum, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
+f as (select d.rid, d.doc_id, d.stratum, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
   len(regexp_extract_all(body, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words,
   len(ls)::bigint n_lines, len(regexp_extract_all(body, '[!?]'))::bigint n_marks, (len(ws) < 50 or 100 * coalesce(r.n, 0) > 50 * len(ws)) base_failed
   from d join w using (rid) left join r using (rid)),
-grid(rule, i, cutoff) as (values {_RULES_SQL}),
-held as (select * from f where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
-tallies as (select stratum, rule, i, cutoff, count(*) n, count(*) filter ({_VALUE_SQL} > cutoff) k from held, grid group by all),
-tests as (select *, case when k < n * {RISK / len(RULES)} then (select sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({RISK / len(RULES)}) + (n - x) * ln({1 - RISK / len(RULES)}))) from range(0, k + 1) t(x)) else 1 end p from tallies),
-stops as (select stratum, rule, coalesce(min(i) filter (p > {DELTA} / ({len(RULES)} * (select count(distinct stratum) from f))), 1048576) stop from tests group by all),
-cuts as (select stratum, rule, min(cutoff) cutoff from tests join stops using (stratum, rule) where i < stop group by all)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_marks,
-  not base_failed and not exists (select 1 from cuts where cuts.stratum = f.stratum and {_VALUE_SQL} > cutoff) kept from f
+chain(i, rule, cutoff) as (values {_STEPS_SQL}),
+hit as (select f.doc_id, f.rid, stratum, min(i) i from f, chain where not base_failed and {_VALUE_SQL} > cutoff group by all),
+held as (select f.stratum, d.body, min(coalesce(hit.i, {len(STEPS)})) i from f join d using (rid) left join hit on hit.rid = f.rid where not base_failed and f.doc_id in (select doc_id from labels where quality = 1) group by all),
+tallies as (select stratum, c.i, count(*) n, count(*) filter (held.i <= c.i) k from held, chain c group by all),
+tests as (select *, case when k < n * {RISK} then (select sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({RISK}) + (n - x) * ln({1 - RISK}))) from range(0, k + 1) t(x)) else 1 end p from tallies),
+stops as (select stratum, coalesce(min(i) filter (p > {DELTA} / (select count(distinct stratum) from f)), {len(STEPS)}) steps from tests group by all)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_marks,
+  not base_failed and coalesce(hit.i >= steps, true) kept from f left join hit on hit.rid = f.rid left join stops on stops.stratum = f.stratum
 """

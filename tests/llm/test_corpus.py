@@ -330,13 +330,57 @@ def test_binomial(spark):
 
 
 def test_cutoffs_limit_false_rejection(spark):
-    """2,000 good texts, 1 in 50 of them with many marks: no cutoff may reject those."""
-    rows = [(i, " ".join(["plain"] * 3 + [f"w{i}x{j}" + ("!!" if i % 50 == 0 else "") for j in range(60)]), "en") for i in range(2000)] + [(5000 + i, " ".join(f"v{i}x{j}!!!!!" for j in range(60)), "en") for i in range(50)]
+    """2,000 good texts, 1 in 10 of them with many marks, more than the allowed share: no cutoff may reject those."""
+    rows = [(i, " ".join(["plain"] * 3 + [f"w{i}x{j}" + ("!!" if i % 10 == 0 else "") for j in range(60)]), "en") for i in range(2000)] + [(5000 + i, " ".join(f"v{i}x{j}!!!!!" for j in range(60)), "en") for i in range(50)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id: r.kept for r in quality.judge(d, spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality int")).collect()}
     assert all(kept[i] for i in range(2000)) and not any(kept[5000 + i] for i in range(50))
 
 
+def test_verdicts_against_brute_force(spark):
+    """Two languages, one with too few labels; copies of a labelled text are one trial; the verdict of every text by the stated method."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        marks, symbols = rng.choice([0] * 20 + [1]), rng.choice([0] * 30 + [1, 1, 2])
+        words = [f"w{i}x{j}" + "!" * (marks and rng.randrange(3)) + "#" * (symbols and rng.randrange(symbols + 1)) for j in range(rng.randrange(45, 80))]
+        rows.append((i, " ".join(words), "few" if i % 10 == 0 else "many"))
+    rows += [(1000 + i, rows[1][1] + "", "many") for i in range(300)] + [(2000, None, "many"), (2001, "", None)]
+    labels = {i: int(rng.random() < 0.7) for i in range(2002)}
+
+    def figures(text):
+        w, ls = (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+        n, chars, symbols, marks = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), sum(c in "!?" for c in text or "")
+        return n, {"symbols": 100 * symbols, "repeats": 0, "lines": (100 * (len(ls) - len(set(ls))) // max(len(ls), 1)) * n, "long": 100 * chars, "short": -100 * chars, "marks": 100 * marks}
+
+    def first(text):
+        n, f = figures(text)
+        if n < 50:
+            return None
+        value = {k: int(x / n) for k, x in f.items()}
+        return min([i for i, (rule, c) in enumerate(quality.STEPS) if value[rule] > c], default=len(quality.STEPS))
+
+    taken = {}
+    for lang in ("few", "many"):
+        held = {t: first(t) for d, t, x in rows if x == lang and labels[d] and first(t) is not None}
+        taken[lang] = 0
+        for i in range(len(quality.STEPS)):
+            k, n = sum(x <= i for x in held.values()), len(held)
+            p = sum(math.comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1)) if k < n * quality.RISK else 1
+            if p > quality.DELTA / 3:
+                break
+            taken[lang] = i + 1
+    assert taken["few"] == 0 and 0 < taken["many"] < len(quality.STEPS)
+    want = {d: first(t) is not None and first(t) >= taken.get(x, 0) for d, t, x in rows}
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.judge(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    assert {r.doc_id: r.kept for r in found} == want and 0 < sum(not r.kept and not r.base_failed for r in found)
+    steps = quality.certified(quality.features(d).withColumn("step", F.when(~F.col("base_failed"), F.expr(quality.first_step()))), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    assert {r.stratum: r.steps for r in steps.collect()} == taken
+    limits = {r.stratum: r for r in quality.cutoffs(steps).collect()}
+    assert all(limits["many"][rule] == min([c for r, c in quality.STEPS[: taken["many"]] if r == rule], default=None) for rule in quality.RULES)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 8).round(1).astype(float).tolist(), 0) for i in range(300)] + [(500, None, 0), (550, [None] * 8, 0), (600, [float("nan")] * 8, 0), (650, [0.5] * 8, 1), (651, [0.5] * 8, 1)]
