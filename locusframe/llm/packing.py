@@ -156,7 +156,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = 1024, end_id: in
 
     docs: doc_id and text; more columns are ignored.  Ids are those of the
     byte-level BPE vocabulary at ``path`` (as the ``tokenizers`` library gives
-    them, strings of special tokens being ordinary text), then ``end_id``.
+    them without adding special tokens), then ``end_id``.
     A null or empty text is that one id.  A null doc_id stays null; repeated
     rows are packed like others.  No rows give no rows.  Documents keep the
     order in which their task reads them.  sequence_id is unique, not gapless.

@@ -38,20 +38,30 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+@lru_cache(2)
+def special_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a JSON file, which the ``tokenizers`` library finds in texts before anything else; a rank file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
 @lru_cache(2)
 def encoding(path: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens=special_tokens(path))
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    """Ids of a text; strings of special tokens are ordinary text."""
-    return encoding(path).encode_to_numpy(text, disallowed_special=())
+    """Ids of a text, as the library that reads the file gives them: a JSON file's added tokens count wherever their text occurs."""
+    return encoding(path).encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(2)
 def token_bytes(path: str) -> list[bytes]:
-    out = [b""] * (max(ranks(path).values()) + 1)
-    for token, i in ranks(path).items():
+    every = ranks(path) | {text.encode(): i for text, i in special_tokens(path).items()}
+    out = [b""] * (max(every.values()) + 1)
+    for token, i in every.items():
         out[i] = token
     return out
 
