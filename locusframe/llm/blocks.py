@@ -17,6 +17,7 @@ operations only, without a Python object for each word.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -46,16 +47,13 @@ def buckets(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's, or a temporary one if it names none (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share, as the session names it. Without one, a temporary folder, but only where all tasks run on this machine (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        top = kept
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
 
 
@@ -64,7 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that written() returned and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

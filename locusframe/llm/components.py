@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import written
+from .blocks import discard, written
 
 FOREST = 500_000
 
@@ -62,12 +62,17 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: u, v (long). Returns node and component, its smallest node, for every node that differs from it."""
+    """links: u, v (long). Returns node and component, its smallest node, for every node that differs from it.
+
+    A link with a null end links nothing; repeated links and loops change
+    nothing; no links give no rows. Each step's table replaces the one before.
+    """
     links = written(links.select("u", "v").filter("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "links")
     state = None
     while True:
-        links = written(_small_star(_large_star(links)), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if now == state:
+        now = written(_small_star(_large_star(links)), "links")
+        discard(links)
+        links, seen = now, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        if seen == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        state = seen

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import COMBINE, LOWER, SPACE, buckets, exchange, groups, mixed, pack, prepare, texts, unpack, windows, word_hashes, written
+from .blocks import COMBINE, LOWER, SPACE, buckets, discard, exchange, groups, mixed, pack, prepare, texts, unpack, windows, word_hashes, written
 from .components import components
 
 SIZE = 5
@@ -311,6 +311,7 @@ def join(docs: DataFrame) -> DataFrame:
         done = done.unionByName(tested)
         group = components(_edges(group).unionByName(written(verified(tested, nodes, sources), "links")))
         before, turn = apart, turn + 1
+        discard(placed)
         placed, apart = _placed(shared, group)
         if 2 * apart > before:
             break
@@ -319,9 +320,29 @@ def join(docs: DataFrame) -> DataFrame:
     across = placed.join(right, "key").filter("component < component2 and 4 * n >= 3 * n2 and 4 * n2 >= 3 * n and 7 * least(n - place, n2 - place2) >= 3 * (n + n2)").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     rest = verified(across.join(done, ["a", "b"], "left_anti"), nodes, sources)
     group = components(_edges(group).unionByName(rest))
-    named = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(best, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _named(members, group)
+
+
+#: A key's rows are dealt to so many tasks in the last joins: a third of all rows may be copies of one text, or of one group.
+SALT = 64
+
+
+def _dealt(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """A left join whose left rows of one key are dealt by a hash of ``by``; right, which has a row for each key, is repeated."""
+    some = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)))
+    every = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return some.join(every, [key, "salt"], "left").drop("salt")
+
+
+def _named(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Each row with the smallest doc_id of its group. Only nodes of several documents or in a group with others are looked up."""
+    nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    placed = nodes.join(group, "node", "left")
+    best = placed.withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.min("least").alias("best"), F.sum("c").alias("of"), F.count("*").alias("parts")).filter("of > 1")
+    several = _dealt(placed.withColumn("component", F.coalesce("component", "node")), best.filter("parts > 1").select("component", "best"), "component", "node").filter("best is not null or c > 1")
+    known = several.select("node", F.coalesce("best", "least").alias("component_id"))
+    named = _dealt(members.select("doc_id", F.col("n").alias("n_shingles"), "node"), known, "node", "doc_id")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _edges(group: DataFrame) -> DataFrame:
@@ -331,9 +352,10 @@ def _edges(group: DataFrame) -> DataFrame:
 def _placed(shared: DataFrame, group: DataFrame) -> tuple[DataFrame, int]:
     """Nodes by shingle, with their groups, of shingles that more than one group has; and how many (shingle, group) there are."""
     placed = shared.join(group, "node", "left").select("key", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi"), "open")
+    every = written(placed, "placed")
+    open_keys = every.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    placed = written(every.join(open_keys, "key", "left_semi"), "open")
+    discard(every)
     return placed, placed.select("key", "component").distinct().count()
 
 

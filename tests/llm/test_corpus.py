@@ -33,7 +33,7 @@ BASE = prose(120)
 TEXTS = [
     None, "", " \n\t ", "one two", "one two", "a b c d e", BASE, BASE, BASE + " tail", BASE.replace("the", "THE"), prose(40) + " " + PASSAGE + " " + prose(30),
     PASSAGE + prose(5), prose(10) + PASSAGE, "x" * 300, "x" * 120, "é" * 80, "日本語 テキスト ½ ²  \n\n end\r\n", prose(3000), prose(3000) + " " + BASE,
-    "Line one here.\nLine one here.\nAll rights reserved.\n", "<|endoftext|> it's 12 o'clock   ok", "\x1c odd \x85 space\xa0here",
+    "Line one here.\nLine one here.\nAll rights reserved.\n", "<|endoftext|> it's 12 o'clock   ok", "\x1c odd \x85 space\xa0here", "a <|endoftext|>b<|endoftext|><|endoftext|> <|endoftext",
 ]
 
 
@@ -67,7 +67,6 @@ def test_vocabulary_forms_agree():
 
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(vocabulary.json_file())
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(docs).collect()
     want = Counter()
     for d, t in given(docs):
@@ -389,7 +388,39 @@ def test_top_k(spark):
     want = [(q, r + 1, i, s) for q in x if q % 50 == 0 for r, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5])]
     got = [(r.query_id, r["rank"], r.vec_id, -r.score) for r in topk.top_k(d).collect()]
     assert sorted(got) == sorted(want)
-    assert topk.top_k(d.limit(0)).count() == 0
+    assert topk.top_k(d.limit(0)).count() == 0 and topk.top_k(d.filter("vec_id % 50 <> 0")).count() == 0
+
+
+def test_top_k_of_repeated_ids_lengths_and_clashing_columns(spark):
+    """Rows of one id are candidates for each other; a third of all rows has one vector; other lengths are apart; columns named as inner ones."""
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 120)), rng.normal(0, 40, 6).tolist() if i % 3 else [1.0] * 6) for i in range(400)] + [(50, [1.0, 2.0]), (51, [-1.0, 3.0]), (100, [2e4, -2e4]), (None, [1.0, 1.0])]
+    d = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id long, embedding array<double>, block int, kind int, n string").repartition(3)
+    x = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None]
+    want = []
+    for a, (q, v) in enumerate(x):
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for b, (i, w) in enumerate(x) if b != a and len(w) == len(v))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    got = [tuple(r) for r in topk.top_k(d).collect()]
+    assert sorted(got) == sorted(want)
+    with pytest.raises(Exception, match="or more"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [0.1])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_digits_and_skipped_blocks():
+    for q in [*range(-70, 71), 2**24 + 5, -(2**25) + 1]:
+        own = topk.digits(q)
+        assert sum(s << p if s > 0 else -(1 << p) for p, s in own) == q and all(b[0] - a[0] > 1 for a, b in itertools.pairwise(own))
+    rng = np.random.default_rng(3)
+    values, queries = rng.integers(-300, 300, (77, 5)), rng.integers(-300, 300, (20, 5))
+    index, low = topk.slices(values)
+    raw = b"".join(s.to_bytes(10, "little") for own in index for s in own)
+    block = topk.Block(77, np.arange(77).tobytes(), low.tobytes(), np.array([len(x) for x in index], np.uint8).tobytes(), raw)
+    exact = queries @ values.T
+    assert (block.bounds(queries) >= exact.max(1)).all()
+    for q, own in zip(queries, exact):
+        assert sorted(block.best(q, 4, 3), reverse=True) == sorted(((int(s), i) for i, s in enumerate(own) if i != 3), reverse=True)[:4]
 
 
 def test_licences(docs, empty):
