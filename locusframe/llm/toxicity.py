@@ -5,14 +5,19 @@ words: the number of distinct words before a bigram, backed off to the number
 of distinct words that a word follows in that class, backed off to counts that
 both classes share: in how many of the two classes a word occurs at all.  (The
 plain counts of a highest order are left out: copies of one passage would
-swell them.)  A rare expression thus gets
-nearly the same probability from both classes, while one that is frequent in
-one class only stands out.  The evidence of a text is the difference of the
-two log-likelihoods, divided by the number of words, and the mean of the TOP
-words that add most to it (a long text may hold few such words; the logarithm
-of its length allows for more words meaning more chances).  A logistic curve
-over these, fitted on a part of the sample that the models haven't seen, turns
-them into a probability.
+swell them.)  A rare expression thus gets nearly the same probability from both
+classes, while one that is frequent in one class only stands out.
+
+The evidence of a text is the difference of the two log-likelihoods, divided by
+the number of words, and the mean of the TOP words that add most to it (a long
+text may hold few such words; the logarithm of its length allows for more words
+meaning more chances).  A logistic curve over these turns them into a
+probability.  It is fitted on the whole sample: the evidence of each of FOLDS
+parts comes from models that haven't seen that part.
+
+The sample is bounded in documents and bytes.  Its bigrams are counted and
+summed up by word in tables; what comes to the driver is a row for each word,
+and for each bigram that is seen LEAST times.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from pyspark.sql import types as T
 
 from .blocks import LOWER, crc32_mod, groups, prepare, texts, word_hashes, written
 
-#: About so many labelled documents of each class, at most, are learned from; every CHECK-th of them calibrates.
-SAMPLE, CHECK = 2800, 4
+#: About so many labelled documents of each class, at most, and so many bytes of them, are learned from.
+SAMPLE, BYTES = 2800, 24 << 20
+#: Parts of the sample, each of which is scored by models of the others to fit the curve.
+FOLDS = 4
 DISCOUNT = 0.75
 TOP = (1, 3)
 #: Bigrams seen less often in the sample are left to the backoff.
@@ -50,35 +57,36 @@ class Model(NamedTuple):
     base: float = 0.0
 
 
-def fit(label: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> Model:
-    """Models from counts n of (class, word, next word)."""
-    vocabulary = np.unique(np.concatenate([first, second]))
-    size = len(vocabulary)
-    a, b = np.searchsorted(vocabulary, first), np.searchsorted(vocabulary, second)
-    total, kinds, follow = (np.zeros((2, size + 1)) for _ in range(3))
-    for c in (0, 1):
-        own = label == c
-        total[c] = np.bincount(a[own], n[own], size + 1)
-        kinds[c] = np.bincount(a[own], minlength=size + 1)
-        follow[c] = np.bincount(b[own], minlength=size + 1)
+def model_of(counts: DataFrame, which: str) -> Model:
+    """Models from bigram counts: first, second, and for each class c the column ``{which}{c}``.
+
+    By word: counts of the bigrams that it begins, how many there are, how many
+    it ends, and what rare ones leave to the backoff. Rows of words and of
+    frequent bigrams are collected; the sample bounds both.
+    """
+    n = [F.col(f"{which}{c}") for c in (0, 1)]
+    rare = n[0] + n[1] < LEAST
+    some = counts.filter(n[0] + n[1] > 0)
+    begins = some.groupBy(F.col("first").alias("word")).agg(*[x for c in (0, 1) for x in (F.sum(n[c]).alias(f"total{c}"), F.count_if(n[c] > 0).alias(f"kinds{c}"), F.sum(F.when(rare, F.greatest(n[c] - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"rare{c}"))])
+    ends = some.groupBy(F.col("second").alias("word")).agg(*[F.count_if(n[c] > 0).alias(f"follow{c}") for c in (0, 1)])
+    words = begins.join(ends, "word", "full").select("word", *[F.coalesce(F.col(f"{x}{c}"), F.lit(0)).cast("float").alias(f"{x}{c}") for x in ("total", "kinds", "rare", "follow") for c in (0, 1)]).toArrow()
+    often = some.filter(~rare).select("first", "second", *[n[c].cast("float").alias(f"n{c}") for c in (0, 1)]).toArrow()
+    vocabulary = words.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, size = vocabulary[order], len(vocabulary)
+    total, kinds, dropped, follow = (np.array([np.append(words.column(f"{x}{c}").to_numpy()[order], 0) for c in (0, 1)]) for x in ("total", "kinds", "rare", "follow"))
     shared = (follow > 0).sum(0).astype(float)
     shared[shared == 0] = 1
     shared /= shared.sum()
-    lower = np.empty_like(follow)
+    lower = np.empty((2, size + 1))
     for c in (0, 1):
-        mass = max(follow[c].sum(), 1.0)
+        mass = max(float(follow[c].sum(dtype=float)), 1.0)
         lower[c] = (np.maximum(follow[c] - DISCOUNT, 0) + max(DISCOUNT * (follow[c] > 0).sum(), 1e-9) * shared) / mass
-    keys, inverse = np.unique(a * (size + 1) + b, return_inverse=True)
-    joint = np.zeros((2, len(keys)))
-    for c in (0, 1):
-        own = label == c
-        joint[c] = np.bincount(inverse[own], n[own], len(keys))
-    often = joint.sum(0) >= LEAST
-    kept = np.maximum(joint - DISCOUNT, 0)[:, often]
-    dropped = np.zeros_like(total)  # their mass goes to the backoff, so that each row still adds up to 1
-    for c in (0, 1):
-        dropped[c] = np.bincount(keys[~often] // (size + 1), np.maximum(joint[c, ~often] - DISCOUNT, 0), size + 1)
-    return Model(vocabulary, keys[often], kept.astype(np.float32), total.astype(np.float32), (DISCOUNT * kinds + dropped).astype(np.float32), lower)
+    first, second = (np.searchsorted(vocabulary, often.column(x).to_numpy().view(np.uint64)) for x in ("first", "second"))
+    keys = first * (size + 1) + second
+    turn = np.argsort(keys)
+    joint = np.array([np.maximum(often.column(f"n{c}").to_numpy()[turn] - DISCOUNT, 0) for c in (0, 1)], np.float32).reshape(2, -1)
+    return Model(vocabulary, keys[turn], joint, total, DISCOUNT * kinds + dropped, lower)
 
 
 def place(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -140,7 +148,7 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (class, word before, word, next word) of a block; a text's first word follows the word 0."""
+    """The distinct (class, part of the sample, word before, word, next word) of a block; a text's first word follows the word 0."""
     for block in groups(batches, 8 << 20):
         columns = []
         for batch in block:
@@ -151,22 +159,23 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one[starts] = 0
             two = np.concatenate([np.zeros(1, np.uint64), one[:-1]])[: len(hashes)]
             two[starts] = 0
-            columns.append((np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.uint64), counts), two, one, hashes))
+            kind = batch.column("toxic").to_numpy(zero_copy_only=False) * FOLDS + batch.column("part").to_numpy(zero_copy_only=False)
+            columns.append((np.repeat(kind.astype(np.uint64), counts), two, one, hashes))
         rows = np.stack([np.concatenate(x) for x in zip(*columns, strict=True)])
         rows = rows[:, np.lexsort(rows)]
         new = np.ones(rows.shape[1], bool)
         new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
         rows = rows[:, new].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *(pa.array(x) for x in rows[1:])], names=["toxic", "before", "first", "second"])
+        yield pa.RecordBatch.from_arrays([pa.array((rows[0] // FOLDS).astype(np.int32)), pa.array((1 << (rows[0] % FOLDS)).astype(np.int32)), *(pa.array(x) for x in rows[1:])], names=["toxic", "parts", "before", "first", "second"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id and text; labels: doc_id and toxic (0, 1).
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, size: int) -> tuple[DataFrame, dict[int, float], float]:
+    """Texts that are learned from (toxic, text, part), the share of each class that they are, and the share of toxic labels.
 
-    What is gathered is bounded by about ``sample`` labels of each class,
-    chosen by a hash of doc_id; only these are joined to texts.
+    Labelled documents are chosen by a hash of doc_id, and if these have more
+    than ``size`` bytes in a class, fewer by a hash of the text; copies within a
+    class count once.
     """
-    prepare(docs.sparkSession)
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     shares = {c: min(1.0, sample / n) for c, n in sizes.items()}
@@ -176,13 +185,35 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         keep |= (F.col("toxic") == c) & (F.pmod(F.xxhash64("label_id", F.lit(11)), F.lit(1_000_003)) < share * 1_000_003)
     few = labels.filter(keep).groupBy("label_id").agg(F.max("toxic").alias("toxic"))  # bounded by the sample
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    chosen = rows.join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "toxic", F.xxhash64("text").alias("at"))
+    at = F.xxhash64("text")
+    chosen = rows.join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("text", "toxic", at.alias("at"), F.pmod(F.shiftright(at, 24), F.lit(FOLDS)).cast("int").alias("part"))
     chosen = written(chosen.dropDuplicates(["toxic", "at"]), "labelled")  # copies count once
-    part = F.pmod(F.shiftright("at", 24), F.lit(CHECK))
-    counts = chosen.filter(part != 0).mapInArrow(_triples, "toxic int, before long, first long, second long").distinct().groupBy("toxic", "first", "second").agg(F.count("*").cast("int").alias("n")).toArrow()
-    label, first, second, n = (counts.column(i).to_numpy() for i in range(4))
-    model = fit(label, first.view(np.uint64), second.view(np.uint64), n)
-    seen = scored(chosen.filter(part == 0).select("toxic", "text"), model, "toxic").toArrow()
+    thin = F.lit(True)
+    for r in chosen.groupBy("toxic").agg(F.sum(F.length("text")).alias("size")).collect():
+        if r.size and r.size > size:
+            shares[r.toxic] *= size / r.size
+            thin &= (F.col("toxic") != r.toxic) | (F.pmod(F.xxhash64("at", F.lit(13)), F.lit(1_000_003)) < size / r.size * 1_000_003)
+    return chosen.filter(thin), shares, base
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = BYTES) -> Model:
+    """docs: doc_id and text; labels: doc_id and toxic (0, 1; others and null don't count; of opposite labels of one doc_id 1 counts).
+
+    What is learned from is bounded by about ``sample`` labels and ``size``
+    bytes of each class; only these labels are joined to texts.
+    """
+    prepare(docs.sparkSession)
+    chosen, shares, base = sampled(docs, labels, sample, size)
+    triples = chosen.mapInArrow(_triples, "toxic int, parts int, before long, first long, second long").groupBy("toxic", "before", "first", "second").agg(F.bit_or("parts").alias("parts"))
+    elsewhere = lambda f: F.col("parts").bitwiseAND(F.lit((1 << FOLDS) - 1 - (1 << f))) != 0
+    sums = [F.count_if((F.col("toxic") == c) & (elsewhere(f) if f < FOLDS else F.lit(True))).cast("int").alias(f"m{f}_{c}") for f in range(FOLDS + 1) for c in (0, 1)]
+    counts = written(triples.groupBy("first", "second").agg(*sums), "bigrams")
+    seen = []
+    for f in range(FOLDS):
+        part = chosen.filter(F.col("part") == f)
+        seen.append(scored(part.select("toxic", "text"), model_of(counts, f"m{f}_"), "toxic").toArrow())
+    seen = pa.concat_tables(seen)
+    model = model_of(counts, f"m{FOLDS}_")
     y = seen.column("toxic").to_numpy().astype(float)
     x = np.column_stack([seen.column(name).to_numpy() for name in FIGURES])
     if len(set(y.tolist())) < 2:  # nothing to calibrate on: the share of toxic rows
@@ -209,7 +240,8 @@ def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     """doc_id, score, the carried columns and the figures of evidence.
 
     A null or empty text, or one without words, has the sample's share of
-    toxic documents as its score.
+    toxic documents as its score.  Texts of any length are scored as a whole;
+    repeated rows each give a row; no rows give no rows.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(c for c in carried if c != "text"))
@@ -222,7 +254,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     labels: doc_id and toxic. Learned from labelled rows outside the held-out
     quarter by crc32 of doc_id; a null doc_id is in no fold: scored, never
-    learned. Without labels every score is 0.
+    learned. Without labels every score is 0. Columns of docs or labels with
+    other names, or those of the result, don't matter.
     """
     fold = crc32_mod("doc_id", 4)
     out = score(docs, learn(docs, labels.filter(fold != 2)))

@@ -544,6 +544,49 @@ def test_toxicity(spark):
     assert toxicity.classify(d.limit(0), labels).count() == 0 and toxicity.classify(d, labels.limit(0)).count() == len(rows) + 3
 
 
+def test_kneser_ney_against_brute_force(spark):
+    """Probabilities of both classes from plain dictionaries, and the evidence of unseen texts."""
+    rng = random.Random(4)
+    made = [(i, int(i % 4 == 0), " ".join(rng.choice("abcdefgh") + (rng.choice("xyz") if i % 4 == 0 and rng.random() < 0.4 else "") for _ in range(rng.randrange(1, 25)))) for i in range(60)]
+    d = spark.createDataFrame([(i, t, "clash") for i, _, t in made], "doc_id long, text string, toxic string")
+    model = toxicity.learn(d, spark.createDataFrame([(i, y) for i, y, _ in made], "doc_id long, toxic int"))
+    triples = {(y, *(["", "", *t.split()][j : j + 3])) for _, y, t in made for j in range(len(t.split()))}
+    n = Counter((y, v, w) for y, _, v, w in triples)
+    follow = {y: Counter(w for (c, v, w) in n if c == y) for y in (0, 1)}
+    words = {x for _, v, w in n for x in (v, w)}
+    shared = {w: max(1, sum(follow[y][w] > 0 for y in (0, 1))) for w in words}
+    every = sum(shared.values()) + 1
+
+    def lower(y, w):
+        back = toxicity.DISCOUNT * len(follow[y])
+        return (max(follow[y][w] - toxicity.DISCOUNT, 0) + back * shared.get(w, 1) / every) / sum(follow[y].values())
+
+    def p(y, v, w):
+        own = {x: c for (z, u, x), c in n.items() if z == y and u == v}
+        if not own:
+            return lower(y, w)
+        kept = {x: max(c - toxicity.DISCOUNT, 0) for x, c in own.items() if n[0, v, x] + n[1, v, x] >= toxicity.LEAST}
+        left = sum(own.values()) - sum(kept.values())
+        return (kept.get(w, 0) + left * lower(y, w)) / sum(own.values())
+
+    assert math.isclose(sum(lower(1, w) for w in [*words, "other"]), 1) and math.isclose(sum(p(0, "a", w) for w in [*words, "other"]), 1)
+    fresh = ["a b cx dy", "zz a ax by cz ax", "h g f e d c b a", ""]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(fresh)), "doc_id long, text string"), model).collect()
+    for r in found:
+        w = fresh[r.doc_id].split()
+        ratios = sorted((math.log(p(1, v, x) / p(0, v, x)) for v, x in zip([None, *w], w)), reverse=True) if w else []
+        want = [sum(ratios) / max(len(w), 1), *[sum(ratios[:k]) / k for k in toxicity.TOP], math.log(1 + len(w))]
+        assert np.allclose([r[name] for name in toxicity.FIGURES], want, atol=1e-5), (r, want)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    d = spark.createDataFrame([(i, f"word{i} " * 50) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    chosen, shares, base = toxicity.sampled(d, labels, 100, 10_000)
+    sizes = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert base == 0.5 and all(0 < n < 20_000 for n in sizes.values()) and all(0 < x < 0.5 for x in shares.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
