@@ -448,16 +448,26 @@ def covered(part: Part, found: np.ndarray, strings: np.ndarray) -> tuple[np.ndar
     return np.concatenate(first), np.concatenate(last)
 
 
-def joined(first: np.ndarray, last: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes of strings that start from first to last: begin, end and text. No run goes on into the next text."""
-    order = np.argsort(first)
-    first = first[order]
-    reach = np.maximum.accumulate(last[order] + LENGTH)
-    doc = np.searchsorted(offsets, first, "right") - 1
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
+def joined(begin: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes from each begin to its end: begin, end and text. No run goes on into the next text."""
+    order = np.argsort(begin)
+    begin = begin[order]
+    reach = np.maximum.accumulate(end[order])
+    doc = np.searchsorted(offsets, begin, "right") - 1
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(new)
-    return first[starts], reach[np.append(starts[1:] - 1, len(first) - 1)] if len(first) else reach, doc[starts]
+    return begin[starts], reach[np.append(starts[1:] - 1, len(begin) - 1)] if len(begin) else reach, doc[starts]
+
+
+def whole_characters(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bytes of UTF-8 texts, widened to the characters that they touch."""
+    inner = np.append((data & 0xC0) == 0x80, False)
+    begin, end = begin.copy(), end.copy()
+    for _ in range(3):
+        begin -= inner[begin]
+        end += inner[end]
+    return begin, end
 
 
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -465,7 +475,7 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def _cut(n: int, told, carried: tuple[str, ...]):
+def _cut(n: int, told, carried: tuple[str, ...], characters: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, bytes] = {}
         answers: dict[int, dict[tuple[int, int], list]] = {}
@@ -483,7 +493,10 @@ def _cut(n: int, told, carried: tuple[str, ...]):
             data, offsets = texts(batch)
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
             found = [covered(part, *(_gathered(given.get((kind, i), [])) for kind in (ANSWERS, STRING_ANSWERS))) for i, part in enumerate(parts(batch, told.value[1], n))]
-            begin, end, doc = joined(*(np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1)), offsets)
+            first, last = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            begin, end, doc = joined(first, last + LENGTH, offsets)
+            if characters:
+                begin, end, doc = joined(*whole_characters(data, begin, end), offsets)
             edge = np.zeros(len(data) + 1, np.int8)
             edge[begin] += 1
             edge[end] -= 1
@@ -525,12 +538,13 @@ def sampled(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return leads[(np.arange(1, n) * len(leads)) // n], leads[often] if n > 1 else leads[:0]
 
 
-def dedup(docs: DataFrame, *carried: str) -> DataFrame:
+def dedup(docs: DataFrame, *carried: str, characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (the other bytes) and the carried columns for every row of docs.
 
     docs: doc_id and text; more columns are ignored.  Texts are UTF-8 bytes;
     matches never cross documents, and are judged on the input.  A null text
-    is empty.  A null doc_id is smaller than none: nothing of it goes, and it
+    is empty.  characters: a character goes as a whole if one of its bytes does,
+    so what is kept is a text.  A null doc_id is smaller than none: nothing of it goes, and it
     removes nothing.  Rows of one doc_id never remove each other's bytes.  A
     text of any length is one row, which its task holds as a whole.  No rows
     give no rows.  docs should be read from files: a task that is run again
@@ -542,4 +556,4 @@ def dedup(docs: DataFrame, *carried: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
     told = spark.sparkContext.broadcast(sampled(rows.filter(F.length("text") >= LENGTH), n))
     sent = exchange(rows.mapInArrow(_send(n, told), PACKED), n)
-    return exchange(sent.mapInArrow(_answer(n), PACKED), n).mapInArrow(_cut(n, told, carried), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))
+    return exchange(sent.mapInArrow(_answer(n), PACKED), n).mapInArrow(_cut(n, told, carried, characters), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))

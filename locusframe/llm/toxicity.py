@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     repeated rows each give a row; no rows give no rows.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(c for c in carried if c != "text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c for c in carried if c != "text"))
     value = F.when(F.col("n") == 0, F.lit(model.base)).otherwise(1 / (1 + F.exp(-sum((F.lit(float(b)) * F.col(x) for x, b in zip(FIGURES, model.curve, strict=False)), F.lit(float(model.curve[-1])))))) if model.curve else F.lit(model.base)
     return scored(rows, model, "doc_id", *carried).select("doc_id", value.alias("score"), *carried, *FIGURES)
 

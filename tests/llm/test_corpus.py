@@ -587,6 +587,79 @@ def test_toxicity_sample_is_bounded(spark):
     assert base == 0.5 and all(0 < n < 20_000 for n in sizes.values()) and all(0 < x < 0.5 for x in shares.values())
 
 
+def test_cuts_take_whole_characters(spark):
+    """A passage that starts and ends inside characters of another text; genuine replacement characters stay."""
+    passage = "é\ufffdä日本語" + prose(20) + "日"
+    raw = passage.encode()
+    rows = [(1, "x" + passage + "y"), (2, "è\ufffdä日本語" + prose(0) + passage[6:-1] + "旦 tail \ufffd")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in suffixes.dedup(d, characters=True).collect()}
+    assert bytes(found[1].kept).decode() == rows[0][1] and len(raw) > 60
+    a, b = rows[1][1].encode(), rows[0][1].encode()
+    gone = [False] * len(a)
+    for j in range(len(a) - 49):
+        if a[j : j + 50] in b:
+            gone[j : j + 50] = [True] * 50
+    at, want = 0, ""
+    for c in rows[1][1]:
+        n = len(c.encode())
+        want += "" if any(gone[at : at + n]) else c
+        at += n
+    assert bytes(found[2].kept).decode() == want and "\ufffd" in want and found[2].n_removed == len(a) - len(want.encode())
+
+
+@pytest.fixture(scope="module")
+def folder(spark, docs, tmp_path_factory):
+    """Documents with nulls, copies and repeated rows, toxic ones, and labels."""
+    rng = random.Random(12)
+    top = str(tmp_path_factory.mktemp("corpus"))
+    rows = []
+    for i in range(200):
+        words = [rng.choice(WORDS[:8]) + str(rng.randrange(60)) for _ in range(rng.randrange(20, 60))]
+        rows.append((i, " ".join(words + ["vile"] * (i % 6 == 0)), "en" if i % 3 else "xx", "web", 1))
+    rows += [(300 + i, rows[i][1] + " end", "en", "web", 1) for i in range(20)] + [rows[4], rows[4], (500, None, "en", None, 0), (501, "", None, "web", 0), (502, "12 34 .", "en", "web", 7), (None, rows[3][1], "en", "web", 1), (5, "another text with this doc_id", "en", "web", 1)]
+    rows += [(600, "Ωμέγα και άλφα " * 9, "el", "web", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(200)] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{top}/labels.parquet")
+    return top
+
+
+def as_rows(df):
+    return Counter(map(tuple, df.select("doc_id", "text", "lang", "source", "n_chars").collect()))
+
+
+def test_pipeline_stages(spark, folder):
+    """Each stage's rows against its stated rule, on whole rows."""
+    import corpus_pipeline as P
+
+    given_ = spark.read.parquet(f"{folder}/documents.parquet")
+    every = as_rows(given_)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    verdict = {r.doc_id: r.predicted for r in toxicity.classify(given_, labels).collect()}
+    left = as_rows(P.toxicity_stage(spark, given_, folder))
+    assert all(left[r] in (0, n) for r, n in every.items()) and sum(left.values()) < sum(every.values())
+    assert not [r for r in every if r[0] != 5 and (left[r] > 0) != (verdict[r[0]] == 0)]
+    assert not [r for r in left if "vile" in (r[1] or "")] and sum(left.values()) > 150
+    left = as_rows(P.language_stage(spark, given_, folder))
+    fits = {r.text: (r.lang_pred, r.fit) for r in langid.predict(given_.select("text"), langid.learn(given_.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")), "text").collect()}
+    assert left == Counter({r: n for r, n in every.items() if fits[r[1]][0] != "und" and fits[r[1]][1] >= P.LEAST_FIT})
+    assert not any(r[0] in (500, 501, 502) for r in left) and sum(left.values()) > 200
+    sets = [(r, shingles(r[1])) for r in every]
+    near_ = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    first = {r: min([r[0]] + [q[0] for q, b in sets if q[0] is not None and near_(a, b)]) if r[0] is not None else None for r, a in sets}
+    left = as_rows(P.jaccard_stage(spark, given_, folder))
+    ids = {r[0] for r in every if first[r] == r[0] and r[0] is not None}
+    assert left == Counter({r: 1 if r[0] is not None else n for r, n in every.items() if r[0] in ids or r[0] is None})
+    left = P.suffix_stage(spark, given_, folder)
+    cut = {(r.doc_id, r.text) for r in left.collect()}
+    exact = {(r.doc_id, bytes(r.kept).decode()) for r in suffixes.dedup(given_).collect()}  # these texts are ASCII, or lose nothing
+    assert cut == exact and all(r.n_chars == len(r.text) for r in left.collect()) and left.count() == sum(every.values())
+    pieces = P.packing_stage(spark, given_, folder).collect()
+    assert sum(p.length for p in pieces) == sum(n * (len(vocabulary.encode(vocabulary.json_file(), r[1] or "")) + 1) for r, n in every.items())
+    nothing = given_.limit(0)
+    assert all(stage(spark, nothing, folder).count() == 0 for _, stage in P.STAGES)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
