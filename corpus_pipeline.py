@@ -19,36 +19,52 @@ LEAST_FIT = 0.25
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of toxicity.THRESHOLD or more go."""
+    """Documents with a score of toxicity.THRESHOLD or more go.
+
+    Null and empty texts have the labels' share of toxic ones as their score;
+    a null doc_id is scored and never learned from.  Repeated rows stay as
+    often as they are; no rows give no rows.  Further columns are dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels.filter(crc32_mod("doc_id", 4) != 2))
     return toxicity.score(docs, model, *COLUMNS[1:]).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or that resemble no language, go."""
+    """Documents without letters (null and empty ones too), or that resemble no language, go.
+
+    A null doc_id is judged and never learned from.  Repeated rows stay as
+    often as they are; no rows, or none with a language, give no rows.
+    """
     profiles = langid.learn(docs.filter(crc32_mod("doc_id", 5) != 0))
     found = langid.predict(docs.select(*COLUMNS), profiles, *COLUMNS)
     return found.filter((F.col("lang_pred") != "und") & (F.col("fit") >= LEAST_FIT)).select(*COLUMNS)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; so does each row without a doc_id."""
+    """Of each group of near copies the document with the smallest doc_id stays; so does each row without a doc_id.
+
+    Texts without words are no copies.  Of rows with one doc_id and one text
+    one stays; rows with one doc_id and different texts all stay, if any does.
+    No rows give no rows.
+    """
     stay = near.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat an earlier document are cut out. A cut through a character takes the whole character."""
-    kept = suffixes.dedup(docs, "lang", "source")
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\N{REPLACEMENT CHARACTER}"), F.lit(""))
-    whole = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
-    return kept.withColumn("text", whole).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Passages that repeat an earlier document are cut out. A cut through a character takes the whole character.
+
+    Null texts become empty ones.  Rows of one doc_id, and those without one,
+    lose nothing to each other.  No rows give no rows.
+    """
+    kept = suffixes.dedup(docs, "lang", "source", characters=True).withColumn("text", F.col("kept").cast("string"))
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1,024 tokens."""
+    """Pieces of documents in sequences of at most 1,024 tokens. Null and empty texts are one token; no rows give no rows."""
     return packing.pack(docs)
 
 
