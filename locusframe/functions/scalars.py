@@ -141,8 +141,72 @@ def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), zero, add, lambda s: s["part"] / s["all"]))
 
 
-def inbreeding(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
-    """1 - observed over expected heterozygotes."""
+#: Tables of more than twice so many reads are scaled down to so many; least p that is told apart.
+TABLE_SIZE, LEAST_P = 200, 1e-320
+
+
+def fisher_strand(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Phred value of the two-sided p; a large table is scaled down first, cells rounded down."""
+    total = a + b + c + d
+    scale = F.when(total > 2 * TABLE_SIZE, total / TABLE_SIZE).otherwise(1.0)
+    p = fisher_two_sided(*[F.floor(x / scale) for x in (a, b, c, d)])
+    return F.abs(-10 * F.log10(F.greatest(p, F.lit(LEAST_P))))
+
+
+def inbreeding(hom_ref: Column, het: Column, hom_alt: Column, least: int = 10) -> Column:
+    """1 - observed over expected heterozygotes; null below ``least`` samples. Counts should be of founders only."""
     n = hom_ref + het + hom_alt
     p = (2 * hom_ref + het) / (2 * n)
-    return 1 - het / (2 * p * (1 - p) * n)
+    return F.when(n >= least, 1 - het / F.nullif(2 * p * (1 - p) * n, F.lit(0.0)))
+
+
+#: Residues of codons in the order T, C, A, G of each base, * for a stop; IUPAC codes and the bases that they stand for.
+RESIDUES = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+
+
+def amino_acids(bases: Column) -> Column:
+    """Residues of whole codons; X where a codon has other letters than A, C, G, T (or U)."""
+    digits = F.translate(F.translate(F.upper(bases), "U", "T"), "TCAG", "0123")
+    codons = F.regexp_extract_all(digits, F.lit("(?s)..."), F.lit(0))
+    place = lambda c: F.conv(c, 4, 10).cast("int")
+    return F.array_join(F.transform(codons, lambda c: F.when(c.rlike("^[0-3]{3}$"), F.substring(F.lit(RESIDUES), place(c) + 1, F.lit(1))).otherwise("X")), "")
+
+
+def iupac_bases(code: Column) -> Column:
+    """Bases that a nucleotide code stands for; null for other letters."""
+    known = F.create_map(*[F.lit(x) for pair in IUPAC.items() for x in pair])
+    return F.try_element_at(known, F.upper(code))
+
+
+def log10_multinomial(counts: Column) -> Column:
+    """log10 of the number of orders of items of these counts."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return log10_factorial(total) - F.aggregate(F.transform(counts, log10_factorial), F.lit(0.0), lambda a, x: a + x)
+
+
+def log10_dirichlet_multinomial(counts: Column, weights: Column) -> Column:
+    """log10 probability of counts under a Dirichlet-multinomial with whole weights, by products of rising factors."""
+    rising = lambda w, n: F.aggregate(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>")), F.lit(0.0), lambda a, i: a + F.log10(w + i))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = F.aggregate(F.zip_with(weights, counts, rising), F.lit(0.0), lambda a, x: a + x)
+    return log10_multinomial(counts) + parts - rising(total(weights), total(counts))
+
+
+def log10_gaussian(x: Column, mean: float, sd: float) -> Column:
+    return (-((x - mean) * (x - mean)) / (2 * sd * sd) - math.log(sd * math.sqrt(2 * math.pi))) / LN10
+
+
+def cumulative(xs: Column) -> Column:
+    """Running sums of an array."""
+    return F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x))
+
+
+def plus(a: Column, b: Column) -> Column:
+    """Sums of two arrays, element by element."""
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as text with two decimals; NA without a whole."""
+    return F.when(whole > 0, F.format_string("%.2f%%", 100 * part / whole)).otherwise("NA")

@@ -33,12 +33,22 @@ def multilevel(df: DataFrame, levels: list[str], measures: list[Column]) -> Data
     return df.rollup(*levels).agg(F.grouping_id().cast("long").alias("level"), *measures)
 
 
-def histogram_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Lower median from value counts: rows are pre-aggregated by value, and no group is collected. Null values don't count."""
+def _running_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Counts by value with how many values are no greater, and how many there are. Null values don't count."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*group).orderBy(value)
-    running = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
-    return running.filter("2 * upto >= all").groupBy(*group).agg(F.min(value).alias("median"), F.first("all").alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*group)))
+
+
+def histogram_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Lower median from value counts: rows are pre-aggregated by value, and no group is collected."""
+    return _running_counts(df, group, value).filter("2 * upto >= all").groupBy(*group).agg(F.min(value).alias("median"), F.first("all").alias("n"))
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    """The median, the mean of the two middle values where their number is even, from value counts."""
+    middle = F.min(F.when(F.expr("2 * upto >= all"), F.col(value))) + F.min(F.when(F.expr("2 * upto > all"), F.col(value)))
+    return _running_counts(df, group, value).groupBy(*group).agg((middle / 2).alias(name))
 
 
 def spread(df: DataFrame, group: list[str], value: str, more: list[Column] = ()) -> DataFrame:
@@ -69,17 +79,34 @@ def best_hits(df: DataFrame, group: str, score: str, margin: float) -> DataFrame
     return null_safe(df, best, [group]).filter(F.col(score) >= (1 - margin) * F.col("best"))
 
 
-def abundance(hits: DataFrame, read: str, taxon: str, paths: DataFrame) -> DataFrame:
-    """Scores of taxa: each of a read's n hits adds 1/n to its taxon and to all ancestors; normalised to 100.
+def shared_by_mates(hits: DataFrame, read: str, mate: str, taxon: str) -> DataFrame:
+    """Hits (read, taxon, mates) of taxa that all mates of a read hit; mates: how many a read has."""
+    every = hits.groupBy(read).agg(F.countDistinct(mate).alias("mates"))
+    own = hits.groupBy(read, taxon).agg(F.countDistinct(mate).alias("hit_by"))
+    return null_safe(own, every, [read]).filter("hit_by = mates").select(read, taxon, "mates")
+
+
+def abundance(hits: DataFrame, read: str, taxon: str, paths: DataFrame, kingdoms: DataFrame | None = None) -> DataFrame:
+    """Scores of taxa.
 
-    paths: taxon, ancestor (each taxon is its own ancestor too).
+    Each of a read's n hits adds mates / n (mates: a column of hits, or 1) to
+    its taxon as self score and to all ancestors as score.  reads: those that
+    hit a taxon or one below it; unambiguous: those of whose hits all lie
+    there.  normalised: self score in per cent of its kingdom's (of all without
+    kingdoms), 0 if that is 0.  paths: taxon, ancestor (each taxon is its own
+    ancestor too); hits of other taxa are dropped first.  kingdoms: ancestor,
+    kingdom.
     """
-    n = hits.groupBy(read).agg(F.count("*").alias("n"))
-    own = hits.join(n, read).groupBy(taxon).agg(F.sum(1 / F.col("n")).alias("own"), F.count("*").alias("reads"))
-    up = own.join(paths, taxon)
-    scores = up.groupBy("ancestor").agg(F.sum("own").alias("score"), F.sum(F.when(F.col("ancestor") == F.col(taxon), F.col("own")).otherwise(0.0)).alias("self"), F.sum("reads").alias("reads"))
-    total = own.agg(F.sum("own").alias("all"))  # one row
-    return scores.crossJoin(F.broadcast(total)).select("ancestor", F.round("score", 6).alias("score"), F.round("self", 6).alias("self_score"), F.round(100 * F.col("score") / F.col("all"), 6).alias("normalised"), "reads")
+    mates = F.col("mates") if "mates" in hits.columns else F.lit(1)
+    known = hits.select(read, taxon, mates.cast("double").alias("mates")).join(paths.select(taxon).distinct(), taxon, "left_semi")
+    n = known.groupBy(read).agg(F.count("*").alias("n"))
+    each = null_safe(known, n, [read]).join(paths, taxon)
+    up = each.groupBy(read, "ancestor").agg(F.first("n").alias("n"), F.max("mates").alias("mates"), F.count("*").alias("below"), F.sum(F.col("mates") / F.col("n")).alias("score"), F.sum(F.when(F.col("ancestor") == F.col(taxon), F.col("mates") / F.col("n")).otherwise(0.0)).alias("self"))
+    scores = up.groupBy("ancestor").agg(F.sum("score").alias("score"), F.sum("self").alias("self"), F.sum("mates").cast("long").alias("reads"), F.sum(F.when(F.col("below") == F.col("n"), F.col("mates")).otherwise(0)).cast("long").alias("unambiguous"))
+    placed = scores.join(kingdoms, "ancestor", "left") if kingdoms is not None else scores.withColumn("kingdom", F.lit("all"))
+    total = placed.groupBy("kingdom").agg(F.sum("self").alias("of_kingdom"))  # a row for each kingdom
+    share = F.when(F.col("of_kingdom") > 0, 100 * F.col("self") / F.col("of_kingdom")).otherwise(0.0)
+    return null_safe(placed, total, ["kingdom"]).select("ancestor", "kingdom", F.round("score", 6).alias("score"), F.round("self", 6).alias("self_score"), F.round(share, 6).alias("normalised"), "reads", "unambiguous")
 
 
 def contamination(df: DataFrame) -> DataFrame:

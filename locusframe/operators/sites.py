@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe
 from ..functions.scalars import error_probability, half_up
+from .aggregates import exact_median
 
 #: Peak and spread of the prior on a shift of quality; greatest quality on the grid and of a result.
 PRIOR_PEAK, PRIOR_SD, GRID, MOST = 0.9, 0.5, 60, 93
@@ -107,8 +108,11 @@ def allele_numbers(df: DataFrame, site: list[str], alleles: list[str]) -> DataFr
 
 
 def allele_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Medians by site and allele of qualities, positions or lengths."""
-    return df.groupBy(*keys).agg(*[F.median(v).alias(f"median_{v}") for v in values])
+    """Medians by site and allele of qualities, positions or lengths, from counts by value. Null keys are keys."""
+    out = exact_median(df, keys, values[0], f"median_{values[0]}")
+    for v in values[1:]:
+        out = null_safe(out, exact_median(df, keys, v, f"median_{v}"), keys)
+    return out
 
 
 def strand_counts(df: DataFrame, keys: list[str], alt: Column, reverse: Column, first: Column) -> DataFrame:

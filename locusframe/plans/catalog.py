@@ -212,15 +212,35 @@ def multilevel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.multilevel(c, ["r_name", "n_name"], [F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")])
 
 
-@query("with h as (select distinct o_orderkey, c_nationkey t from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey union select distinct l_orderkey, s_nationkey from lineitem join supplier on l_suppkey = s_suppkey), n as (select o_orderkey, count(*) n from h group by 1), own as (select t, sum(1 / n) own, count(*) reads from h join n using (o_orderkey) group by t), p as (select n_nationkey t, n_name a from nation union all select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey union all select n_nationkey, 'root' from nation) select a ancestor, round(sum(own), 6) score, round(sum(case when a = n_name then own else 0 end), 6) self_score, round(100 * sum(own) / (select sum(own) from own), 6) normalised, cast(sum(reads) as bigint) reads from own join p using (t) join nation on n_nationkey = t group by a")
-def taxon_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+TAXA = "with hm as (select distinct o_orderkey r, 1 m, c_nationkey t from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey union select distinct l_orderkey, 2, s_nationkey from lineitem join supplier on l_suppkey = s_suppkey), p as (select n_nationkey t, n_name own, n_name a, r_name kingdom from nation join region on n_regionkey = r_regionkey union all select n_nationkey, n_name, r_name, r_name from nation join region on n_regionkey = r_regionkey union all select n_nationkey, n_name, 'root', null from nation)"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as reads with two mates: the buyer's nation hits, and the sellers' nations; nations below regions below a root."""
     t = lambda n: table(spark, sf_dir, n)
-    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("c_nationkey").alias("t"))
-    sellers = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("t"))
+    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.lit(1).alias("mate"), F.col("c_nationkey").alias("t"))
+    sellers = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.lit(2).alias("mate"), F.col("s_nationkey").alias("t"))
     names = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    paths = names.select(F.col("n_nationkey").alias("t"), F.col("n_name").alias("own_name"), F.explode(F.array("n_name", "r_name", F.lit("root"))).alias("ancestor"))
-    hits = buyers.unionByName(sellers).distinct().join(names.select(F.col("n_nationkey").alias("t"), "n_name"), "t").select("o_orderkey", F.col("n_name").alias("taxon"))
-    return A.abundance(hits, "o_orderkey", "taxon", paths.select(F.col("own_name").alias("taxon"), "ancestor"))
+    paths = names.select(F.col("n_name").alias("taxon"), F.explode(F.array("n_name", "r_name", F.lit("root"))).alias("ancestor"))
+    kingdoms = names.select(F.explode(F.array("n_name", "r_name")).alias("ancestor"), F.col("r_name").alias("kingdom")).distinct()
+    hits = buyers.unionByName(sellers).distinct().join(names.select(F.col("n_nationkey").alias("t"), "n_name"), "t").select("o_orderkey", "mate", F.col("n_name").alias("taxon"))
+    return hits, paths, kingdoms
+
+
+_SCORES = "n as (select r, count(*) n, max(m) m from h group by 1), e as (select r, a, kingdom, any_value(n) n, any_value(n.m) m, count(*) below, sum(n.m / n) s, sum(case when a = own then n.m / n else 0 end) self from h join n using (r) join p using (t) group by r, a, kingdom), z as (select a ancestor, any_value(kingdom) kingdom, sum(s) score, sum(self) self, cast(sum(m) as bigint) reads, cast(coalesce(sum(m) filter (below = n), 0) as bigint) unambiguous from e group by a), k as (select kingdom, sum(self) o from z group by 1) select ancestor, z.kingdom, round(score, 6) score, round(self, 6) self_score, round(case when o > 0 then 100 * self / o else 0 end, 6) normalised, reads, unambiguous from z join k on z.kingdom is not distinct from k.kingdom"
+
+
+@query(f"{TAXA}, h as (select distinct r, t, 1 m from hm), {_SCORES}")
+def taxon_abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, paths, kingdoms = _hits(spark, sf_dir)
+    return A.abundance(hits.select("o_orderkey", "taxon").distinct(), "o_orderkey", "taxon", paths, kingdoms)
+
+
+@query(f"{TAXA}, h as (select r, t, any_value(c) m from (select r, t, count(distinct m) m from hm group by all) join (select r, count(distinct m) c from hm group by 1) using (r) where m = c group by all), {_SCORES}")
+def taxon_abundance_of_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only taxa that both mates hit count, each pair for two."""
+    hits, paths, kingdoms = _hits(spark, sf_dir)
+    return A.abundance(A.shared_by_mates(hits, "o_orderkey", "mate", "taxon"), "o_orderkey", "taxon", paths, kingdoms)
 
 
 @query("select l_orderkey, l_linenumber, l_extendedprice from (select *, max(l_extendedprice) over (partition by l_orderkey) m from lineitem) where l_extendedprice >= (1 - 0.1) * m")
@@ -338,11 +358,21 @@ def _two_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(f("N", 0).alias("a"), f("N", 1).alias("b"), f("R", 0).alias("c"), f("R", 1).alias("d"))
 
 
-@query(f"with t as ({TABLE2}), p as (select k, a, a + b r, a + c q, a + b + c + d n, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) x from t), l as (select *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(q - x + 1) - lgamma(n - r - q + x + 1) - lgamma(n + 1) + lgamma(q + 1) + lgamma(n - q + 1) lp from p) select k, round(least(1, sum(exp(lp)) filter (lp <= own + 1e-7)), 6) p from (select *, max(case when x = a then lp end) over (partition by k) own from l) group by k")
-def fisher_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fisher_sql(cells: str) -> str:
+    return f"with t as ({TABLE2}), z as ({cells}), p as (select k, a, a + b r, a + c q, a + b + c + d n, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) x from z), l as (select *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(q - x + 1) - lgamma(n - r - q + x + 1) - lgamma(n + 1) + lgamma(q + 1) + lgamma(n - q + 1) lp from p), f as (select k, least(1, sum(exp(lp)) filter (lp <= own + 1e-7)) p from (select *, max(case when x = a then lp end) over (partition by k) own from l) group by k)"
+
+
+@query(_fisher_sql("select * from t") + " select k, round(p, 6) p from f")
+def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_by_two(spark, sf_dir).select("k", F.round(S.fisher_two_sided(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("p"))
 
 
+@query(_fisher_sql("select k, case when a + b + c + d > 400 then cast(floor(a / ((a + b + c + d) / 200)) as bigint) else a end a, case when a + b + c + d > 400 then cast(floor(b / ((a + b + c + d) / 200)) as bigint) else b end b, case when a + b + c + d > 400 then cast(floor(c / ((a + b + c + d) / 200)) as bigint) else c end c, case when a + b + c + d > 400 then cast(floor(d / ((a + b + c + d) / 200)) as bigint) else d end d from t") + " select k, round(abs(-10 * log10(greatest(p, 1e-320))), 3) fs from f")
+def fisher_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strand bias of a table, scaled down where it holds more than 400 reads, in Phred."""
+    return _two_by_two(spark, sf_dir).select("k", F.round(S.fisher_strand(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 3).alias("fs"))
+
+
 @query(f"with t as ({TABLE2}), x as (select k, a + 1.0 a, b + 1.0 b, c + 1.0 c, d + 1.0 d from t) select k, round(ln((a * d) / (b * c) + (b * c) / (a * d)) + ln(least(a, b) / greatest(a, b)) - ln(least(c, d) / greatest(c, d)), 6) sor from x")
 def strand_odds_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_by_two(spark, sf_dir).select("k", F.round(S.strand_odds_ratio(*[F.col(x) for x in "abcd"]), 6).alias("sor"))
@@ -420,10 +450,10 @@ def count_reads_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"), F.sum("l_quantity").cast("long").alias("bases"))
 
 
-@query("with c as (select p_brand k, count(*) filter (p_size <= 15) rr, count(*) filter (p_size > 15 and p_size <= 35) ra, count(*) filter (p_size > 35) aa from part group by 1), q as (select *, (2 * rr + ra) / (2.0 * (rr + ra + aa)) p from c) select k, rr, ra, aa, cast(ra + 2 * aa as bigint) ac, cast(2 * (rr + ra + aa) as bigint) an, round(1 - ra / (2 * p * (1 - p) * (rr + ra + aa)), 6) f from q")
+@query("with c as (select p_brand k, count(*) filter (p_size <= 15) rr, count(*) filter (p_size > 15 and p_size <= 35) ra, count(*) filter (p_size > 35) aa from part group by 1), q as (select *, (2 * rr + ra) / (2.0 * (rr + ra + aa)) p from c) select k, rr, ra, aa, cast(ra + 2 * aa as bigint) ac, cast(2 * (rr + ra + aa) as bigint) an, round(case when rr + ra + aa >= 10 then 1 - ra / (2 * p * (1 - p) * (rr + ra + aa)) end, 4) f from q")
 def genotype_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("k")).agg(F.count_if(F.col("p_size") <= 15).alias("rr"), F.count_if(F.col("p_size").between(16, 35)).alias("ra"), F.count_if(F.col("p_size") > 35).alias("aa"))
-    return g.select("*", (F.col("ra") + 2 * F.col("aa")).alias("ac"), (2 * (F.col("rr") + F.col("ra") + F.col("aa"))).alias("an"), F.round(S.inbreeding(F.col("rr"), F.col("ra"), F.col("aa")), 6).alias("f"))
+    return g.select("*", (F.col("ra") + 2 * F.col("aa")).alias("ac"), (2 * (F.col("rr") + F.col("ra") + F.col("aa"))).alias("an"), F.round(S.inbreeding(F.col("rr"), F.col("ra"), F.col("aa")), 4).alias("f"))
 
 
 @query("select l_suppkey, round(sqrt(avg(l_quantity * l_quantity)), 6) rms, count(*) filter (l_discount = 0) zeros, count(*) depth from lineitem group by 1")
