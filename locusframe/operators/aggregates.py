@@ -129,6 +129,11 @@ def rank_sum(df: DataFrame, group: list[str], series: Column, value: str) -> Dat
     return sums.filter("n1 > 0 and n2 > 0").select(*group, "n1", "n2", F.round(u, 4).alias("u"), F.round((u - F.col("n1") * F.col("n2") / 2) / sd, 6).alias("z"))
 
 
+def counted_between(df: DataFrame, key: Column, least: int, most: int) -> DataFrame:
+    """Keys that occur at least and at most so often, with how often."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
+
+
 def kmer_counts(df: DataFrame, sequence: Column, k: int) -> DataFrame:
     """kmer, n of all k-mers of sequences of the letters a to z, k up to 12; none spans two rows.
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import if_small
+from .intervals import overlap_join
+
 
 def concordance(truth: DataFrame, evaluated: DataFrame, key: list[str], allele: str, filtered: str) -> DataFrame:
     """State of each key of two callsets with unique keys.
@@ -58,7 +61,38 @@ def mates(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.groupBy(name).agg(F.min(order).alias("first"), F.max(order).alias("second"), F.count("*").alias("n"))
 
 
+def side_input(df: DataFrame, track: DataFrame, on: tuple[str, str, str], track_on: tuple[str, str, str], key: str, before: int = 0, after: int = 0, width: int = 1000) -> DataFrame:
+    """Rows with each of a track's intervals that overlap them, widened by windows before and after; a row without any appears once."""
+    contig, start, end = on
+    wide = df.select(key, F.col(contig).alias("side_contig"), (F.col(start) - before).alias("side_start"), (F.col(end) + after).alias("side_end"))
+    found = overlap_join(wide, track, ("side_contig", "side_start", "side_end"), track_on, width).drop("side_contig", "side_start", "side_end")
+    return df.join(found, key, "left")
+
+
+def starting_at(df: DataFrame, track: DataFrame, on: tuple[str, str], track_on: tuple[str, str]) -> DataFrame:
+    """Rows with a track's intervals that start where they do."""
+    (c, s), (tc, ts) = on, track_on
+    return df.join(if_small(track), (F.col(c) == F.col(tc)) & (F.col(s) == F.col(ts)))
+
+
+def page(df: DataFrame, order: list[Column], n: int, skip: int, name: str) -> DataFrame:
+    """n rows after the first ``skip`` of an order, numbered from 1: the top rows of each partition meet in one task, which holds n + skip of each."""
+    top = df.orderBy(*order).limit(n + skip)
+    return top.withColumn(name, F.row_number().over(Window.orderBy(*order))).filter(F.col(name) > skip)
+
+
+def filter_analysis(df: DataFrame, filters: str, truth: Column) -> DataFrame:
+    """For each filter, how many false (tn) and true (fn) rows it takes away, and how many only it does."""
+    rows = df.select(F.explode(filters).alias("filter"), (F.size(filters) == 1).alias("alone"), F.coalesce(truth, F.lit(False)).alias("truth"))
+    return rows.groupBy("filter").agg(F.count_if(~F.col("truth")).alias("tn"), F.count_if(F.col("truth")).alias("fn"), F.count_if(~F.col("truth") & F.col("alone")).alias("unique_tn"), F.count_if(F.col("truth") & F.col("alone")).alias("unique_fn"))
+
+
 def kmer_antijoin(df: DataFrame, key: str, kmers: Column, bad: DataFrame, least: int) -> DataFrame:
-    """Rows with fewer than ``least`` k-mers (repeats count) in a set. bad: kmer."""
-    hits = df.select(key, F.explode(kmers).alias("kmer")).join(bad.distinct(), "kmer").groupBy(key).agg(F.count("*").alias("hits"))
+    """Rows with fewer than ``least`` k-mers (repeats count) in a set. bad: kmer.
+
+    A set that is small (a host's or a benchmark's k-mers, by the optimiser's
+    estimate) is broadcast, so no row of df is shuffled to be looked up; else
+    both sides meet by k-mer.  Hits are counted before they are shuffled.
+    """
+    hits = df.select(key, F.explode(kmers).alias("kmer")).join(if_small(bad.distinct()), "kmer", "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
     return df.join(hits.filter(F.col("hits") >= least), key, "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import null_safe
 from ..functions.scalars import error_probability, half_up
-from .aggregates import exact_median
+from .aggregates import exact_median, rank_sum
 
 #: Peak and spread of the prior on a shift of quality; greatest quality on the grid and of a result.
 PRIOR_PEAK, PRIOR_SD, GRID, MOST = 0.9, 0.5, 60, 93
@@ -139,3 +139,14 @@ def repeat_unit(bases: Column) -> Column:
     n = F.length(bases)
     fits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (n % k == 0) & (F.repeat(F.substring(bases, F.lit(1), k), (n / k).cast("int")) == bases))
     return F.when(n > 0, F.transform(F.array(fits[0]), lambda k: F.struct(F.substring(bases, F.lit(1), k).alias("unit"), (n / k).cast("long").alias("times")))[0])
+
+
+def rank_sum_annotation(df: DataFrame, keys: list[str], alt: Column, value: str, usable: Column) -> DataFrame:
+    """Rank-sum z of a value of alternate reads against reference reads, of usable reads only, to three decimals; absent where it is undefined."""
+    out = rank_sum(df.filter(usable), keys, alt, value)
+    return out.select(*keys, "n1", "n2", F.round("z", 3).alias("z")).filter(F.col("z").isNotNull() & ~F.isnan("z"))
+
+
+def sample_depths(df: DataFrame, site: list[str], sample: str, alt: Column, *more: Column) -> DataFrame:
+    """Reads and alternate reads of each sample at each site."""
+    return df.groupBy(*site, sample).agg(F.count("*").alias("depth"), F.count_if(alt).alias("alt_depth"), *more)

@@ -53,6 +53,46 @@ def downsample(df: DataFrame, contig: str, at: str, rank_by: Column, n: int) ->
     return df.withColumn("pick", rank_by).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).drop("pick", "place")
 
 
+def fraction(df: DataFrame, share: float, *key: str) -> DataFrame:
+    """This share of rows, by a hash of their key: the same rows in every run."""
+    limit = format(min(int(share * 16**8), 16**8 - 1), "08x")
+    return df.filter(F.substring(F.md5(F.concat_ws(":", *key)), 1, 8) < limit) if share < 1 else df
+
+
+def levelled(df: DataFrame, group: str, target: int, rank_by: Column) -> DataFrame:
+    """At most ``target`` rows in all, taken from the largest groups first: each group keeps as many as a common level allows.
+
+    The level is found from the groups' sizes, pre-aggregated by size.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
+    by_size = sizes.groupBy("size").agg(F.count("*").alias("groups"))  # a row for each different size
+    w = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    total = by_size.agg(F.sum("groups").alias("all"))
+    steps = by_size.select("size", F.coalesce(F.sum(F.col("size") * F.col("groups")).over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("groups").over(w), F.lit(0)).alias("smaller")).crossJoin(F.broadcast(total))
+    # among levels up to a size, smaller groups keep all and the others the level
+    level = F.floor((F.lit(target) - F.col("below")) / (F.col("all") - F.col("smaller")))
+    least = steps.select(F.least(level, F.col("size")).alias("level")).agg(F.max("level").alias("level"))
+    ranked = df.withColumn("pick", rank_by).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("pick")))
+    return ranked.crossJoin(F.broadcast(least)).filter(F.col("place") <= F.col("level")).drop("pick", "place", "level")
+
+
+def ks_windows(df: DataFrame, group: str, at: str, value: str, width: int) -> DataFrame:
+    """Each window of two blocks of ``width``: the greatest difference between the distribution of its values and the whole group's.
+
+    Works on counts by value; a window's row has group, start (of its first block), n and distance.
+    """
+    own = df.withColumn("block", F.floor(F.col(at) / width))
+    counts = own.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).groupBy(group, "block", value).agg(F.count("*").alias("c"))
+    whole = df.groupBy(group, value).agg(F.count("*").alias("c"))
+    upto = lambda keys: F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(Window.partitionBy(*keys))
+    every = whole.select(group, value, upto([group]).alias("whole"), (F.col("c") / F.sum("c").over(Window.partitionBy(group))).alias("step"))
+    here = counts.select(group, "block", value, F.col("c"), upto([group, "block"]).alias("here"), (F.col("c") / F.sum("c").over(Window.partitionBy(group, "block"))).alias("jump"))
+    both = here.join(every, [group, value])
+    # a window's distribution is flat between its values: the difference is greatest at one of them, or just before it
+    gap = F.greatest(F.abs(F.col("here") - F.col("whole")), F.abs(F.col("here") - F.col("jump") - (F.col("whole") - F.col("step"))))
+    return both.groupBy(group, "block").agg(F.sum("c").alias("n"), F.max(gap).alias("distance")).select(group, (F.col("block") * width).alias("start"), "n", "distance")
+
+
 def cutoffs(df: DataFrame, group: str, score: str, percents: list[float]) -> DataFrame:
     """Nearest-rank cutoffs: the score at index int(t / 100 * (n - 1)) of the descending order, from counts by score."""
     counts = df.groupBy(group, score).agg(F.count("*").alias("c"))

@@ -1,5 +1,5 @@
 """Named queries: importing the package registers all of them."""
 
-from . import catalog, reads, sites, variants
+from . import analytics, catalog, reads, sites, variants
 
-__all__ = ["catalog", "reads", "sites", "variants"]
+__all__ = ["analytics", "catalog", "reads", "sites", "variants"]
