@@ -160,7 +160,7 @@ def denoised(df: DataFrame, sample: str, interval: str, value: str, normals: Dat
     n = normals.select(F.col(sample).alias("s"), F.col(interval).alias("i"), F.col(value).cast("double").alias("v"))
     other = n.select(F.col("s").alias("t"), "i", F.col("v").alias("u"))
     products = n.join(other, "i").groupBy("s", "t").agg(F.sum(F.col("v") * F.col("u")).alias("p")).toPandas()
-    names = sorted(products["s"].unique())
+    names = sorted(products["s"].unique().tolist())
     gram = products.pivot(index="s", columns="t", values="p").reindex(index=names, columns=names).fillna(0.0).to_numpy()
     sizes, vectors = np.linalg.eigh(gram)
     order = np.argsort(-sizes)[:rank]

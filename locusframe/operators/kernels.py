@@ -1,4 +1,10 @@
-"""Numeric kernels: one pure function over arrays each, run on grouped or batched rows in Arrow."""
+"""Numeric kernels as functions of arrays, and their forms on tables.
+
+Pairs of texts and rows of likelihoods are solved in Arrow batches, many at
+once; hidden Markov models along a series are solved by ranges: each range
+gives a matrix of states x states, these are combined along the series, and
+each range then is solved between the states at its borders.
+"""
 
 from __future__ import annotations
 
@@ -7,97 +13,331 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .ordered import ranged
+
+TINY = -1e300
+
 
+def lse(x: np.ndarray, axis: int) -> np.ndarray:
+    """Logarithm of the sum of exponentials along an axis."""
+    top = x.max(axis)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
-def viterbi(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Most probable states; all arguments are logarithms, emissions by time and state."""
+
+def viterbi(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, last: int | None = None) -> np.ndarray:
+    """Most probable states; all arguments are logarithms, emissions by time and state. last: the state to end in."""
     score, back = start + emissions[0], []
     for row in emissions[1:]:
         step = score[:, None] + transitions
         back.append(step.argmax(0))
         score = step.max(0) + row
-    path = [int(score.argmax())]
+    path = [int(score.argmax()) if last is None else last]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return np.array(path[::-1])
 
 
-def forward_backward(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posterior probability of each state at each time."""
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis)
-        return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
-
+def forward_backward(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Posterior probability of each state at each time. after: logarithms of what follows the last time, by state."""
     f = [start + emissions[0]]
     for row in emissions[1:]:
         f.append(lse(f[-1][:, None] + transitions, 0) + row)
-    b = [np.zeros(len(start))]
+    b = [np.zeros(len(start)) if after is None else after]
     for row in emissions[:0:-1]:
         b.append(lse(transitions + row + b[-1], 1))
     joint = np.array(f) + np.array(b[::-1])
     return np.exp(joint - lse(joint, 1)[:, None])
 
 
-def smith_waterman(a: str, b: str, match: int = 2, mismatch: int = -1, open_gap: int = -2, extend: int = -1) -> int:
-    """Best local alignment score with affine gaps, by rows of arrays."""
-    if not a or not b:
-        return 0
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    h = np.zeros(len(y) + 1, np.int64)
-    up = np.full(len(y) + 1, -(1 << 40), np.int64)
-    best, steps = 0, np.arange(len(y) + 1) * extend
-    for c in a:
-        up = np.maximum(h + open_gap, up + extend)
-        fresh = np.maximum(0, up)
-        fresh[1:] = np.maximum(fresh[1:], h[:-1] + np.where(y == ord(c), match, mismatch))
-        reach = np.maximum.accumulate(fresh - steps)  # a gap along the row, opened anywhere before
-        fresh[1:] = np.maximum(fresh[1:], reach[:-1] + steps[:-1] + open_gap)
-        h = fresh
-        best = max(best, int(h.max()))
-    return best
-
-
-def pair_hmm(read: str, quals: np.ndarray, haplotype: str, gap_open: float = 1e-4, gap_extend: float = 0.1) -> float:
-    """log10 likelihood of a read given a haplotype (match, insertion and deletion states)."""
-    x, y = np.frombuffer(read.encode(), np.uint8), np.frombuffer(haplotype.encode(), np.uint8)
-    error = 10 ** (-np.asarray(quals, float) / 10)
-    m, i, d = np.zeros(len(y) + 1), np.zeros(len(y) + 1), np.full(len(y) + 1, 1.0 / max(len(y), 1))
-    for r in range(len(x)):
-        emit = np.where(y == x[r], 1 - error[r], error[r] / 3)
-        m2, i2, d2 = np.zeros_like(m), np.zeros_like(i), np.zeros_like(d)
-        m2[1:] = emit * ((1 - 2 * gap_open) * m[:-1] + (1 - gap_extend) * (i[:-1] + d[:-1]))
-        i2 = gap_open * m + gap_extend * i
-        for j in range(1, len(y) + 1):
-            d2[j] = gap_open * m2[j - 1] + gap_extend * d2[j - 1]
-        m, i, d = m2, i2, d2
-    return float(np.log10(max((m + i).sum(), 1e-300)))
-
-
-def denoise(x: np.ndarray, rank: int) -> np.ndarray:
-    """X less its projection on its first right singular vectors."""
-    v = np.linalg.svd(x, full_matrices=False)[2][:rank].T
-    return x - x @ v @ v.T
-
-
-def viterbi_segments(df: DataFrame, group: str, at: str, value: str, means: list[float], sd: float, stay: float) -> DataFrame:
-    """Hidden state of each row of a series with Gaussian emissions; a group is one series of bounded length."""
-    k = len(means)
+def transfer(emissions: np.ndarray, transitions: np.ndarray, best: bool) -> np.ndarray:
+    """From each state before the first time to each state at the last: the best path's score, or the sum over paths."""
+    join = (lambda x: x.max(1)) if best else (lambda x: lse(x, 1))
+    out = transitions + emissions[0]
+    for row in emissions[1:]:
+        out = join(out[:, :, None] + transitions[None]) + row
+    return out
+
+
+def swept(start: np.ndarray, emissions: np.ndarray, transitions: np.ndarray, best: bool) -> np.ndarray:
+    """By state at the last time: the best path's score, or the sum over paths, from the start on."""
+    out = start + emissions[0]
+    for row in emissions[1:]:
+        step = out[:, None] + transitions
+        out = (step.max(0) if best else lse(step, 0)) + row
+    return out
+
+
+def _gaussian(values: np.ndarray, means: np.ndarray, sd: float) -> np.ndarray:
+    return -((values[:, None] - means) ** 2) / (2 * sd * sd)
+
+
+def _hidden_states(df: DataFrame, group: str, at: str, value: str, means: list[float], sd: float, stay: float, best: bool, parts: int | None) -> DataFrame:
+    k, centres = len(means), np.array(means)
     transitions = np.log(np.full((k, k), (1 - stay) / max(k - 1, 1)) + np.eye(k) * (stay - (1 - stay) / max(k - 1, 1)))
+    start = np.full(k, -np.log(k))
+    types = dict(df.dtypes)
+    rows = ranged(df.select(group, at, value), [group], [at], parts)
+
+    def summary(series: pd.DataFrame) -> pd.DataFrame:
+        emissions = _gaussian(series.sort_values(at, kind="stable")[value].to_numpy(float), centres, sd)
+        first = swept(start, emissions, transitions, best)
+        return pd.DataFrame({group: [series[group].iloc[0]], "pid": [series["pid"].iloc[0]], "matrix": [transfer(emissions, transitions, best).ravel().tolist()], "first": [first.tolist()]})
 
-    def run(series: pd.DataFrame) -> pd.DataFrame:
+    def borders(ranges: pd.DataFrame) -> pd.DataFrame:
+        ranges = ranges.sort_values("pid")
+        matrices = [np.array(m).reshape(k, k) for m in ranges["matrix"]]
+        f = [np.array(ranges["first"].iloc[0])]
+        for m in matrices[1:]:
+            step = f[-1][:, None] + m
+            f.append(step.max(0) if best else lse(step, 0))
+        before = [np.full(k, TINY)] + f[:-1]
+        if best:
+            states = [int(f[-1].argmax())]
+            for m, x in zip(matrices[:0:-1], f[-2::-1], strict=True):
+                states.append(int((x + m[:, states[-1]]).argmax()))
+            after = [[float(s)] for s in states[::-1]]
+        else:
+            b = [np.zeros(k)]
+            for m in matrices[:0:-1]:
+                b.append(lse(m + b[-1], 1))
+            after = [x.tolist() for x in b[::-1]]
+        return pd.DataFrame({group: ranges[group], "pid": ranges["pid"], "before": [x.tolist() for x in before], "is_first": [True] + [False] * (len(f) - 1), "after": after})
+
+    def solve(key: tuple, series: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values(at, kind="stable")
-        emissions = -((series[value].to_numpy()[:, None] - np.array(means)) ** 2) / (2 * sd * sd)
-        return series.assign(state=viterbi(emissions, transitions, np.full(k, -np.log(k))))[[group, at, "state"]]
+        emissions = _gaussian(series[value].to_numpy(float), centres, sd)
+        before = np.array(edge["before"].iloc[0])
+        join = (lambda x: x.max(0)) if best else (lambda x: lse(x, 0))
+        begin = start if edge["is_first"].iloc[0] else join(before[:, None] + transitions)
+        after = np.array(edge["after"].iloc[0])
+        if best:
+            return series[[group, at]].assign(state=viterbi(emissions, transitions, begin, int(after[0])))
+        return series[[group, at]].assign(posterior=list(forward_backward(emissions, transitions, begin, after)))
+
+    keys = f"{group} {types[group]}, pid int"
+    matrices = rows.groupBy(group, "pid").applyInPandas(summary, f"{keys}, matrix array<double>, first array<double>")
+    edges = matrices.groupBy(group).applyInPandas(borders, f"{keys}, before array<double>, is_first boolean, after array<double>")  # a row for each range
+    result = "state long" if best else "posterior array<double>"
+    return rows.groupBy(group, "pid").cogroup(edges.groupBy(group, "pid")).applyInPandas(solve, f"{group} {types[group]}, {at} {types[at]}, {result}")
+
+
+def viterbi_segments(df: DataFrame, group: str, at: str, value: str, means: list[float], sd: float, stay: float, parts: int | None = None) -> DataFrame:
+    """The most probable hidden state of each row of a series with Gaussian emissions. (group, at) must be unique."""
+    return _hidden_states(df, group, at, value, means, sd, stay, True, parts)
+
+
+def state_posteriors(df: DataFrame, group: str, at: str, value: str, means: list[float], sd: float, stay: float, parts: int | None = None) -> DataFrame:
+    """The posterior probability of each hidden state of each row of such a series."""
+    return _hidden_states(df, group, at, value, means, sd, stay, False, parts)
+
+
+#: Scores of a match and a mismatch, of a gap's first and further bases.
+MATCH, MISMATCH, OPEN, EXTEND = 25, -50, -110, -6
+
+
+def smith_waterman(reference: str, other: str, match: int = MATCH, mismatch: int = MISMATCH, opening: int = OPEN, extend: int = EXTEND) -> tuple[int, int, str]:
+    """(score, offset, CIGAR) of the best alignment of a text to a reference.
+
+    Gaps have affine costs.  Either text may hang over the other's ends for
+    free: bases of ``other`` beyond the reference are soft-clipped, and offset
+    is where in the reference the alignment begins.  Ties prefer a match, then
+    a deletion, and the end nearest the diagonal.
+    """
+    n, m = len(reference), len(other)
+    if not n or not m:
+        return 0, 0, f"{m}S" if m else ""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (reference, other))
+    low = -(1 << 40)
+    best = np.zeros((n + 1, m + 1), np.int64)
+    down, across = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
+    steps = np.arange(m + 1) * extend
+    for i in range(1, n + 1):
+        down[i, 1:] = np.maximum(best[i - 1, 1:] + opening, down[i - 1, 1:] + extend)
+        fresh = np.zeros(m + 1, np.int64)
+        fresh[1:] = np.maximum(best[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), down[i, 1:])
+        # a gap along the row costs by its length: the best place to open it is a running maximum
+        reach = np.maximum.accumulate(fresh - steps)
+        across[i, 1:] = reach[:-1] + steps[1:] - extend + opening
+        best[i, 1:] = np.maximum(fresh[1:], across[i, 1:])
+        best[i, 0] = 0
+    ends = [(int(best[i, m]), -abs(i - m), i, m) for i in range(1, n + 1)] + [(int(best[n, j]), -abs(n - j), n, j) for j in range(1, m + 1)]
+    score, _, i, j = max(ends)
+    ops: list[list] = [["S", m - j]] if j < m else []
+
+    def add(op: str, size: int = 1) -> None:
+        if ops and ops[-1][0] == op:
+            ops[-1][1] += size
+        else:
+            ops.append([op, size])
+
+    while i and j:
+        if best[i, j] == best[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
+            add("M")
+            i, j = i - 1, j - 1
+        elif best[i, j] == down[i, j]:
+            while True:
+                add("D")
+                i -= 1
+                if down[i + 1, j] == best[i, j] + opening:
+                    break
+        else:
+            size = 1
+            while across[i, j] != best[i, j - size] + opening + (size - 1) * extend:
+                size += 1
+            add("I", size)
+            j -= size
+    if j:
+        add("S", j)
+    return score, i, "".join(f"{size}{op}" for op, size in reversed(ops))
+
+
+def align(df: DataFrame, reference: str, other: str, key: str) -> DataFrame:
+    """Score, offset and CIGAR of each row's text against its reference, in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known: dict[tuple[str, str], tuple[int, int, str]] = {}
+            for pair in zip(batch[reference].fillna(""), batch[other].fillna(""), strict=True):
+                if pair not in known:
+                    known[pair] = smith_waterman(*pair)
+            found = [known[pair] for pair in zip(batch[reference].fillna(""), batch[other].fillna(""), strict=True)]
+            yield pd.DataFrame({key: batch[key], "score": [x[0] for x in found], "offset": [x[1] for x in found], "cigar": [x[2] for x in found]})
+
+    return df.select(key, reference, other).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score long, offset long, cigar string")
+
+
+#: What a likelihood starts with, so that long reads don't underflow.
+SCALE = 2.0**1000
+
+
+def pair_hmm(reads: list[str], quals: list, insertions: list, deletions: list, continuations: list, haplotypes: list[str]) -> np.ndarray:
+    """log10 likelihoods of reads given haplotypes, pair by pair, with qualities for each base of a read and for gaps there.
+
+    Three states (match, insertion, deletion); a read may begin and end anywhere
+    in its haplotype; N matches all.  All pairs are solved along diagonals at once.
+    """
+    b = len(reads)
+    n, h = np.array([len(r) for r in reads]), np.array([len(x) for x in haplotypes])
+    most, width = int(n.max(initial=0)), int(h.max(initial=0))
+    if not b or not most or not width:
+        return np.where((n > 0) & (h > 0), 0.0, -np.inf) if b else np.zeros(0)
+
+    def padded(rows: list, size: int, kind: type, fill: float) -> np.ndarray:
+        out = np.full((b, size), fill, kind)
+        for i, x in enumerate(rows):
+            out[i, : len(x)] = x
+        return out
+
+    x = padded([np.frombuffer(r.encode(), np.uint8) for r in reads], most, np.uint8, 0)
+    y = padded([np.frombuffer(r.encode(), np.uint8) for r in haplotypes], width, np.uint8, 1)
+    error, opens_i, opens_d, goes_on = (10 ** (-padded(q, most, float, 40.0) / 10) for q in (quals, insertions, deletions, continuations))
+    stays = 1 - (opens_i + opens_d)
+    zeros = lambda: np.zeros((b, most + 1))
+    m1, i1, d1, m2, i2, d2 = (zeros() for _ in range(6))  # the diagonal before, and the one before that
+    begin = SCALE / np.maximum(h, 1)
+    d1[:, 0] = begin  # place (0, 0)
+    total, every = np.zeros(b), np.arange(1, most + 1)
+    rows = np.arange(b)
+    for diagonal in range(1, most + width + 1):
+        j = diagonal - every  # place in the haplotype for each place in the read
+        inside = (j >= 1) & (j[None] <= h[:, None]) & (every[None] <= n[:, None])
+        base = y[:, np.clip(j - 1, 0, width - 1)]
+        same = (base == x) | (x == 78) | (base == 78)
+        emit = np.where(same, 1 - error, error / 3)
+        m, i, d = zeros(), zeros(), zeros()
+        m[:, 1:] = np.where(inside, emit * (stays * m2[:, :-1] + (1 - goes_on) * (i2[:, :-1] + d2[:, :-1])), 0)
+        i[:, 1:] = np.where(inside, opens_i * m1[:, :-1] + goes_on * i1[:, :-1], 0)
+        d[:, 1:] = np.where(inside, opens_d * m1[:, 1:] + goes_on * d1[:, 1:], 0)
+        d[:, 0] = begin
+        ends = diagonal - n
+        total += np.where((ends >= 1) & (ends <= h), m[rows, n] + i[rows, n], 0)
+        m2, i2, d2, m1, i1, d1 = m1, i1, d1, m, i, d
+    with np.errstate(divide="ignore"):
+        return np.log10(total) - np.log10(SCALE)
+
+
+def likelihoods(df: DataFrame, key: list[str], read: str, quals: str, haplotype: str, gap: int = 45, continuation: int = 10, pairs: int = 256) -> DataFrame:
+    """Each row's log10 likelihood; gap qualities are the same for all bases. Rows are solved ``pairs`` at a time, sorted by length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[(batch[read].str.len() > 0) & (batch[haplotype].str.len() > 0)]
+            batch = batch.iloc[np.argsort(batch[read].str.len().to_numpy(), kind="stable")]
+            for at in range(0, len(batch), pairs):
+                own = batch.iloc[at : at + pairs]
+                texts, haps = own[read].tolist(), own[haplotype].tolist()
+                flat = lambda q: [np.full(len(t), q) for t in texts]  # noqa: E731, B023
+                yield own[key].assign(log10=pair_hmm(texts, [np.asarray(q)[: len(t)] for q, t in zip(own[quals], texts, strict=True)], flat(gap), flat(gap), flat(continuation), haps))
 
     types = dict(df.dtypes)
-    return df.select(group, at, value).groupBy(group).applyInPandas(run, f"{group} {types[group]}, {at} {types[at]}, state long")
+    return df.select(*key, read, quals, haplotype).mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in key) + ", log10 double")
+
+
+def allele_count_posterior(likelihoods_: np.ndarray, log10_prior: np.ndarray) -> np.ndarray:
+    """Probability of each count of alternate alleles among diploid samples. likelihoods_: log10, by sample and genotype; log10_prior: by count.
 
+    Exact: samples are added one by one, each count's sum over all genotypes
+    that make it up being kept.
+    """
+    g = 10.0 ** (likelihoods_ - likelihoods_.max(1, keepdims=True))
+    z = np.array([1.0])
+    for j, (g0, g1, g2) in enumerate(g, 1):
+        k = np.arange(2 * j + 1)
+        at = lambda i: np.where((k - i >= 0) & (k - i < len(z)), z[np.clip(k - i, 0, len(z) - 1)], 0)  # noqa: E731, B023
+        z = ((2 * j - k) * (2 * j - k - 1) * at(0) * g0 + 2 * k * (2 * j - k) * at(1) * g1 + k * (k - 1) * at(2) * g2) / (2 * j * (2 * j - 1))
+        z /= z.max()
+    with np.errstate(divide="ignore"):
+        log = np.log10(z) + log10_prior[: len(z)]
+    p = 10.0 ** (log - log.max())
+    return p / p.sum()
 
-def align(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
-    """Local alignment score of two text columns."""
+
+def allele_counts(df: DataFrame, key: str, likelihoods_: str, theta: float = 1e-3) -> DataFrame:
+    """key, ac (the most probable count of alternate alleles), qual (Phred of no alternate allele), from each row's genotype likelihoods (log10, an array for each sample).
+
+    The prior of a count k > 0 is theta / k. Samples without likelihoods don't count.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "score": [smith_waterman(x or "", y or "") for x, y in zip(batch[a], batch[b], strict=True)]})
+            ac, qual = [], []
+            for row in batch[likelihoods_]:
+                x = np.array([list(s) for s in (row if row is not None else []) if s is not None and len(s) == 3], float).reshape(-1, 3)
+                prior = np.array([0.0] + [theta / k for k in range(1, 2 * len(x) + 1)])
+                prior[0] = max(1 - prior.sum(), 1e-300)
+                p = allele_count_posterior(x, np.log10(prior)) if len(x) else np.array([1.0])
+                ac.append(int(p.argmax()))
+                qual.append(float(-10 * np.log10(max(p[0], 1e-300))))
+            yield pd.DataFrame({key: batch[key], "ac": ac, "qual": qual})
+
+    return df.select(key, likelihoods_).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ac long, qual double")
+
+
+def mixture_scores(df: DataFrame, key: list[str], features: list[str], good: str, components: int = 2, seed: int = 7) -> DataFrame:
+    """key and lod: the log10 density of a row under a Gaussian mixture of the rows where ``good`` holds, less that of the other rows. Fitted by expectation maximisation in the cluster."""
+    import math
+
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    return df.select(key, a, b).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score long")
+    known = df.filter(" and ".join(f"{f} is not null" for f in features))
+    moments = known.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev(f).alias(f"s_{f}"))]).first()
+    scaled = known.select(*key, good, *[((F.col(f) - F.lit(moments[f"m_{f}"])) / F.lit(moments[f"s_{f}"] or 1.0)).alias(f) for f in features])
+    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled)
+    out = vectors.withColumn("x", vector_to_array("features"))
+    sides = []
+    for side in (True, False):
+        model = GaussianMixture(k=components, seed=seed, featuresCol="features").fit(vectors.filter(F.coalesce(F.col(good), F.lit(False)) == side))
+        terms = []
+        for w, g in zip(model.weights, model.gaussians, strict=True):
+            cov = np.array(g.cov.toArray()) + 1e-6 * np.eye(len(features))
+            inverse, size = np.linalg.inv(cov), math.log(max(w, 1e-300)) - 0.5 * (np.linalg.slogdet(cov)[1] + len(features) * math.log(2 * math.pi))
+            d = [F.get("x", F.lit(i)) - float(mu) for i, mu in enumerate(g.mean.toArray())]
+            square = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+            terms.append(F.lit(size) - square / 2)
+        top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+        sides.append((top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))) / math.log(10))
+    return out.select(*key, (sides[0] - sides[1]).alias("lod"))

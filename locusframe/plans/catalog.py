@@ -18,7 +18,6 @@ from ..operators import aggregates as A
 from ..operators import callsets as C
 from ..operators import filters as FL
 from ..operators import intervals as I  # noqa: E741
-from ..operators import kernels as K
 from ..operators import transforms as T
 from ..operators import windows as W
 from ..streaming import streams
@@ -475,19 +474,6 @@ def likelihood_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(every)).select("vec_id", best["label"].alias("label"))
 
 
-@query()
-def viterbi_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not in SQL: the most probable path of a hidden Markov model along each supplier's daily counts."""
-    d = items(spark, sf_dir).groupBy("l_suppkey", "day").agg(F.count("*").cast("double").alias("v"))
-    return K.viterbi_segments(d, "l_suppkey", "day", "v", [1.0, 2.0, 4.0], 1.0, 0.9)
-
-
-@query()
-def local_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not in SQL: local alignment scores of part names and types."""
-    return K.align(table(spark, sf_dir, "part"), "p_name", "p_type", "p_partkey")
-
-
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = streams.table_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

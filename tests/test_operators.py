@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import scalars as S
-from locusframe.operators import aggregates, filters, intervals, kernels, sites, transforms, windows
+from locusframe.operators import aggregates, filters, intervals, sites, transforms, windows
 from locusframe.plans import catalog
 from locusframe.sources import text
 
@@ -51,18 +51,6 @@ def test_near_rows_drop_whole_chains(spark):
     assert [r.k for r in windows.remove_near(d, "c", "p", "k", 4).collect()] == [4]
 
 
-def test_kernels():
-    assert kernels.smith_waterman("ACGT", "ACGT") == 8
-    assert kernels.smith_waterman("ACGTTT", "ACGTT") == 10
-    assert kernels.smith_waterman("", "A") == 0
-    stay = np.log(np.array([[0.9, 0.1], [0.1, 0.9]]))
-    emissions = np.log(np.array([[0.9, 0.1]] * 3 + [[0.1, 0.9]] * 3))
-    assert kernels.viterbi(emissions, stay, np.log([0.5, 0.5])).tolist() == [0, 0, 0, 1, 1, 1]
-    assert np.allclose(kernels.forward_backward(emissions, stay, np.log([0.5, 0.5])).sum(1), 1)
-    assert kernels.pair_hmm("ACGT", [30] * 4, "ACGT") > kernels.pair_hmm("ACGA", [30] * 4, "ACGT")
-    assert np.allclose(kernels.denoise(np.outer([1.0, 2], [3.0, 4]), 1), 0)
-
-
 def test_sam_filters_and_transforms(spark, tmp_path):
     (tmp_path / "a.sam").write_text("@HD\tVN:1.6\nr1/1\t99\tchr1\t10\t60\t4M\t=\t30\t24\tACGT\tIIII\tRG:Z:g\nr2\t1024\tchr1\t10\t255\t2S2M\t*\t0\t0\tACGN\t!!II\tRG:Z:g\n")
     reads = text.read_sam(spark, str(tmp_path / "a.sam"))
@@ -77,11 +65,13 @@ def test_sam_filters_and_transforms(spark, tmp_path):
 
 
 def test_bed_and_vcf(spark, tmp_path):
-    (tmp_path / "a.bed").write_text("#x\nchr1\t0\t5\tn\n")
-    assert [tuple(r) for r in text.read_bed(spark, str(tmp_path / "a.bed")).collect()] == [("chr1", 1, 5, "n")]
-    (tmp_path / "a.vcf").write_text("##f\n#CHROM\nchr1\t7\t.\tAC\tA,T\t50.5\tPASS\tDP=3;DB\n")
-    v = text.read_vcf(spark, str(tmp_path / "a.vcf")).first()
-    assert (v.start, v.end, v.alts, v.qual, v.filters, v.info) == (7, 8, ["A", "T"], 50.5, [], {"DP": "3", "DB": None})
+    (tmp_path / "a.bed").write_text("#x\ntrack name=y\nchr1\t0\t5\tn\n")
+    assert [tuple(r) for r in text.read_bed(spark, str(tmp_path / "a.bed")).collect()] == [("chr1", 1, 5, "n", None, None)]
+    (tmp_path / "a.vcf").write_text("##f\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\nchr1\t7\t.\tAC\tA,T\t1234567.89\tPASS\tDP=3;DB;DP=4;ANN=a=b\tGT:DP\t0/1:5\t.\nchr1\t8\t.\tA\t.\t1e3\t.\t.\tGT\t0|0\t0/0\n")
+    v, w = text.read_vcf(spark, str(tmp_path / "a.vcf")).orderBy("start").collect()
+    assert (v.start, v.end, v.alts, v.qual, v.filters, v.info) == (7, 8, ["A", "T"], 1234567.89, [], {"DP": "3", "DB": None, "ANN": "a=b"})
+    assert [(g.sample, g["values"]) for g in v.genotypes] == [("s1", {"GT": "0/1", "DP": "5"}), ("s2", {"GT": None})]
+    assert (w.alts, w.qual, w.filters, w.info) == ([], 1000.0, None, {})
 
 
 def test_cigars(spark):
