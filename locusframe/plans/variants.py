@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import filters as FL
 from ..operators import intervals as I  # noqa: E741
 from ..operators import variants as V
+from ..sources import bam as BAM
 from ..sources import reference as REF
 from ..sources import text as X
 from ..sources.shared import scratch
@@ -203,6 +204,19 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("name", long(F.col("flags"), "flags"), "contig", long(F.col("start"), "start"), long(F.col("end"), "end"), long(F.col("mapq"), "mapq"), long(F.size("cigar"), "n_ops"), "mate_contig", long(F.col("mate_start"), "mate_start"), long(F.col("tlen"), "tlen"), "bases", total.alias("quals"), "read_group", F.col("tags")["NM"].alias("nm"), F.col("tags")["OD"].alias("optical"), (F.col("read_group").isNull() | F.col("sample").isNotNull()).alias("grouped"))
 
 
+@query(f"with {READS} select trim(name) as name, flags, contig, start, \"end\", mapq, len(ops) n_ops, mate_contig, mate_start, tlen, bases, cast(list_sum(quals) as bigint) quals, read_group, cast(nm as varchar) nm from reads where length(bases) = len(quals)")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as binary alignment files in header order, in shards, and read again."""
+    r = read_view(spark, sf_dir).filter("length(bases) = size(quals)")
+    tags = F.when(F.col("read_group").isNotNull(), F.map_concat("tags", F.create_map(F.lit("RG"), F.col("read_group")))).otherwise(F.col("tags"))
+    path = scratch(spark, "bam")
+    BAM.write_bam(r.withColumn("tags", tags), path, [(c, n) for c, n, _ in CONTIGS], ["rg0", "rg1"])
+    back = BAM.read_bam(spark, path)
+    total = F.when(F.size("quals") > 0, F.aggregate("quals", F.lit(0).cast("long"), lambda a, q: a + q))
+    long = lambda x, name: x.cast("long").alias(name)
+    return back.select("name", long(F.col("flags"), "flags"), "contig", long(F.col("start"), "start"), long(F.col("end"), "end"), long(F.col("mapq"), "mapq"), long(F.size("cigar"), "n_ops"), "mate_contig", long(F.col("mate_start"), "mate_start"), long(F.col("tlen"), "tlen"), "bases", total.alias("quals"), "read_group", F.col("tags")["NM"].alias("nm"))
+
+
 @query(f"with {VARIANTS} select contig, start, \"end\", id, ref, array_to_string(alts, ',') alts, qual, array_to_string(filters, ';') filters, cast(dp as varchar) dp, 'a=' || ann ann, af, db, gts[1] || ' ' || gts[2] || ' ' || gts[3] calls, cast(gqs[2] as varchar) gq, cast(dps[3] as varchar) depth from variants")
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with genotypes written as variant files and read again."""
