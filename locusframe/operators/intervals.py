@@ -189,3 +189,69 @@ def count_starts(bins: DataFrame, points: DataFrame, contig: str, start: str, en
     held = (F.col(contig) == F.col("point_contig")) & (F.col("bin_cell") == F.col("cell")) & F.col("place").between(F.col(start), F.col(end))
     found = cells.join(counted, held).groupBy(contig, start, end).agg(F.sum("n").alias("n"))
     return null_safe(bins, found, [contig, start, end], "left").fillna(0, ["n"])
+
+
+def range_overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], key: str, right_key: str, parts: int | None = None) -> DataFrame:
+    """Pairs (key, right_key) of overlapping intervals by ranges of the left side's order.
+
+    The left side is cut into ranges of (contig, start); a table with one row
+    for each range and contig tells what the range covers, and right intervals
+    go to each range that they touch.  A range is solved by a sweep over sorted
+    arrays: no bins, and a right side that lies in order already is read once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .ordered import ranged
+
+    (lc, ls, le), (rc, rs, re) = left_on, right_on
+    a = ranged(left.filter(F.col(le) >= F.col(ls)).select(F.col(key).alias("k"), F.col(lc).alias("c"), F.col(ls).cast("long").alias("s"), F.col(le).cast("long").alias("e")), ["c"], ["s"], parts)
+    covers = a.groupBy("pid", "c").agg(F.min("s").alias("from_"), F.max("e").alias("to"))  # a row for each range, and one more for each contig
+    b = right.filter(F.col(re) >= F.col(rs)).select(F.col(right_key).alias("rk"), F.col(rc).alias("c"), F.col(rs).cast("long").alias("s"), F.col(re).cast("long").alias("e"))
+    dealt = b.join(F.broadcast(covers), "c").filter((F.col("s") <= F.col("to")) & (F.col("e") >= F.col("from_"))).select(F.col("pid").alias("p"), F.col("c").alias("contig"), "rk", "s", "e")
+    types = dict(a.dtypes) | dict(b.dtypes)
+
+    def sweep(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"k": x["k"][:0], "rk": y["rk"][:0]})
+        y = y.sort_values("s", kind="stable")
+        starts, ends = y["s"].to_numpy(), y["e"].to_numpy()
+        # those that start before an interval's end, from the first whose longest predecessor reaches its start
+        high = np.searchsorted(starts, x["e"].to_numpy(), "right")
+        low = np.minimum(np.searchsorted(np.maximum.accumulate(ends), x["s"].to_numpy(), "left"), high)
+        n = high - low
+        own = np.repeat(np.arange(len(x)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        keep = ends[place] >= x["s"].to_numpy()[own]
+        return pd.DataFrame({"k": x["k"].to_numpy()[own[keep]], "rk": y["rk"].to_numpy()[place[keep]]})
+
+    out = a.groupBy("pid", "c").cogroup(dealt.groupBy("p", "contig")).applyInPandas(sweep, f"k {types['k']}, rk {types['rk']}")
+    return out.withColumnsRenamed({"k": key, "rk": right_key})
+
+
+STRATEGIES = ("broadcast", "ranges", "shuffle")
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], key: str, right_key: str, width: int, strategy: str | None = None) -> DataFrame:
+    """Pairs of keys of overlapping intervals by a named strategy, or by the one that fits."""
+    chosen = strategy or interval_strategy(left, right)
+    if chosen not in STRATEGIES:
+        raise ValueError(f"{chosen} is none of {', '.join(STRATEGIES)}")
+    if chosen == "ranges":
+        return range_overlap_join(left, right, left_on, right_on, key, right_key)
+    return overlap_join(left, right, left_on, right_on, width, strategy=chosen).select(key, right_key)
+
+
+def no_longer_than(df: DataFrame, start: str, end: str, longest: int) -> DataFrame:
+    """The same rows; an interval longer than this is an error."""
+    fits = F.col(end) - F.col(start) + 1 <= longest
+    return df.filter(F.when(F.coalesce(fits, F.lit(True)), True).otherwise(F.raise_error(F.concat(F.lit(f"longer than {longest}: "), F.col(start).cast("string"), F.lit("-"), F.col(end).cast("string"))).cast("boolean")))
+
+
+def linked_pairs(df: DataFrame, key: str, source: tuple[str, str, str], target: tuple[str, str, str], width: int) -> DataFrame:
+    """Pairs of rows whose source intervals overlap and whose target intervals overlap too, each pair once (smaller key first)."""
+    (sc, ss, se), (tc, ts, te) = source, target
+    own = df.select(F.col(key).alias("a"), F.col(sc).alias("c"), F.col(ss).alias("s"), F.col(se).alias("e"), F.col(tc).alias("tc"), F.col(ts).alias("ts"), F.col(te).alias("te"))
+    other = own.select(*[F.col(x).alias(f"{x}2") for x in own.columns])
+    pairs = overlap_join(own, other, ("c", "s", "e"), ("c2", "s2", "e2"), width)
+    return pairs.filter((F.col("a") < F.col("a2")) & (F.col("tc") == F.col("tc2")) & (F.col("ts") <= F.col("te2")) & (F.col("ts2") <= F.col("te"))).select("a", F.col("a2").alias("b"))

@@ -6,6 +6,7 @@ partial sums before each shuffle.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -150,3 +151,45 @@ def rank_sum_annotation(df: DataFrame, keys: list[str], alt: Column, value: str,
 def sample_depths(df: DataFrame, site: list[str], sample: str, alt: Column, *more: Column) -> DataFrame:
     """Reads and alternate reads of each sample at each site."""
     return df.groupBy(*site, sample).agg(F.count("*").alias("depth"), F.count_if(alt).alias("alt_depth"), *more)
+
+
+def mendelian_violations(mother: int, father: int, child: int) -> int:
+    """The fewest alleles of a child's genotype that its parents can't have given it: 0, 1 or 2."""
+    gives = {0: (0,), 1: (0, 1), 2: (1,)}
+    return min(abs(child - (m + f)) for m in gives[mother] for f in gives[father])
+
+
+def family_posteriors(df: DataFrame, mother: str, father: str, child: str, prior: float = 1e-6) -> DataFrame:
+    """df with the posterior probabilities of the three genotypes of each member of a trio (columns with _posterior), from log10 likelihoods.
+
+    They are weighed by how rarely a child has an allele that its parents lack.
+    """
+    weight = {0: 1 - 10 * prior - prior * prior, 1: prior, 2: prior * prior}
+    linear = lambda x: F.transform(x, lambda y: F.pow(F.lit(10.0), y - F.array_max(x)))
+    held = df.withColumns({f"linear_{i}": linear(F.col(x)) for i, x in enumerate((mother, father, child))})
+    places = list(itertools.product(range(3), repeat=3))
+    cells = [F.get("linear_0", F.lit(i)) * F.get("linear_1", F.lit(j)) * F.get("linear_2", F.lit(k)) * weight[mendelian_violations(i, j, k)] for i, j, k in places]
+    held = held.withColumn("cells", F.array(*cells))
+    total = F.aggregate("cells", F.lit(0.0), lambda a, x: a + x)
+    side = lambda axis: F.array(*[sum((F.get("cells", F.lit(n)) for n, p in enumerate(places) if p[axis] == g), F.lit(0.0)) / total for g in range(3)])
+    return held.withColumns({f"{x}_posterior": side(i) for i, x in enumerate((mother, father, child))}).drop("cells", "linear_0", "linear_1", "linear_2")
+
+
+def covariate_tables(elements: DataFrame, known: DataFrame, group: str, error: Column, least_quality: int = 6) -> DataFrame:
+    """Observations and errors by group and quality, by context (a base and the one before it) too, and by cycle too.
+
+    elements: of a pileup, with read_bases.  Bases at known places (contig, at),
+    of low quality, or unknown don't count.  level: 3 for group and quality, 1
+    with context, 2 with cycle.  Cycles of second reads are negative, and count
+    from the read's own start.
+    """
+    used = elements.join(known.select("contig", "at").distinct(), ["contig", "at"], "left_anti").filter((F.col("quality") >= least_quality) & F.col("base").isin(*"ACGT"))
+    n = F.length("read_bases")
+    reverse = F.col("flags").bitwiseAND(0x10) != 0
+    place = F.when(reverse, n - F.col("offset")).otherwise(F.col("offset") + 1)
+    cycle = F.when(F.col("flags").bitwiseAND(0x80) != 0, -place).otherwise(place)
+    before = F.when(F.col("offset") > 0, F.substring("read_bases", F.col("offset"), F.lit(1)))
+    context = F.when(before.isin(*"ACGT"), F.concat(before, F.col("base")))
+    rows = used.select(F.col(group).alias("g"), F.col("quality").alias("q"), context.alias("context"), cycle.cast("long").alias("cycle"), error.cast("long").alias("error"))
+    sets = rows.groupingSets([[F.col("g"), F.col("q")], [F.col("g"), F.col("q"), F.col("context")], [F.col("g"), F.col("q"), F.col("cycle")]], "g", "q", "context", "cycle")
+    return sets.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum("error").alias("errors"))

@@ -236,3 +236,74 @@ def filter_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     tagged = table(spark, sf_dir, "lineitem").withColumn("fs", F.array_compact(F.array(F.when(c("l_quantity") < 10, "few"), F.when(c("l_discount") > 0.07, "cheap"), F.when(c("l_tax") > 0.06, "taxed"))))
     return C.filter_analysis(tagged, "fs", F.col("l_returnflag") == "R")
+
+
+@query(f"with a as ({SPANS}), b as ({STAYS}) select o_orderkey, key2 from a join b on a.contig = b.contig2 and s <= e2 and s2 <= e")
+def ranged_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of interval_overlap_join by ranges, after a check that no interval is too long."""
+    a = I.no_longer_than(spans(spark, sf_dir), "s", "e", 1000)
+    return I.overlapping_pairs(a, stays(spark, sf_dir), ("contig", "s", "e"), ("contig2", "s2", "e2"), "o_orderkey", "key2", 30, "ranges")
+
+
+@query(f"with a as (select o_orderkey k, contig, s, e, (o_orderkey * 7) % 5 tc, s % 100 ts, s % 100 + 20 te from ({SPANS})) select x.k a, y.k b from a x join a y on x.k < y.k and x.contig = y.contig and x.s <= y.e and y.s <= x.e and x.tc = y.tc and x.ts <= y.te and y.ts <= x.te")
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of evidence that point from overlapping places to overlapping places."""
+    a = spans(spark, sf_dir).select(F.col("o_orderkey").alias("k"), "contig", "s", "e", ((F.col("o_orderkey") * 7) % 5).alias("tc"), (F.col("s") % 100).alias("ts"), (F.col("s") % 100 + 20).alias("te"))
+    return I.linked_pairs(a, "k", ("contig", "s", "e"), ("tc", "ts", "te"), 30)
+
+
+_GL = lambda shift: f"list_transform([0, 1, 2], lambda g: -abs((k + {shift}) % 3 - g) * ((k + {shift}) % 7 + 1) / 2.0::double)"
+
+
+@query(f"with o as (select o_orderkey k from orders), l as (select k, {_GL(0)} m, {_GL(1)} f, {_GL(5)} c from o), g as (select unnest([0, 1, 2]) x), w as (select k, a.x i, b.x j, z.x h, pow(10, m[a.x + 1] + f[b.x + 1] + c[z.x + 1]) * case least(abs(z.x - ((a.x + 1) // 2) - ((b.x + 1) // 2)), abs(z.x - (a.x // 2) - (b.x // 2)), abs(z.x - ((a.x + 1) // 2) - (b.x // 2)), abs(z.x - (a.x // 2) - ((b.x + 1) // 2))) when 0 then 1 - 10 * 0.001 - 0.001 * 0.001 when 1 then 0.001 else 0.001 * 0.001 end p from l, g a, g b, g z) select k, round(sum(p) filter (i = 1) / sum(p), 9) mother_het, round(sum(p) filter (j = 0) / sum(p), 9) father_ref, round(sum(p) filter (h = 2) / sum(p), 9) child_alt from w group by k")
+def family_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes of trios, each helped by the other two."""
+    k = F.col("o_orderkey")
+    gl = lambda shift: F.array(*[-(F.abs((k + shift) % 3 - g) * ((k + shift) % 7 + 1)) / 2.0 for g in range(3)])
+    o = table(spark, sf_dir, "orders").select(k.alias("k"), gl(0).alias("mother"), gl(1).alias("father"), gl(5).alias("child"))
+    out = V.family_posteriors(o, "mother", "father", "child", 1e-3)
+    return out.select("k", F.round(F.col("mother_posterior")[1], 9).alias("mother_het"), F.round(F.col("father_posterior")[0], 9).alias("father_ref"), F.round(F.col("child_posterior")[2], 9).alias("child_alt"))
+
+
+@query(f"{PILED}, e as (select contig, place, k, offs, base, quality, flags, 'r' || k % 3 g from pile where quality >= 6 and base in ('A', 'C', 'G', 'T') and not exists (select 1 from nation where place = n_nationkey * 90 + 100 and contig = 'chr' || (n_nationkey % 5 + 1))), f as (select e.*, bases rb from e join reads using (k)), h as (select g, quality q, case when offs > 0 and substr(rb, cast(offs as bigint), 1) <> 'N' then substr(rb, cast(offs as bigint), 1) || base end context, cast((case when (flags & 16) <> 0 then length(rb) - offs else offs + 1 end) * case when (flags & 128) <> 0 then -1 else 1 end as bigint) as cycle, (base = 'T')::bigint error from f) select g, q, context, cycle, cast(grouping(g) * 8 + grouping(q) * 4 + grouping(context) * 2 + grouping(cycle) as bigint) as level, count(*) n, cast(sum(error) as bigint) errors from h group by grouping sets ((g, q), (g, q, context), (g, q, cycle))")
+def covariate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalibration by context and cycle, known places left out (an error is a T here)."""
+    r = read_view(spark, sf_dir)
+    elements = B.pileup(r, "k").join(r.select(F.col("k").alias("read"), F.col("bases").alias("read_bases")), "read").withColumn("g", F.concat(F.lit("r"), (F.col("read") % 3).cast("string")))
+    n = F.col("n_nationkey")
+    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), (n % 5 + 1).cast("string")).alias("contig"), (n * 90 + 100).alias("at"))
+    return V.covariate_tables(elements, known, "g", F.col("base") == "T")
+
+
+@query(f"with {READS}, t as (select regexp_replace(regexp_replace(name, '\\s.*$', ''), '/[12]$', '') template from reads) select template, count(*) n, 1::bigint parts from t group by 1")
+def names_in_one_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads dealt by name: each name's rows lie in one partition."""
+    from ..operators import readsets as R
+    from ..operators import transforms as TR
+
+    r = read_view(spark, sf_dir).withColumn("template", TR.strip_mate_number(F.col("name")))
+    dealt = R.by_name(r.select("template", "k"), "template").withColumn("pid", F.spark_partition_id())
+    return dealt.groupBy("template").agg(F.count("*").alias("n"), F.countDistinct("pid").alias("parts"))
+
+
+@query("with s as (select l_suppkey g, cast(sum(l_quantity) as bigint) size from lineitem group by 1), r as (select g, size, (row_number() over (order by size desc, g) - 1) % 8 p from s) select count(*) n_groups, max(size) most, count(distinct p) parts from r")
+def size_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups dealt to partitions by size: each group lies in one, the largest in different ones."""
+    from ..operators import readsets as R
+
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").cast("long").alias("v"))
+    dealt = R.size_ordered(d, "g", "v", 8).withColumn("pid", F.spark_partition_id())
+    sizes = dealt.groupBy("g", "pid").agg(F.sum("v").alias("size"))
+    return sizes.agg(F.count("*").alias("n_groups"), F.max("size").alias("most"), F.countDistinct("pid").alias("parts"))
+
+
+@query(f"with {COUNTS} select s, i, v as value from cts")
+def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long table written as rows of a matrix with its column names, and read again; missing cells stay missing."""
+    from ..sources import matrix
+    from ..sources.shared import scratch
+
+    path = scratch(spark, "matrix")
+    matrix.write_matrix(_counts(spark, sf_dir), path, "s", "i", "v", 500)
+    back = matrix.read_matrix(spark, path)
+    return back.select(F.col("row").cast("int").alias("s"), F.col("column").cast("long").alias("i"), "value")
