@@ -89,7 +89,9 @@ def subset_alleles(df: DataFrame, keep: Column) -> DataFrame:
     the remaining depths, and PL the likelihoods of the remaining genotypes of
     diploid samples, made to start at 0.
     """
-    kept = F.array_sort(F.array_distinct(F.filter(keep, lambda a: (a >= 1) & (a <= F.size("alts")))))
+    # a column of its own: inside a lambda a name that is assigned beside it would mean the new column
+    held = df.withColumn("kept_alleles", F.array_sort(F.array_distinct(F.filter(keep, lambda a: (a >= 1) & (a <= F.size("alts"))))))
+    kept = F.col("kept_alleles")
     old = F.concat(F.array(F.lit(0)), kept)  # old number of each new allele
 
     def renumbered(gt: Column) -> Column:
@@ -107,7 +109,8 @@ def subset_alleles(df: DataFrame, keep: Column) -> DataFrame:
         return F.array_join(F.transform(some, lambda x: (x - F.array_min(some)).cast("string")), ",", ".")
 
     values = lambda g: F.transform_values(g["values"], lambda k, v: F.when(k == "GT", renumbered(v)).when(k == "AD", depths(v)).when(k == "PL", likelihoods(v)).otherwise(v))
-    return df.withColumns({"genotypes": F.transform("genotypes", lambda g: F.struct(g["sample"].alias("sample"), values(g).alias("values"))), "alts": F.transform(kept, lambda i: F.get("alts", i - 1))})
+    out = held.withColumn("genotypes", F.transform("genotypes", lambda g: F.struct(g["sample"].alias("sample"), values(g).alias("values"))))
+    return out.withColumn("alts", F.transform(kept, lambda i: F.get("alts", i - 1))).drop("kept_alleles")
 
 
 def used_alleles() -> Column:
@@ -239,7 +242,8 @@ def problems(df: DataFrame, reference_base: Column | None = None) -> Column:
 
 def fixed_sample_order(df: DataFrame, samples: list[str]) -> DataFrame:
     """Genotypes in the given order of samples."""
-    return df.withColumn("genotypes", F.array_compact(F.array(*[F.get(F.filter("genotypes", lambda g, s=s: g["sample"] == s), F.lit(0)) for s in samples])))
+    one = lambda name: F.get(F.filter("genotypes", lambda g: g["sample"] == name), F.lit(0))
+    return df.withColumn("genotypes", F.array_compact(F.array(*map(one, samples))))
 
 
 def site_annotations(df: DataFrame) -> DataFrame:
