@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Rows and bytes that Spark hands to Python at once; they bound a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bytes of text that are turned into arrays at once.
 PIECE = 2 << 20
 #: Columns of the rows of a packed exchange.
@@ -233,10 +233,38 @@ def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.Rec
         if total >= size:
             yield block
             block, total = [], 0
+            release()
     if block:
         yield block
 
 
+def _libc():
+    """malloc_trim of the C library, where it has one."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, giving back to the system what it has freed when it ends: workers live on and serve later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
 def task_id() -> int:
     from pyspark import TaskContext
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .blocks import PACKED, buckets, exchange, groups, pack, packed_batch, prepare, task_id, unpack
+from .blocks import PACKED, buckets, exchange, groups, pack, packed_batch, prepare, task_id, trimmed, unpack
 
 BLOCK = 16 << 20
 WORDS, PLACES, IDS = 0, 1, 2
@@ -181,6 +181,6 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     prepare(docs.sparkSession)
     path, n = path or vocabulary.rank_file(), buckets(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_split(n), PACKED)
-    encoded = exchange(sent, n).mapInArrow(_encode(path, n), PACKED)
-    return exchange(encoded, n).mapInArrow(_reassemble(path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(_split(n)), PACKED)
+    encoded = exchange(sent, n).mapInArrow(trimmed(_encode(path, n)), PACKED)
+    return exchange(encoded, n).mapInArrow(trimmed(_reassemble(path)), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import crc32_mod, prepare
+from .blocks import crc32_mod, prepare, trimmed
 
 PROFILE = 400
 #: The model is learned from about this many labelled documents of each language (all, if there are fewer).
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict
     shares = rows.select("lang", "hash").distinct().groupBy("lang").agg((F.lit(sample * 1e6) / F.count("*")).alias("share"))
     chosen = rows.join(F.broadcast(shares), "lang").filter(F.abs(F.col("hash") % 1_000_000) < F.col("share"))  # a row for each language
     chosen = chosen.dropDuplicates(["lang", "hash"]).select("text", "lang")
-    counts = chosen.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(trimmed(_count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, profile).alias("best"))  # at most CODES entries for a language
     return {r.lang: [x.code for x in r.best] for r in best.collect()}
 
@@ -147,7 +147,7 @@ def predict(rows: DataFrame, profiles: dict[str, list[int]], *carried: str) -> D
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], names=[*carried, "lang_pred", "score", "fit"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in carried), *added]))
+    return rows.mapInArrow(trimmed(run), T.StructType([*(rows.schema[c] for c in carried), *added]))
 
 
 def identify(docs: DataFrame, training: DataFrame | None = None) -> DataFrame:

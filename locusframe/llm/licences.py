@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, groups, prepare, texts, windows, word_hashes
+from .blocks import LOWER, groups, prepare, texts, trimmed, windows, word_hashes
 
 THRESHOLD = 0.8
 GAP = np.array([not (b < 128 and chr(b).isalnum()) for b in range(256)])
@@ -216,7 +216,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             yield pa.RecordBatch.from_arrays([whole.column(0), pa.array([x[1] for x in tops], pa.string()), pa.array([None if x[0] is None else -x[0] for x in tops], pa.float64()), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind)], names=["doc_id", "licence", "dice", "n_found", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, licence string, dice double, n_found long, found array<struct<start:long,length:long,licence:string,dice:double>>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, licence string, dice double, n_found long, found array<struct<start:long,length:long,licence:string,dice:double>>")
 
 
 _VALUES = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES.items())

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, PACKED, SPACE, buckets, exchange, groups, pack, packed_batch, prepare, task_id, texts, unpack, windows, word_hashes
+from .blocks import LOWER, PACKED, SPACE, buckets, exchange, groups, pack, packed_batch, prepare, task_id, texts, trimmed, unpack, windows, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 BLOCK = 12 << 20
@@ -220,9 +220,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     """
     prepare(docs.sparkSession)
     n = buckets(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(_send(order, n), PACKED)
-    totals = exchange(sent, n).mapInArrow(_total(n), PACKED)
-    return exchange(totals, n).mapInArrow(_score(order, backoff), "doc_id long, n_words long, log_score double")
+    sent = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).mapInArrow(trimmed(_send(order, n)), PACKED)
+    totals = exchange(sent, n).mapInArrow(trimmed(_total(n)), PACKED)
+    return exchange(totals, n).mapInArrow(trimmed(_score(order, backoff)), "doc_id long, n_words long, log_score double")
 
 
 SQL = f"""

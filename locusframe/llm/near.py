@@ -34,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import COMBINE, LOWER, SPACE, buckets, discard, exchange, groups, mixed, pack, prepare, texts, unpack, windows, word_hashes, written
+from .blocks import COMBINE, LOWER, SPACE, buckets, discard, exchange, groups, mixed, pack, prepare, texts, trimmed, unpack, windows, word_hashes, written
 from .components import components
 
 SIZE = 5
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Texts for the order of shingles: one in RATE, SAMPLE at least. FREQUENT: in so many of them. At most LISTED shingles are told to the tasks.
 RATE, SAMPLE, FREQUENT, LISTED = 64, 4000, 3, 500_000
 #: So many members of a block go to one bucket, which the block chooses.
@@ -236,7 +236,7 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
             value, count = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["key", "c"])
 
-    often = some.select("doc_id", "text").mapInArrow(every, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
+    often = some.select("doc_id", "text").mapInArrow(trimmed(every), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= FREQUENT)
     listed = often.orderBy(F.desc("c"), "key").limit(LISTED).select("key").toArrow().column(0).to_numpy()
     return np.sort(listed.view(np.uint64))
 
@@ -271,9 +271,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFram
     one = nodes.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
     sized = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").filter("4 * n >= 3 * m and 4 * m >= 3 * n")
-    left = written(sized.select("a", "n", "x", "b", "m", "y").mapInArrow(_bounded, "a long, b long"), "pairs")
+    left = written(sized.select("a", "n", "x", "b", "m", "y").mapInArrow(trimmed(_bounded), "a long, b long"), "pairs")
     s, t = (sources.select(F.col("node").alias(k), F.col("text").alias(x)) for k, x in (("a", "s"), ("b", "t")))
-    return left.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_intersected, "u long, v long")
+    return left.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(trimmed(_intersected), "u long, v long")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -290,14 +290,14 @@ def join(docs: DataFrame) -> DataFrame:
     n = buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     listed = spark.sparkContext.broadcast(frequent_shingles(rows))
-    found = written(exchange(rows.mapInArrow(_send(n, listed), SENT), n).mapInArrow(_tile, FOUND), "tiles")
+    found = written(exchange(rows.mapInArrow(trimmed(_send(n, listed)), SENT), n).mapInArrow(trimmed(_tile), FOUND), "tiles")
     members = found.filter(F.col("kind") == MEMBERS).select("doc_id", "n", "node", "bits")
     shared = found.filter(F.col("kind") == SHARED).select("key", "node", "n", F.col("other").alias("place"))
     nodes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("bits").alias("bits"))
     nodes = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "nodes")
     # texts of nodes that share a shingle with another: a row of the smallest doc_id with that set
     wanted = nodes.select("node", "doc_id")
-    sources = written(rows.join(wanted, "doc_id").mapInArrow(_same_set, "node long, text binary").dropDuplicates(["node"]), "texts")
+    sources = written(rows.join(wanted, "doc_id").mapInArrow(trimmed(_same_set), "node long, text binary").dropDuplicates(["node"]), "texts")
     heads = found.filter(F.col("kind") == HEADS).select("key", F.col("n").alias("tile"), "node")
     least = heads.groupBy("key", "tile").agg(F.min("node").alias("first"))
     far = heads.join(least, ["key", "tile"]).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))

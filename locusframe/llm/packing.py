@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import vocabulary
-from .blocks import prepare, task_id
+from .blocks import prepare, task_id, trimmed
 
 BLOCK = 1 << 18
 #: Penalties in tokens of padding: for any window, for a cut at a sentence's end, for one inside a sentence.
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = 1024, end_id: in
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(packed), SCHEMA)

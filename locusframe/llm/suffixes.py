@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, buckets, exchange, groups, mixed, pack, packed_batch, prepare, task_id, texts, unpack
+from .blocks import PACKED, buckets, exchange, groups, mixed, pack, packed_batch, prepare, task_id, texts, trimmed, unpack
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Level of compression of what is sent: disk is scarcer than time here.
 SQUEEZE = 9
 #: Starts of strings that are looked at together: small arrays stay in the processor's cache.
@@ -271,19 +271,23 @@ def restored(common: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.nda
     return rows
 
 
-def cuts(words: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """Where each range between splitters begins among sorted rows, and the end. splitters: rows of LEAD words."""
-    low, high = (np.searchsorted(words[:, 0], splitters[:, 0], side) for side in ("left", "right"))
-    inner = [a + int(np.searchsorted(words[a:b, 1], s, "left")) for a, b, s in zip(low.tolist(), high.tolist(), splitters[:, 1], strict=True)]
-    return np.array([0, *inner, len(words)])
+def cuts(words: np.ndarray, order: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Where each range between splitters begins among the rows in order, and the end. splitters: rows of LEAD words."""
+    first, second = words[order, 0], words[order, 1]
+    low, high = (np.searchsorted(first, splitters[:, 0], side) for side in ("left", "right"))
+    inner = [a + int(np.searchsorted(second[a:b], s, "left")) for a, b, s in zip(low.tolist(), high.tolist(), splitters[:, 1], strict=True)]
+    return np.array([0, *inner, len(order)])
 
 
-def among(words: np.ndarray, leads: np.ndarray) -> np.ndarray:
-    """Which sorted rows have one of these leads."""
-    out = np.zeros(len(words), bool)
+def among(words: np.ndarray, order: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Which of the rows, in order, have one of these leads."""
+    out = np.zeros(len(order), bool)
+    if not len(leads):
+        return out
+    column, other = words[order, 0], words[order, 1]
     for first, second in leads:
-        a, b = np.searchsorted(words[:, 0], first, "left"), np.searchsorted(words[:, 0], first, "right")
-        c, d = a + np.searchsorted(words[a:b, 1], second, "left"), a + np.searchsorted(words[a:b, 1], second, "right")
+        a, b = np.searchsorted(column, first, "left"), np.searchsorted(column, first, "right")
+        c, d = a + np.searchsorted(other[a:b], second, "left"), a + np.searchsorted(other[a:b], second, "right")
         out[c:d] = True
     return out
 
@@ -301,7 +305,8 @@ class Part(NamedTuple):
     rank: np.ndarray  # of each suffix's record among the distinct ones
     again: np.ndarray  # a smaller document of the block has the same record
     often: np.ndarray  # of each distinct record: its lead is frequent
-    words: np.ndarray  # the other distinct records, sorted
+    words: np.ndarray  # all records
+    distinct: np.ndarray  # which of them are the other distinct ones, in order
     least: np.ndarray  # their least documents
     strings: np.ndarray  # distinct strings of the records with a frequent lead, by bucket
     pid: np.ndarray
@@ -330,10 +335,13 @@ def parts(batch: pa.RecordBatch, frequent: np.ndarray, n: int) -> Iterator[Part]
         group, least = runs(new, own[order])
         rank = np.empty(len(order), np.int64)
         rank[order] = group
-        words = words[order[new]]
-        often = among(words, frequent)
-        low, high = bounds(words[often])
-        strings, owner, _ = exploded(words[often], low, high)
+        distinct = order[new]
+        del order, new, group
+        again = own > least[rank]
+        often = among(words, distinct, frequent)
+        some = words[distinct[often]]
+        low, high = bounds(some)
+        strings, owner, _ = exploded(some, low, high)
         order, new = multikey(strings, STRING)
         group, smallest = runs(new, least[often][owner[order]])
         strings = strings[order[new]]
@@ -342,7 +350,7 @@ def parts(batch: pa.RecordBatch, frequent: np.ndarray, n: int) -> Iterator[Part]
         place, string = np.empty(len(dealt), np.int64), np.empty(len(order), np.int64)
         place[dealt], string[order] = np.arange(len(dealt)), group
         local = smallest[string] < least[often][owner]
-        yield Part(at, first, last, rank, own > least[rank], often, words[~often], least[~often], strings[dealt], pid[dealt], smallest[dealt], place[string], low, high, local)
+        yield Part(at, first, last, rank, again, often, words, distinct[~often], least[~often], strings[dealt], pid[dealt], smallest[dealt], place[string], low, high, local)
 
 
 def _ipc(batch: pa.RecordBatch) -> np.ndarray:
@@ -363,14 +371,14 @@ def _send(n: int, told):
             yield packed_batch([(_home_pid(home, n), TEXTS, home, _squeeze(_ipc(whole)))])
             for i, part in enumerate(parts(whole, frequent, n)):
                 head, out = np.array([i], np.uint32), []
-                strings, edges = np.searchsorted(part.pid, np.arange(n + 1)).tolist(), cuts(part.words, splitters).tolist()
+                strings, edges = np.searchsorted(part.pid, np.arange(n + 1)).tolist(), cuts(part.words, part.distinct, splitters).tolist()
                 for k in range(n):
                     own = slice(strings[k], strings[k + 1])
                     if own.stop > own.start:
                         out.append((k, STRINGS_OF, home, _squeeze(head, as_bytes(part.strings[own]).ravel(), part.smallest[own])))
                     own = slice(edges[k], edges[k + 1])
                     if own.stop > own.start:
-                        out.append((k, RECORDS, home, _squeeze(head, *shortened(part.words[own]), part.least[own])))
+                        out.append((k, RECORDS, home, _squeeze(head, *shortened(part.words[part.distinct[own]]), part.least[own])))
                     if len(out) >= 64:
                         yield packed_batch(out)
                         out = []
@@ -389,13 +397,19 @@ def _answer(n: int):
                     yield packed_batch([(pid, kind, home, data)])
                 else:
                     part, *rows, doc = _expand(data)
-                    sent[kind].append((pid, home, int(part[0]), restored(*rows).ravel() if kind == RECORDS else rows[0], doc))
+                    sent[kind].append((pid, home, int(part[0]), rows, doc))
         for kind, answer, width in ((RECORDS, ANSWERS, RECORD), (STRINGS_OF, STRING_ANSWERS, 8 * STRING)):
             if not sent[kind]:
                 continue
             where = [(pid, home, part, len(doc)) for pid, home, part, _, doc in sent[kind]]
             doc = np.concatenate([x[4] for x in sent[kind]])
-            words = as_words(np.concatenate([x[3] for x in sent.pop(kind)]).reshape(-1, width))
+            rows, at = np.empty((len(doc), width), np.uint8), 0
+            for x in sent.pop(kind):
+                own = restored(*x[3]) if kind == RECORDS else x[3][0].reshape(-1, width)
+                rows[at : at + len(own)] = own
+                at += len(own)
+            words = as_words(rows)
+            del rows, x, own
             if kind == RECORDS:
                 found = masks(words, doc)
             else:
@@ -527,7 +541,7 @@ def sampled(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, max(SAMPLE, n) / max(count, 1))
     picked = rows.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
-    table = picked.select("text").mapInArrow(some, "a long, b long").toArrow()
+    table = picked.select("text").mapInArrow(trimmed(some), "a long, b long").toArrow()
     leads = np.stack([table.column(i).to_numpy().view(np.uint64) for i in range(LEAD)], 1)
     if not len(leads):
         return np.zeros((n - 1, LEAD), np.uint64), np.zeros((0, LEAD), np.uint64)
@@ -555,5 +569,5 @@ def dedup(docs: DataFrame, *carried: str, characters: bool = False) -> DataFrame
     n = buckets(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *carried)
     told = spark.sparkContext.broadcast(sampled(rows.filter(F.length("text") >= LENGTH), n))
-    sent = exchange(rows.mapInArrow(_send(n, told), PACKED), n)
-    return exchange(sent.mapInArrow(_answer(n), PACKED), n).mapInArrow(_cut(n, told, carried, characters), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))
+    sent = exchange(rows.mapInArrow(trimmed(_send(n, told)), PACKED), n)
+    return exchange(sent.mapInArrow(trimmed(_answer(n)), PACKED), n).mapInArrow(trimmed(_cut(n, told, carried, characters)), ", ".join([KEPT, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)]))
