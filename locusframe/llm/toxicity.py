@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LOWER, crc32_mod, groups, prepare, texts, word_hashes, written
+from .blocks import LOWER, crc32_mod, groups, prepare, texts, trimmed, word_hashes, written
 
 #: About so many labelled documents of each class, at most, and so many bytes of them, are learned from.
 SAMPLE, BYTES = 2800, 24 << 20
@@ -57,20 +57,32 @@ class Model(NamedTuple):
     base: float = 0.0
 
 
-def model_of(counts: DataFrame, which: str) -> Model:
-    """Models from bigram counts: first, second, and for each class c the column ``{which}{c}``.
+def sums_by_word(counts: DataFrame, models: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For all models at once: a row for each word (sums over the bigrams that it begins or ends), and the bigrams that are frequent in some model.
 
-    By word: counts of the bigrams that it begins, how many there are, how many
-    it ends, and what rare ones leave to the backoff. Rows of words and of
-    frequent bigrams are collected; the sample bounds both.
+    counts: first, second, and for each model and class c the column ``{model}{c}``.
+    By word and class: counts of the bigrams that it begins, how many there are,
+    how many it ends, and what rare ones leave to the backoff.
     """
+    begins, ends, often = [], [], F.lit(False)
+    for m in models:
+        n = [F.col(f"{m}{c}") for c in (0, 1)]
+        rare = n[0] + n[1] < LEAST
+        often |= ~rare
+        for c in (0, 1):
+            begins += [F.sum(n[c]).cast("float").alias(f"{m}total{c}"), F.count_if(n[c] > 0).cast("float").alias(f"{m}kinds{c}"), F.sum(F.when(rare, F.greatest(n[c] - DISCOUNT, F.lit(0.0))).otherwise(0.0)).cast("float").alias(f"{m}rare{c}")]
+            ends.append(F.count_if(n[c] > 0).cast("float").alias(f"{m}follow{c}"))
+    words = counts.groupBy(F.col("first").alias("word")).agg(*begins).join(counts.groupBy(F.col("second").alias("word")).agg(*ends), "word", "full").fillna(0.0)
+    return written(words, "words"), written(counts.filter(often), "often")
+
+
+def model_of(by_word: DataFrame, often: DataFrame, which: str) -> Model:
+    """One of the models of sums_by_word. Rows of its words and of its frequent bigrams are collected; the sample bounds both."""
+    columns = {f"{x}{c}": F.col(f"{which}{x}{c}") for x in ("total", "kinds", "rare", "follow") for c in (0, 1)}
+    known = sum((columns[f"{x}{c}"] for x in ("kinds", "follow") for c in (0, 1)), F.lit(0.0)) > 0
+    words = by_word.filter(known).select("word", *[v.alias(k) for k, v in columns.items()]).toArrow()
     n = [F.col(f"{which}{c}") for c in (0, 1)]
-    rare = n[0] + n[1] < LEAST
-    some = counts.filter(n[0] + n[1] > 0)
-    begins = some.groupBy(F.col("first").alias("word")).agg(*[x for c in (0, 1) for x in (F.sum(n[c]).alias(f"total{c}"), F.count_if(n[c] > 0).alias(f"kinds{c}"), F.sum(F.when(rare, F.greatest(n[c] - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"rare{c}"))])
-    ends = some.groupBy(F.col("second").alias("word")).agg(*[F.count_if(n[c] > 0).alias(f"follow{c}") for c in (0, 1)])
-    words = begins.join(ends, "word", "full").select("word", *[F.coalesce(F.col(f"{x}{c}"), F.lit(0)).cast("float").alias(f"{x}{c}") for x in ("total", "kinds", "rare", "follow") for c in (0, 1)]).toArrow()
-    often = some.filter(~rare).select("first", "second", *[n[c].cast("float").alias(f"n{c}") for c in (0, 1)]).toArrow()
+    often = often.filter(n[0] + n[1] >= LEAST).select("first", "second", *[n[c].cast("float").alias(f"n{c}") for c in (0, 1)]).toArrow()
     vocabulary = words.column("word").to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary, size = vocabulary[order], len(vocabulary)
@@ -204,16 +216,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     """
     prepare(docs.sparkSession)
     chosen, shares, base = sampled(docs, labels, sample, size)
-    triples = chosen.mapInArrow(_triples, "toxic int, parts int, before long, first long, second long").groupBy("toxic", "before", "first", "second").agg(F.bit_or("parts").alias("parts"))
+    triples = chosen.mapInArrow(trimmed(_triples), "toxic int, parts int, before long, first long, second long").groupBy("toxic", "before", "first", "second").agg(F.bit_or("parts").alias("parts"))
     elsewhere = lambda f: F.col("parts").bitwiseAND(F.lit((1 << FOLDS) - 1 - (1 << f))) != 0
     sums = [F.count_if((F.col("toxic") == c) & (elsewhere(f) if f < FOLDS else F.lit(True))).cast("int").alias(f"m{f}_{c}") for f in range(FOLDS + 1) for c in (0, 1)]
     counts = written(triples.groupBy("first", "second").agg(*sums), "bigrams")
+    by_word, often = sums_by_word(counts, [f"m{f}_" for f in range(FOLDS + 1)])
     seen = []
     for f in range(FOLDS):
         part = chosen.filter(F.col("part") == f)
-        seen.append(scored(part.select("toxic", "text"), model_of(counts, f"m{f}_"), "toxic").toArrow())
+        seen.append(scored(part.select("toxic", "text"), model_of(by_word, often, f"m{f}_"), "toxic").toArrow())
     seen = pa.concat_tables(seen)
-    model = model_of(counts, f"m{FOLDS}_")
+    model = model_of(by_word, often, f"m{FOLDS}_")
     y = seen.column("toxic").to_numpy().astype(float)
     x = np.column_stack([seen.column(name).to_numpy() for name in FIGURES])
     if len(set(y.tolist())) < 2:  # nothing to calibrate on: the share of toxic rows
@@ -233,7 +246,7 @@ def scored(rows: DataFrame, model: Model, *carried: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(np.diff(bounds)), *map(pa.array, x.T)], names=[*carried, "n", *FIGURES])
 
     schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField("n", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in FIGURES)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def score(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
