@@ -119,8 +119,61 @@ def smooth(df: DataFrame, contig: str, at: str, value: str, weights: list[float]
     return df.withColumn("smoothed", total)
 
 
-def active_regions(df: DataFrame, contig: str, at: str, active: Column, longest: int) -> DataFrame:
+def cut_runs(df: DataFrame, contig: str, at: str, active: Column, longest: int) -> DataFrame:
     """Runs of equal activity, cut after ``longest`` positions."""
     cut = runs(df, contig, at, active, [F.count("*").alias("n")])
     step = F.sequence(F.col("start"), F.col("end"), F.lit(longest).cast(dict(df.dtypes)[at]))
     return cut.withColumn("piece", F.explode(step)).select(contig, F.col("piece").alias("start"), F.least(F.col("piece") + longest - 1, F.col("end")).alias("end"), F.col("label").alias("active"))
+
+
+def cut_places(values: list[float], after: float | None, least: int, longest: int) -> list[int]:
+    """Lengths of the regions of an active run. after: the value of the row behind it, if there is one.
+
+    A stretch that is still active at its greatest length ends at the lowest of
+    its local minima (lower than the row before, no higher than the one behind)
+    from its ``least``-th row on, of equal ones the last; without any, it keeps
+    the greatest length.
+    """
+    out, begin, n = [], 0, len(values)
+    while n - begin >= longest:
+        best = None
+        for i in range(max(least - 1, 1), longest):
+            x = values[begin + i]
+            behind = values[begin + i + 1] if begin + i + 1 < n else after
+            if behind is not None and x < values[begin + i - 1] and x <= behind and (best is None or x <= values[begin + best]):
+                best = i
+        size = longest if best is None else best + 1
+        out.append(size)
+        begin += size
+    return [*out, n - begin] if begin < n else out
+
+
+def active_regions(df: DataFrame, contig: str, at: str, value: str, threshold: float, least: int, longest: int) -> DataFrame:
+    """Regions of consecutive rows that are active (value above the threshold) or not: start, end, active, n.
+
+    Inactive runs are cut after ``longest`` rows, active ones at their lowest
+    minima.  (contig, at) must be unique.  Only active runs that are too long
+    for one region are solved one by one, each in a task.
+    """
+    import pandas as pd
+
+    rows = ranged(df.select(contig, at, F.col(value).cast("double").alias("v")).withColumn("active", F.col("v") > threshold), [contig], [at])
+    rows = beside(rows, [contig], [at], F.struct("active"), "last", after=False)
+    rows = beside(rows, [contig], [at], F.col("v"), "behind")
+    rows = running(rows, [contig], [at], F.when(F.col("last.active") == F.col("active"), 0).otherwise(1), "sum", "run").drop("last")
+    rows = running(rows, [contig, "run"], [at], F.lit(1), "sum", "place")
+    sizes = rows.groupBy(contig, "run").agg(F.count("*").alias("size"))
+    every = null_safe(rows, sizes, [contig, "run"])
+    long = F.col("active") & (F.col("size") >= longest)
+    types = dict(every.dtypes)
+
+    def cut(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values(at, kind="stable")
+        last = run["behind"].iloc[-1]
+        sizes_ = cut_places(run["v"].tolist(), None if pd.isna(last) else float(last), least, longest)
+        return run[[contig, "run", at]].assign(piece=[i for i, n in enumerate(sizes_) for _ in range(n)])
+
+    solved = every.filter(long).select(contig, "run", at, "v", "behind").groupBy(contig, "run").applyInPandas(cut, f"{contig} {types[contig]}, run long, {at} {types[at]}, piece long").withColumn("active", F.lit(True))
+    plain = every.filter(~long).select(contig, "run", at, F.floor((F.col("place") - 1) / longest).alias("piece"), "active")
+    both = plain.unionByName(solved)
+    return both.groupBy(contig, "run", "piece").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.first("active").alias("active"), F.count("*").alias("n")).drop("run", "piece")

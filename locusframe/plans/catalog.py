@@ -438,9 +438,16 @@ def band_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with d as (select l_suppkey k, {day_sql('l_shipdate')} as day, count(*) > 1 a from lineitem group by all), m as (select *, case when lag(a) over w = a then 0 else 1 end c from d window w as (partition by k order by day)), r as (select *, sum(c) over (partition by k order by day) g from m), x as (select k, g, a, min(day) s, max(day) e from r group by all) select k, p as start, least(p + 99, e) as end, a active from (select *, unnest(range(s, e + 1, 100)) p from x)")
-def active_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cut_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = items(spark, sf_dir).groupBy(F.col("l_suppkey").alias("k"), "day").agg((F.count("*") > 1).alias("a"))
-    return W.active_regions(d, "k", "day", F.col("a"), 100)
+    return W.cut_runs(d, "k", "day", F.col("a"), 100)
+
+
+@query()
+def active_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of daily quantities, cut at the lowest minima. A test compares them with a plain loop."""
+    d = items(spark, sf_dir).groupBy(F.col("l_suppkey").alias("k"), "day").agg(F.sum("l_quantity").alias("v"))
+    return W.active_regions(d, "k", "day", "v", 8.0, 3, 12)
 
 
 @query("select s_suppkey, count(*) n, count(distinct l_partkey) parts, cast(sum(l_quantity) as bigint) bases from lineitem join supplier on l_suppkey = s_suppkey group by 1")

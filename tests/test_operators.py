@@ -137,3 +137,29 @@ def test_kmer_count_documents(spark):
     texts = [re.sub("[^a-z]", "", r.text.lower()) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r.text]
     want = Counter(t[i : i + 6] for t in texts for i in range(len(t) - 5))
     assert {r.kmer: r.n for r in catalog.QUERIES["kmer_count_documents"](spark, small).collect()} == {x: n for x, n in want.items() if n > 1}
+
+
+def test_active_regions_against_a_loop(spark):
+    rng = random.Random(11)
+    rows = [(g, t, float(rng.choice([0, 1, 2, 3, 3, 4]) if g < 2 else rng.choice([2, 3, 4]))) for g in range(3) for t in range(70)]
+
+    def plain(values, threshold, least, longest):
+        out, begin = [], 0
+        while begin < len(values):
+            active, n = values[begin] > threshold, 0
+            while begin + n < len(values) and n < longest and (values[begin + n] > threshold) == active:
+                n += 1
+            if active and n == longest:
+                low = [i for i in range(least - 1, n) if i >= 1 and begin + i + 1 < len(values) and values[begin + i] <= values[begin + i + 1] and values[begin + i] < values[begin + i - 1]]
+                if low:
+                    n = max(i for i in low if values[begin + i] == min(values[begin + j] for j in low)) + 1
+            out.append((begin, begin + n - 1, active, n))
+            begin += n
+        return out
+
+    d = spark.createDataFrame(rows, "k long, t long, v double")
+    for least, longest in ((2, 5), (1, 9)):
+        found = windows.active_regions(d, "k", "t", "v", 1.0, least, longest).collect()
+        for g in range(3):
+            want = plain([v for k, _, v in rows if k == g], 1.0, least, longest)
+            assert sorted((r.start, r.end, r.active, r.n) for r in found if r.k == g) == want
