@@ -446,6 +446,10 @@ def test_licences_over_several_lines_or_within_one(spark):
         3: ("BSD-3-Clause", prose(200) + " " + wrap(licences.LICENCES["BSD-3-Clause"].replace("copyright holder nor", "author nor")) + " " + prose(200)),
         4: ("MIT-permission", prose(100) + "\n" + wrap(licences.TEMPLATES["MIT-permission"]) + "\n" + prose(100)),
         5: (None, prose(900)),
+        6: ("AGPL-3.0-header", prose(150) + "\n" + wrap(licences.LICENCES["AGPL-3.0-header"]) + "\n" + prose(150)),
+        7: ("Zlib", "/*\n * " + wrap(licences.LICENCES["Zlib"]).replace("\n", "\n * ") + "\n */\n" + prose(200)),
+        8: ("LGPL-2.1-header", prose(90) + " " + licences.LICENCES["LGPL-2.1-header"] + " " + prose(90)),
+        9: ("0BSD", wrap(licences.LICENCES["0BSD"])),
     }
     found = {r.doc_id: r for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in cases.items()], "doc_id long, text string")).collect()}
     for i, (name, text) in cases.items():
