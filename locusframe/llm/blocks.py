@@ -57,6 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Paths of tables that this process has written and not discarded.
+_kept: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and return a reader of it: cuts lineage, and later use doesn't compute it again."""
     spark = df.sparkSession
@@ -64,14 +68,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _kept.append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that written() returned and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    _delete(df.sparkSession, df.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of written(), once the results that were computed from them are written elsewhere."""
+    for path in list(_kept):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.remove(name)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -288,6 +288,19 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_written_tables_are_cleared(spark):
+    import os
+
+    from locusframe.llm import blocks
+
+    one, two = (blocks.written(spark.range(3), "x") for _ in range(2))
+    paths = [x.written_to.removeprefix("file:") for x in (one, two)]
+    blocks.discard(one)
+    assert not os.path.exists(paths[0]) and two.count() == 3
+    blocks.clear(spark)
+    assert not os.path.exists(paths[1]) and not blocks._kept
+
+
 def test_lm_scores(docs, empty):
     rows = [(d, (t or "").encode().lower().split()) for d, t in given(docs)]
     count = Counter(tuple(w[i : i + n]) for _, w in rows for n in (1, 2, 3) for i in range(len(w) - n + 1))
