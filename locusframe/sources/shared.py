@@ -20,9 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+#: Paths that this process has named, until clear() deletes them.
+_named: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. Tables are lazy, so what lies there is deleted by clear(), not when a function returns."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete everything that this process has put into the shared folder, once its results are written elsewhere. Returns how many paths there were."""
+    n = len(_named)
+    while _named:
+        base = _named.pop()
+        for name in (base, f"{base}-state"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

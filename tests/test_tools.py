@@ -135,3 +135,13 @@ def test_genotypes_and_orders(spark):
 def test_recalibrated_qualities_revert(spark):
     d = spark.createDataFrame([(1, [5], {"OQ": "I"}), (2, [6], {})], "k long, quals array<int>, tags map<string,string>")
     assert [r.quals for r in tools.revert_base_quality_scores(d).orderBy("k").collect()] == [[40], [6]]
+
+
+def test_scratch_is_cleared(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(shared, "_named", [])
+    kept = shared.stored(spark.range(5), "numbers")
+    path = shared._named[0].removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert shared.clear(spark) == 1 and not os.path.exists(path)
