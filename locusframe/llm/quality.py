@@ -138,7 +138,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     """
     rows = features(docs.select("doc_id", "text", "lang")).withColumn("step", F.when(~F.col("base_failed"), F.expr(first_step())))
     rows = written(rows, "features")
-    out = rows.join(certified(rows, labels, risk, delta).select("stratum", "steps"), "stratum", "left")
+    # written, so that its size is known: a row for each stratum, which is broadcast unless there are very many
+    steps = written(certified(rows, labels, risk, delta).select("stratum", "steps"), "steps")
+    out = rows.join(steps, "stratum", "left")
     rejected = F.coalesce(F.col("step") < F.col("steps"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "n_lines", "n_marks")
 
