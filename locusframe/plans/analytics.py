@@ -131,7 +131,7 @@ def evidence_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PILED = f"""with {READS}, o as (select k, name, sample, contig, start, bases, quals, flags, mapq, ops, unnest(range(1, len(ops) + 1)) j from reads where contig is not null),
 x as (select *, ops[j].op op, ops[j].n n, coalesce(list_sum(list_transform(list_filter(ops[1:j - 1], lambda z: contains('MIS=X', z.op)), lambda z: z.n)), 0) ir, coalesce(list_sum(list_transform(list_filter(ops[1:j - 1], lambda z: contains('MDN=X', z.op)), lambda z: z.n)), 0) iref from o),
-pile as (select contig, start + iref + i as place, k, name, sample, ir + i as offs, substr(bases, cast(ir + i + 1 as bigint), 1) base, quals[cast(ir + i + 1 as bigint)] quality, flags, mapq from (select *, unnest(range(0, n)) i from x where contains('M=X', op)))"""
+pile as (select contig, cast(start + iref + i as bigint) as place, k, name, sample, ir + i as offs, substr(bases, cast(ir + i + 1 as bigint), 1) base, quals[cast(ir + i + 1 as bigint)] quality, flags, mapq from (select *, unnest(range(0, n)) i from x where contains('M=X', op)))"""
 
 
 @query(f"{PILED} select contig, place as \"at\", count(*) depth, count(*) filter (quality >= 10 and base = 'A') a, count(*) filter (quality >= 10 and base = 'C') c, count(*) filter (quality >= 10 and base = 'G') g, count(*) filter (quality >= 10 and base = 'T') t from pile group by all")

@@ -88,7 +88,7 @@ reads as (select k, 'q' || p || case t % 3 when 0 then case when first then '/1'
 
 
 def _sum_sql(ops: str) -> str:
-    return f"coalesce(list_sum(list_transform(list_filter(ops, lambda x: contains('{ops}', x.op)), lambda x: x.n)), 0)"
+    return f"cast(coalesce(list_sum(list_transform(list_filter(ops, lambda x: contains('{ops}', x.op)), lambda x: x.n)), 0) as bigint)"
 
 
 def _flag(bit: int) -> str:

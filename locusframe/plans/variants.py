@@ -305,7 +305,7 @@ def pileup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.read_pileup(spark, path).select("contig", F.col("start").cast("long").alias("start"), "ref", "bases", F.aggregate("quals", F.lit(0).cast("long"), lambda a, q: a + q).alias("quals"))
 
 
-@query("select n_name contig, cast(n_nationkey * 10 + 1 as bigint) as start, cast(n_nationkey * 10 + 5 as bigint) as end, 'gene ' || n_nationkey gene_id, 'basic' tag, case when n_nationkey % 2 = 0 then 0.5 end score from nation")
+@query("select n_name contig, cast(n_nationkey * 10 + 1 as bigint) as start, cast(n_nationkey * 10 + 5 as bigint) as end, 'gene ' || n_nationkey gene_id, 'basic' tag, case when n_nationkey % 2 = 0 then 0.5::double end score from nation")
 def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene lines with a repeated attribute: the first counts."""
     c = F.col("n_nationkey")
