@@ -17,6 +17,7 @@ operations only, without a Python object for each word.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,12 @@ def _delete(spark: SparkSession, name: str) -> None:
     _kept.remove(name)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then does Spark drop shuffles and broadcasts that nothing uses any more, and the JVM gives heap back."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
 

@@ -3,7 +3,10 @@
 Each step replaces links by links to a smaller neighbour, with a minimum for
 each node (pre-aggregated before the shuffle) and a join; all of them stay in
 tables.  Before the steps each task replaces the links that it holds by a
-spanning forest, a bounded number of links at a time.
+spanning forest, a bounded number of links at a time.  As soon as no more links
+than that are left in all, one task turns them into the components: each step
+is several shuffles, whose plans, code and broadcasts take the driver's memory
+however few links there are.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import discard, written
+from .blocks import discard, settle, written
 
 FOREST = 500_000
 
@@ -68,11 +71,15 @@ def components(links: DataFrame) -> DataFrame:
     nothing; no links give no rows. Each step's table replaces the one before.
     """
     links = written(links.select("u", "v").filter("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "links")
-    state = None
-    while True:
+    state, n = None, links.count()
+    while n > FOREST:
         now = written(_small_star(_large_star(links)), "links")
         discard(links)
         links, seen = now, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if seen == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = seen
+        state, n = seen, seen[0]
+    found = written(links.coalesce(1).mapInArrow(_forest, "u long, v long"), "links")  # at most FOREST links: one forest, whose roots are the smallest nodes
+    discard(links)
+    settle(found.sparkSession)
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import LOWER, crc32_mod, groups, prepare, texts, trimmed, word_hashes, written
+from .blocks import LOWER, crc32_mod, groups, prepare, settle, texts, trimmed, word_hashes, written
 
 #: About so many labelled documents of each class, at most, and so many bytes of them, are learned from.
 SAMPLE, BYTES = 2800, 24 << 20
@@ -225,6 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     for f in range(FOLDS):
         part = chosen.filter(F.col("part") == f)
         seen.append(scored(part.select("toxic", "text"), model_of(by_word, often, f"m{f}_"), "toxic").toArrow())
+    settle(docs.sparkSession)
     seen = pa.concat_tables(seen)
     model = model_of(by_word, often, f"m{FOLDS}_")
     y = seen.column("toxic").to_numpy().astype(float)

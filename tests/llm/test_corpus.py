@@ -288,6 +288,22 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """A chain over many tasks: the steps and the one task that ends them agree; without many links there are no steps."""
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 101 + i) for i in range(20)]
+    random.Random(3).shuffle(chain)
+    links = spark.createDataFrame([*chain, (5, None), (None, 6)], "u long, v long").repartition(8)
+    want = sorted([(i, 0) for i in range(1, 61)] + [(100 + i, 100) for i in range(1, 21)])
+    context = spark.sparkContext
+    context.setJobGroup("few links", "components of few links")
+    got = sorted(map(tuple, components.components(links).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few links"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs <= 8
+    monkeypatch.setattr(components, "FOREST", 0)
+    assert sorted(map(tuple, components.components(links).collect())) == want
+
+
 def test_written_tables_are_cleared(spark):
     import os
 
