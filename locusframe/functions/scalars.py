@@ -55,17 +55,28 @@ def renormalise_pl(xs: Column) -> Column:
     return F.transform(F.array(F.array_min(xs)), lambda m: F.transform(xs, lambda x: x - m))[0]
 
 
+#: From here on Stirling's series has all digits of a double; below, logarithms are summed.
+STIRLING = 32
+
+
 def log10_factorial(n: Column) -> Column:
-    """Exact sum of logarithms; n is small in genotype counts."""
-    return F.aggregate(F.when(n > 1, F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>")), F.lit(0.0), lambda a, i: a + F.log10(i))
+    """log10 of n!: a sum of logarithms, or Stirling's series for large counts, whose sums would lose digits."""
+    small = F.aggregate(F.when((n > 1) & (n < STIRLING), F.sequence(F.lit(2).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>")), F.lit(0.0), lambda a, i: a + F.log10(i))
+    x = F.greatest(n, F.lit(STIRLING)).cast("double")
+    large = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < STIRLING, small).otherwise(large / LN10)
 
 
 def log10_binomial(n: Column, k: Column) -> Column:
     return log10_factorial(n) - log10_factorial(k) - log10_factorial(n - k)
 
 
+def log10_binomial_pmf(n: Column, k: Column, p: float) -> Column:
+    return log10_binomial(n, k) + k * math.log10(p) + (n - k) * math.log10(1 - p)
+
+
 def binomial_pmf(n: Column, k: Column, p: float) -> Column:
-    return F.pow(F.lit(10.0), log10_binomial(n, k) + k * math.log10(p) + (n - k) * math.log10(1 - p))
+    return F.pow(F.lit(10.0), log10_binomial_pmf(n, k, p))
 
 
 def gaussian(x: Column, mean: float, sd: float) -> Column:
@@ -187,7 +198,7 @@ def log10_multinomial(counts: Column) -> Column:
 
 def log10_dirichlet_multinomial(counts: Column, weights: Column) -> Column:
     """log10 probability of counts under a Dirichlet-multinomial with whole weights, by products of rising factors."""
-    rising = lambda w, n: F.aggregate(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>")), F.lit(0.0), lambda a, i: a + F.log10(w + i))
+    rising = lambda w, n: F.when(n > 0, log10_factorial(w + n - 1) - log10_factorial(w - 1)).otherwise(0.0)
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
     parts = F.aggregate(F.zip_with(weights, counts, rising), F.lit(0.0), lambda a, x: a + x)
     return log10_multinomial(counts) + parts - rising(total(weights), total(counts))
@@ -208,5 +219,5 @@ def plus(a: Column, b: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """A share as text with two decimals; NA without a whole."""
-    return F.when(whole > 0, F.format_string("%.2f%%", 100 * part / whole)).otherwise("NA")
+    """A share as text with two decimals, rounded as C's printf does: by the exact value, ties to even (format_string rounds shortest decimals half up); NA without a whole."""
+    return F.when(whole > 0, F.concat(F.call_function("format_number", (100 * part / whole).cast("double"), F.lit("0.00")), F.lit("%"))).otherwise("NA")

@@ -200,7 +200,7 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _two_by_two(spark, sf_dir)
     c = F.col
     counts, weights = F.array("a", "b", "c"), F.array(*[F.lit(x).cast("long") for x in (2, 3, 1)])
-    binomial = F.log10(S.binomial_pmf(c("a") + c("b"), c("a"), 0.3))
+    binomial = S.log10_binomial_pmf(c("a") + c("b"), c("a"), 0.3)
     return t.select("k", F.round(S.log10_multinomial(counts), 6).alias("multinomial"), F.round(S.log10_dirichlet_multinomial(counts, weights), 6).alias("dirichlet"), F.round(binomial, 6).alias("binomial"), F.round(S.log10_gaussian(c("d"), 10.0, 3.0), 6).alias("gaussian"), F.round(S.gaussian(c("d"), 10.0, 3.0), 9).alias("density"), S.percent(c("a"), c("a") + c("b")).alias("share"))
 
 
