@@ -194,15 +194,22 @@ def smith_waterman(reference: str, other: str, match: int = MATCH, mismatch: int
 
 
 def align(df: DataFrame, reference: str, other: str, key: str) -> DataFrame:
-    """Score, offset and CIGAR of each row's text against its reference, in Arrow batches."""
+    """Score, offset and CIGAR of each row's text against its reference, in Arrow batches, many pairs at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known: dict[tuple[str, str], tuple[int, int, str]] = {}
-            for pair in zip(batch[reference].fillna(""), batch[other].fillna(""), strict=True):
-                if pair not in known:
-                    known[pair] = smith_waterman(*pair)
-            found = [known[pair] for pair in zip(batch[reference].fillna(""), batch[other].fillna(""), strict=True)]
+            a, b = batch[reference].fillna("").tolist(), batch[other].fillna("").tolist()
+            order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))  # pairs of one size share a table
+            found: list = [None] * len(a)
+            begin = 0
+            while begin < len(order):
+                end = begin + 1
+                while end < len(order) and end - begin < PAIRS and (end - begin + 1) * (len(a[order[end]]) + 1) * (max(len(b[k]) for k in (order[begin], order[end])) + 1) <= CELLS:
+                    end += 1
+                own = order[begin:end]
+                for k, x in zip(own, smith_waterman_pairs([a[k] for k in own], [b[k] for k in own]), strict=True):
+                    found[k] = x
+                begin = end
             yield pd.DataFrame({key: batch[key], "score": [x[0] for x in found], "offset": [x[1] for x in found], "cigar": [x[2] for x in found]})
 
     return df.select(key, reference, other).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score long, offset long, cigar string")
@@ -266,6 +273,102 @@ def likelihoods(df: DataFrame, key: list[str], read: str, quals: str, haplotype:
             batch = batch[(batch[read].str.len() > 0) & (batch[haplotype].str.len() > 0)]
             batch = batch.iloc[np.argsort(batch[read].str.len().to_numpy(), kind="stable")]
             for at in range(0, len(batch), pairs):
+#: Pairs that are aligned at once, and cells of their tables: they bound a worker's memory.
+PAIRS, CELLS = 2000, 4_000_000
+
+
+def smith_waterman_pairs(references: list[str], others: list[str], match: int = MATCH, mismatch: int = MISMATCH, opening: int = OPEN, extend: int = EXTEND) -> list[tuple[int, int, str]]:
+    """What smith_waterman() gives for each pair; all pairs are solved at once, row by row of their tables and step by step of their ways back."""
+    n, m = (np.array([len(t) for t in texts], np.int64) for texts in (references, others))
+    found: list[tuple[int, int, str]] = [(0, 0, f"{k}S" if k else "") for k in m.tolist()]
+    some = np.flatnonzero((n > 0) & (m > 0))
+    if not len(some):
+        return found
+    n, m, b = n[some], m[some], len(some)
+    height, width = int(n.max()), int(m.max())
+
+    def padded(texts: list[str], size: int, fill: int) -> np.ndarray:
+        out = np.full((b, size), fill, np.uint32)
+        for row, k in zip(out, some, strict=True):
+            row[: len(texts[k])] = np.frombuffer(texts[k].encode("utf-32-le"), np.uint32)
+        return out
+
+    x, y = padded(references, height, 0xFFFFFFFE), padded(others, width, 0xFFFFFFFF)
+    low = -(1 << 40)
+    shape = (height + 1, b, width + 1)
+    best, down, across = np.zeros(shape, np.int64), np.full(shape, low), np.full(shape, low)
+    steps = np.arange(width + 1) * extend
+    for i in range(1, height + 1):
+        np.maximum(best[i - 1, :, 1:] + opening, down[i - 1, :, 1:] + extend, out=down[i, :, 1:])
+        fresh = np.zeros((b, width + 1), np.int64)
+        np.maximum(best[i - 1, :, :-1] + np.where(y == x[:, i - 1 : i], match, mismatch), down[i, :, 1:], out=fresh[:, 1:])
+        reach = np.maximum.accumulate(fresh - steps, axis=1)
+        across[i, :, 1:] = reach[:, :-1] + (steps[1:] - extend + opening)
+        np.maximum(fresh[:, 1:], across[i, :, 1:], out=best[i, :, 1:])
+    every = np.arange(b)
+    # ends lie in the last column or row of a pair; the best one, then the nearest to the diagonal, then the lowest, then the farthest right
+    rows, columns = np.arange(1, height + 1)[:, None], np.arange(1, width + 1)[:, None]
+    in_column, in_row = best[1:, every, m], best[n, every, 1:].T
+    far = np.int64(height + width + 2)
+
+    def rank(score: np.ndarray, i: np.ndarray, j: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        return np.where(inside, ((score * far - np.abs(i - j)) * far + i) * far + j, np.iinfo(np.int64).min)
+
+    last = np.concatenate([rank(in_column, rows, m, rows <= n), rank(in_row, n, columns, columns <= m)]).argmax(0)
+    sideways = last >= height
+    i, j = np.where(sideways, n, last + 1), np.where(sideways, last - height + 1, m)
+    score = best[i, every, j]
+    # ways back as (pair, operation, size); 0 M, 1 D, 2 I, 3 S
+    whose, what, sizes = [every[j < m]], [np.full((j < m).sum(), 3)], [(m - j)[j < m]]
+
+    def add(pairs: np.ndarray, op: int, size: np.ndarray | int) -> None:
+        whose.append(pairs), what.append(np.full(len(pairs), op)), sizes.append(np.broadcast_to(size, len(pairs)))
+
+    open_gap = np.zeros(b, bool)  # inside a deletion that has not been opened yet
+    alive = every[(i > 0) & (j > 0)]
+    while len(alive):
+        a, c = i[alive], j[alive]
+        here, gap = best[a, alive, c], open_gap[alive]
+        same = np.where(x[alive, a - 1] == y[alive, c - 1], match, mismatch)
+        straight = ~gap & (here == best[a - 1, alive, c - 1] + same)
+        deleted = gap | (~straight & (here == down[a, alive, c]))
+        moved = alive[straight]
+        add(moved, 0, 1)
+        gone = alive[deleted]
+        add(gone, 1, 1)
+        open_gap[gone] = down[i[gone], gone, j[gone]] != best[i[gone] - 1, gone, j[gone]] + opening
+        inserted = alive[~straight & ~deleted]
+        if len(inserted):
+            size = np.zeros(len(inserted), np.int64)
+            rest = np.arange(len(inserted))
+            step = 0
+            while len(rest):
+                step += 1
+                p = inserted[rest]
+                hit = across[i[p], p, j[p]] == best[i[p], p, j[p] - step] + opening + (step - 1) * extend
+                size[rest[hit]] = step
+                rest = rest[~hit]
+            add(inserted, 2, size)
+            j[inserted] -= size
+        i[moved] -= 1
+        j[moved] -= 1
+        i[gone] -= 1
+        alive = alive[(i[alive] > 0) & (j[alive] > 0)]
+    add(every[j > 0], 3, j[j > 0])
+    pairs, ops, counts = np.concatenate(whose), np.concatenate(what), np.concatenate(sizes)
+    order = np.argsort(pairs, kind="stable")[::-1]  # from the first base of a pair to its last
+    pairs, ops, counts = pairs[order], ops[order], counts[order]
+    heads = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (ops[1:] != ops[:-1])])
+    totals, owners, letters = np.add.reduceat(counts, heads), pairs[heads].tolist(), ops[heads]
+    texts = [f"{k}{'MDIS'[o]}" for k, o in zip(totals.tolist(), letters.tolist(), strict=True)]
+    cigars = [""] * b
+    for owner, text in zip(owners, texts, strict=True):
+        cigars[owner] += text
+    for k, s, at, cigar in zip(some.tolist(), score.tolist(), i.tolist(), cigars, strict=True):
+        found[k] = (s, at, cigar)
+    return found
+
+
                 own = batch.iloc[at : at + pairs]
                 texts, haps = own[read].tolist(), own[haplotype].tolist()
                 flat = lambda q: [np.full(len(t), q) for t in texts]  # noqa: E731, B023
