@@ -2,8 +2,9 @@
 
 Pairs of texts and rows of likelihoods are solved in Arrow batches, many at
 once; hidden Markov models along a series are solved by ranges: each range
-gives a matrix of states x states, these are combined along the series, and
-each range then is solved between the states at its borders.
+gives a matrix of states x states for a series that may go on beyond it, these
+are combined along the series, and each range then is solved between the states
+at its borders, its series side by side.
 """
 
 from __future__ import annotations
@@ -70,6 +71,60 @@ def swept(start: np.ndarray, emissions: np.ndarray, transitions: np.ndarray, bes
 
 
 def _gaussian(values: np.ndarray, means: np.ndarray, sd: float) -> np.ndarray:
+#: Times x series that are solved side by side.
+SIDE_BY_SIDE = 1_000_000
+
+
+def _side_by_side(begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Series in lots, the longest first: their numbers, the place of each one's row at each time (of shorter ones their last), and how many have a row at each time."""
+    order = np.argsort(-sizes, kind="stable")
+    done = 0
+    while done < len(order):
+        longest = int(sizes[order[done]])
+        lot = order[done : done + max(1, SIDE_BY_SIDE // longest)]
+        times = np.arange(longest)
+        yield lot, begins[lot] + np.minimum(times[:, None], sizes[lot] - 1), np.searchsorted(-sizes[lot], -times, "left").tolist()
+        done += len(lot)
+
+
+def viterbi_of_series(emissions: np.ndarray, begins: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """viterbi() of many series that lie one after another, solved side by side. start: by series and state; last: states to end in, or -1."""
+    out = np.zeros(len(emissions), np.int64)
+    for lot, places, alive in _side_by_side(begins, sizes):
+        own = emissions[places]
+        score = start[lot] + own[0]
+        back = np.zeros(own.shape, np.int16)
+        for t in range(1, len(own)):
+            n = alive[t]
+            step = score[:n, :, None] + transitions
+            back[t, :n] = step.argmax(1)
+            score[:n] = step.max(1) + own[t, :n]
+        state = np.where(last[lot] < 0, score.argmax(1), last[lot])
+        for t in range(len(own) - 1, -1, -1):
+            n = alive[t]
+            out[places[t, :n]] = state[:n]
+            state[:n] = back[t, np.arange(n), state[:n]]
+    return out
+
+
+def posteriors_of_series(emissions: np.ndarray, begins: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """forward_backward() of many series that lie one after another, solved side by side. start, after: by series and state."""
+    out = np.zeros(emissions.shape)
+    for lot, places, alive in _side_by_side(begins, sizes):
+        own = emissions[places]
+        f, b = np.zeros(own.shape), np.array(after[lot], float)
+        f[0] = start[lot] + own[0]
+        for t in range(1, len(own)):
+            n = alive[t]
+            f[t, :n] = lse(f[t - 1, :n, :, None] + transitions, 1) + own[t, :n]
+        for t in range(len(own) - 1, -1, -1):
+            n = alive[t]
+            joint = f[t, :n] + b[:n]
+            out[places[t, :n]] = np.exp(joint - lse(joint, 1)[:, None])
+            b[:n] = lse(transitions + (own[t, :n] + b[:n])[:, None, :], 2)
+    return out
+
+
     return -((values[:, None] - means) ** 2) / (2 * sd * sd)
 
 
@@ -80,10 +135,22 @@ def _hidden_states(df: DataFrame, group: str, at: str, value: str, means: list[f
     types = dict(df.dtypes)
     rows = ranged(df.select(group, at, value), [group], [at], parts)
 
-    def summary(series: pd.DataFrame) -> pd.DataFrame:
-        emissions = _gaussian(series.sort_values(at, kind="stable")[value].to_numpy(float), centres, sd)
-        first = swept(start, emissions, transitions, best)
-        return pd.DataFrame({group: [series[group].iloc[0]], "pid": [series["pid"].iloc[0]], "matrix": [transfer(emissions, transitions, best).ravel().tolist()], "first": [first.tolist()]})
+    def laid_out(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """The rows in order, and where each series begins and how long it is."""
+        frame = frame.sort_values([group, at], kind="stable", na_position="first", ignore_index=True)
+        codes = pd.factorize(frame[group], use_na_sentinel=False)[0]
+        begins = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        return frame, begins, np.diff(np.r_[begins, len(frame)])
+
+    def summary(frame: pd.DataFrame) -> pd.DataFrame:
+        """The first and the last series of a range: only they can go on in another one."""
+        frame, begins, sizes = laid_out(frame)
+        out = []
+        for n in sorted({0, len(begins) - 1}):
+            series = frame.iloc[begins[n] : begins[n] + sizes[n]]
+            emissions = _gaussian(series[value].to_numpy(float), centres, sd)
+            out.append((series[group].iloc[0], series["pid"].iloc[0], transfer(emissions, transitions, best).ravel().tolist(), swept(start, emissions, transitions, best).tolist()))
+        return pd.DataFrame(out, columns=[group, "pid", "matrix", "first"])
 
     def borders(ranges: pd.DataFrame) -> pd.DataFrame:
         ranges = ranges.sort_values("pid")
@@ -105,16 +172,21 @@ def _hidden_states(df: DataFrame, group: str, at: str, value: str, means: list[f
             after = [x.tolist() for x in b[::-1]]
         return pd.DataFrame({group: ranges[group], "pid": ranges["pid"], "before": [x.tolist() for x in before], "is_first": [True] + [False] * (len(f) - 1), "after": after})
 
-    def solve(key: tuple, series: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(at, kind="stable")
-        emissions = _gaussian(series[value].to_numpy(float), centres, sd)
-        before = np.array(edge["before"].iloc[0])
-        join = (lambda x: x.max(0)) if best else (lambda x: lse(x, 0))
-        begin = start if edge["is_first"].iloc[0] else join(before[:, None] + transitions)
-        after = np.array(edge["after"].iloc[0])
+    def solve(frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        frame, begins, sizes = laid_out(frame)
+        emissions = _gaussian(frame[value].to_numpy(float), centres, sd)
+        begin, after = np.tile(start, (len(begins), 1)), np.full((len(begins), 1), -1.0) if best else np.zeros((len(begins), k))
+        name = lambda x: None if pd.isna(x) else x
+        known = {name(g): x for g, *x in zip(edges[group], edges["before"], edges["is_first"], edges["after"], strict=True)}
+        for n in {0, len(begins) - 1}:
+            before, is_first, follows = known[name(frame[group].iloc[begins[n]])]
+            if not is_first:
+                step = np.array(before)[:, None] + transitions
+                begin[n] = step.max(0) if best else lse(step, 0)
+            after[n] = follows
         if best:
-            return series[[group, at]].assign(state=viterbi(emissions, transitions, begin, int(after[0])))
-        return series[[group, at]].assign(posterior=list(forward_backward(emissions, transitions, begin, after)))
+            return frame[[group, at]].assign(state=viterbi_of_series(emissions, begins, sizes, transitions, begin, after[:, 0].astype(int)))
+        return frame[[group, at]].assign(posterior=list(posteriors_of_series(emissions, begins, sizes, transitions, begin, after)))
 
     keys = f"{group} {types[group]}, pid int"
     matrices = rows.groupBy(group, "pid").applyInPandas(summary, f"{keys}, matrix array<double>, first array<double>")
