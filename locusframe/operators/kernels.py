@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .ordered import ranged
 
 TINY = -1e300
@@ -70,7 +71,6 @@ def swept(start: np.ndarray, emissions: np.ndarray, transitions: np.ndarray, bes
     return out
 
 
-def _gaussian(values: np.ndarray, means: np.ndarray, sd: float) -> np.ndarray:
 #: Times x series that are solved side by side.
 SIDE_BY_SIDE = 1_000_000
 
@@ -125,6 +125,7 @@ def posteriors_of_series(emissions: np.ndarray, begins: np.ndarray, sizes: np.nd
     return out
 
 
+def _gaussian(values: np.ndarray, means: np.ndarray, sd: float) -> np.ndarray:
     return -((values[:, None] - means) ** 2) / (2 * sd * sd)
 
 
@@ -189,10 +190,10 @@ def _hidden_states(df: DataFrame, group: str, at: str, value: str, means: list[f
         return frame[[group, at]].assign(posterior=list(posteriors_of_series(emissions, begins, sizes, transitions, begin, after)))
 
     keys = f"{group} {types[group]}, pid int"
-    matrices = rows.groupBy(group, "pid").applyInPandas(summary, f"{keys}, matrix array<double>, first array<double>")
-    edges = matrices.groupBy(group).applyInPandas(borders, f"{keys}, before array<double>, is_first boolean, after array<double>")  # a row for each range
+    matrices = rows.groupBy("pid").applyInPandas(summary, f"{keys}, matrix array<double>, first array<double>")
+    edges = matrices.groupBy(group).applyInPandas(borders, f"{keys}, before array<double>, is_first boolean, after array<double>")  # two rows for each range
     result = "state long" if best else "posterior array<double>"
-    return rows.groupBy(group, "pid").cogroup(edges.groupBy(group, "pid")).applyInPandas(solve, f"{group} {types[group]}, {at} {types[at]}, {result}")
+    return rows.groupBy("pid").cogroup(edges.groupBy("pid")).applyInPandas(solve, f"{group} {types[group]}, {at} {types[at]}, {result}")
 
 
 def viterbi_segments(df: DataFrame, group: str, at: str, value: str, means: list[float], sd: float, stay: float, parts: int | None = None) -> DataFrame:
@@ -265,86 +266,6 @@ def smith_waterman(reference: str, other: str, match: int = MATCH, mismatch: int
     return score, i, "".join(f"{size}{op}" for op, size in reversed(ops))
 
 
-def align(df: DataFrame, reference: str, other: str, key: str) -> DataFrame:
-    """Score, offset and CIGAR of each row's text against its reference, in Arrow batches, many pairs at once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = batch[reference].fillna("").tolist(), batch[other].fillna("").tolist()
-            order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))  # pairs of one size share a table
-            found: list = [None] * len(a)
-            begin = 0
-            while begin < len(order):
-                end = begin + 1
-                while end < len(order) and end - begin < PAIRS and (end - begin + 1) * (len(a[order[end]]) + 1) * (max(len(b[k]) for k in (order[begin], order[end])) + 1) <= CELLS:
-                    end += 1
-                own = order[begin:end]
-                for k, x in zip(own, smith_waterman_pairs([a[k] for k in own], [b[k] for k in own]), strict=True):
-                    found[k] = x
-                begin = end
-            yield pd.DataFrame({key: batch[key], "score": [x[0] for x in found], "offset": [x[1] for x in found], "cigar": [x[2] for x in found]})
-
-    return df.select(key, reference, other).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score long, offset long, cigar string")
-
-
-#: What a likelihood starts with, so that long reads don't underflow.
-SCALE = 2.0**1000
-
-
-def pair_hmm(reads: list[str], quals: list, insertions: list, deletions: list, continuations: list, haplotypes: list[str]) -> np.ndarray:
-    """log10 likelihoods of reads given haplotypes, pair by pair, with qualities for each base of a read and for gaps there.
-
-    Three states (match, insertion, deletion); a read may begin and end anywhere
-    in its haplotype; N matches all.  All pairs are solved along diagonals at once.
-    """
-    b = len(reads)
-    n, h = np.array([len(r) for r in reads]), np.array([len(x) for x in haplotypes])
-    most, width = int(n.max(initial=0)), int(h.max(initial=0))
-    if not b or not most or not width:
-        return np.where((n > 0) & (h > 0), 0.0, -np.inf) if b else np.zeros(0)
-
-    def padded(rows: list, size: int, kind: type, fill: float) -> np.ndarray:
-        out = np.full((b, size), fill, kind)
-        for i, x in enumerate(rows):
-            out[i, : len(x)] = x
-        return out
-
-    x = padded([np.frombuffer(r.encode(), np.uint8) for r in reads], most, np.uint8, 0)
-    y = padded([np.frombuffer(r.encode(), np.uint8) for r in haplotypes], width, np.uint8, 1)
-    error, opens_i, opens_d, goes_on = (10 ** (-padded(q, most, float, 40.0) / 10) for q in (quals, insertions, deletions, continuations))
-    stays = 1 - (opens_i + opens_d)
-    zeros = lambda: np.zeros((b, most + 1))
-    m1, i1, d1, m2, i2, d2 = (zeros() for _ in range(6))  # the diagonal before, and the one before that
-    begin = SCALE / np.maximum(h, 1)
-    d1[:, 0] = begin  # place (0, 0)
-    total, every = np.zeros(b), np.arange(1, most + 1)
-    rows = np.arange(b)
-    for diagonal in range(1, most + width + 1):
-        j = diagonal - every  # place in the haplotype for each place in the read
-        inside = (j >= 1) & (j[None] <= h[:, None]) & (every[None] <= n[:, None])
-        base = y[:, np.clip(j - 1, 0, width - 1)]
-        same = (base == x) | (x == 78) | (base == 78)
-        emit = np.where(same, 1 - error, error / 3)
-        m, i, d = zeros(), zeros(), zeros()
-        m[:, 1:] = np.where(inside, emit * (stays * m2[:, :-1] + (1 - goes_on) * (i2[:, :-1] + d2[:, :-1])), 0)
-        i[:, 1:] = np.where(inside, opens_i * m1[:, :-1] + goes_on * i1[:, :-1], 0)
-        d[:, 1:] = np.where(inside, opens_d * m1[:, 1:] + goes_on * d1[:, 1:], 0)
-        d[:, 0] = begin
-        ends = diagonal - n
-        total += np.where((ends >= 1) & (ends <= h), m[rows, n] + i[rows, n], 0)
-        m2, i2, d2, m1, i1, d1 = m1, i1, d1, m, i, d
-    with np.errstate(divide="ignore"):
-        return np.log10(total) - np.log10(SCALE)
-
-
-def likelihoods(df: DataFrame, key: list[str], read: str, quals: str, haplotype: str, gap: int = 45, continuation: int = 10, pairs: int = 256) -> DataFrame:
-    """Each row's log10 likelihood; gap qualities are the same for all bases. Rows are solved ``pairs`` at a time, sorted by length."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[(batch[read].str.len() > 0) & (batch[haplotype].str.len() > 0)]
-            batch = batch.iloc[np.argsort(batch[read].str.len().to_numpy(), kind="stable")]
-            for at in range(0, len(batch), pairs):
 #: Pairs that are aligned at once, and cells of their tables: they bound a worker's memory.
 PAIRS, CELLS = 2000, 4_000_000
 
@@ -441,6 +362,86 @@ def smith_waterman_pairs(references: list[str], others: list[str], match: int =
     return found
 
 
+def align(df: DataFrame, reference: str, other: str, key: str) -> DataFrame:
+    """Score, offset and CIGAR of each row's text against its reference, in Arrow batches, many pairs at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = batch[reference].fillna("").tolist(), batch[other].fillna("").tolist()
+            order = sorted(range(len(a)), key=lambda k: (len(a[k]), len(b[k])))  # pairs of one size share a table
+            found: list = [None] * len(a)
+            begin = 0
+            while begin < len(order):
+                end = begin + 1
+                while end < len(order) and end - begin < PAIRS and (end - begin + 1) * (len(a[order[end]]) + 1) * (max(len(b[k]) for k in (order[begin], order[end])) + 1) <= CELLS:
+                    end += 1
+                own = order[begin:end]
+                for k, x in zip(own, smith_waterman_pairs([a[k] for k in own], [b[k] for k in own]), strict=True):
+                    found[k] = x
+                begin = end
+            yield pd.DataFrame({key: batch[key], "score": [x[0] for x in found], "offset": [x[1] for x in found], "cigar": [x[2] for x in found]})
+
+    return df.select(key, reference, other).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score long, offset long, cigar string")
+
+
+#: What a likelihood starts with, so that long reads don't underflow.
+SCALE = 2.0**1000
+
+
+def pair_hmm(reads: list[str], quals: list, insertions: list, deletions: list, continuations: list, haplotypes: list[str]) -> np.ndarray:
+    """log10 likelihoods of reads given haplotypes, pair by pair, with qualities for each base of a read and for gaps there.
+
+    Three states (match, insertion, deletion); a read may begin and end anywhere
+    in its haplotype; N matches all.  All pairs are solved along diagonals at once.
+    """
+    b = len(reads)
+    n, h = np.array([len(r) for r in reads]), np.array([len(x) for x in haplotypes])
+    most, width = int(n.max(initial=0)), int(h.max(initial=0))
+    if not b or not most or not width:
+        return np.where((n > 0) & (h > 0), 0.0, -np.inf) if b else np.zeros(0)
+
+    def padded(rows: list, size: int, kind: type, fill: float) -> np.ndarray:
+        out = np.full((b, size), fill, kind)
+        for i, x in enumerate(rows):
+            out[i, : len(x)] = x
+        return out
+
+    x = padded([np.frombuffer(r.encode(), np.uint8) for r in reads], most, np.uint8, 0)
+    y = padded([np.frombuffer(r.encode(), np.uint8) for r in haplotypes], width, np.uint8, 1)
+    error, opens_i, opens_d, goes_on = (10 ** (-padded(q, most, float, 40.0) / 10) for q in (quals, insertions, deletions, continuations))
+    stays = 1 - (opens_i + opens_d)
+    zeros = lambda: np.zeros((b, most + 1))
+    m1, i1, d1, m2, i2, d2 = (zeros() for _ in range(6))  # the diagonal before, and the one before that
+    begin = SCALE / np.maximum(h, 1)
+    d1[:, 0] = begin  # place (0, 0)
+    total, every = np.zeros(b), np.arange(1, most + 1)
+    rows = np.arange(b)
+    for diagonal in range(1, most + width + 1):
+        j = diagonal - every  # place in the haplotype for each place in the read
+        inside = (j >= 1) & (j[None] <= h[:, None]) & (every[None] <= n[:, None])
+        base = y[:, np.clip(j - 1, 0, width - 1)]
+        same = (base == x) | (x == 78) | (base == 78)
+        emit = np.where(same, 1 - error, error / 3)
+        m, i, d = zeros(), zeros(), zeros()
+        m[:, 1:] = np.where(inside, emit * (stays * m2[:, :-1] + (1 - goes_on) * (i2[:, :-1] + d2[:, :-1])), 0)
+        i[:, 1:] = np.where(inside, opens_i * m1[:, :-1] + goes_on * i1[:, :-1], 0)
+        d[:, 1:] = np.where(inside, opens_d * m1[:, 1:] + goes_on * d1[:, 1:], 0)
+        d[:, 0] = begin
+        ends = diagonal - n
+        total += np.where((ends >= 1) & (ends <= h), m[rows, n] + i[rows, n], 0)
+        m2, i2, d2, m1, i1, d1 = m1, i1, d1, m, i, d
+    with np.errstate(divide="ignore"):
+        return np.log10(total) - np.log10(SCALE)
+
+
+def likelihoods(df: DataFrame, key: list[str], read: str, quals: str, haplotype: str, gap: int = 45, continuation: int = 10, pairs: int = 256) -> DataFrame:
+    """Each row's log10 likelihood; gap qualities are the same for all bases. Rows are solved ``pairs`` at a time, sorted by length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[(batch[read].str.len() > 0) & (batch[haplotype].str.len() > 0)]
+            batch = batch.iloc[np.argsort(batch[read].str.len().to_numpy(), kind="stable")]
+            for at in range(0, len(batch), pairs):
                 own = batch.iloc[at : at + pairs]
                 texts, haps = own[read].tolist(), own[haplotype].tolist()
                 flat = lambda q: [np.full(len(t), q) for t in texts]  # noqa: E731, B023
@@ -490,27 +491,82 @@ def allele_counts(df: DataFrame, key: str, likelihoods_: str, theta: float = 1e-
     return df.select(key, likelihoods_).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ac long, qual double")
 
 
+#: Distinct rows of features, with how often each occurs, that the driver fits itself; more are fitted by tasks.
+FITTED_HERE = 100_000
+#: As in Spark's GaussianMixture, whose steps these are: rows that a component starts from, least gain, most steps, what is added to a density.
+SEEDS, GAIN, STEPS, EPSILON = 5, 0.01, 100, 2.0**-52
+
+
+def _densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """By row and component; of singular covariances the pseudo-inverse."""
+    out = np.empty((len(x), len(weights)))
+    for c, (w, mean, cov) in enumerate(zip(weights, means, covs, strict=True)):
+        values, vectors = np.linalg.eigh(cov)
+        real = values > EPSILON * max(values.max(), 0.0) * len(values)
+        if not real.any():
+            raise ValueError("a component's rows are all the same")
+        z = (x - mean) @ (vectors[:, real] / np.sqrt(values[real]))
+        out[:, c] = EPSILON + w * np.exp(-0.5 * (len(mean) * np.log(2 * np.pi) + np.log(values[real]).sum()) - 0.5 * (z * z).sum(1))
+    return out
+
+
+def _expected(x: np.ndarray, n: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """Sums of a step of expectation maximisation: the log-likelihood, then weights, means and squares by component, in one row."""
+    p = _densities(x, weights, means, covs)
+    total = p.sum(1)
+    share = p / total[:, None] * n[:, None]
+    return np.concatenate([[(np.log(total) * n).sum()], share.sum(0), (share.T @ x).ravel(), np.einsum("rc,ri,rj->cij", share, x, x, optimize=True).ravel()])
+
+
+def _mixture(cells: DataFrame, features: list[str], seeds: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances fitted to rows of features that occur n times each. seeds: rows to start from, by component."""
+    d = len(features)
+    means = seeds.mean(1)
+    covs = np.array([np.diag(x) for x in ((seeds - means[:, None]) ** 2).mean(1)])
+    weights = np.full(components, 1 / components)
+    here = None
+    if len(first := cells.limit(FITTED_HERE + 1).toPandas()) <= FITTED_HERE:
+        here = (first[features].to_numpy(float), first["n"].to_numpy(float))
+    last, likelihood, step = -np.inf, 0.0, 0
+    while step < STEPS and abs(likelihood - last) > GAIN:
+        if here is not None:
+            sums = _expected(*here, weights, means, covs)
+        else:
+
+            def part(batches: Iterator[pd.DataFrame], model: tuple = (weights, means, covs)) -> Iterator[pd.DataFrame]:
+                own = sum((_expected(b[features].to_numpy(float), b["n"].to_numpy(float), *model) for b in batches if len(b)), np.zeros(1 + components * (1 + d + d * d)))
+                yield pd.DataFrame({"sums": [own.tolist()]})
+
+            sums = np.sum([r.sums for r in cells.mapInPandas(part, "sums array<double>").collect()], 0)  # a row for each task
+        last, likelihood, step = likelihood, sums[0], step + 1
+        own = sums[1 : 1 + components]
+        means = sums[1 + components : 1 + components * (1 + d)].reshape(components, d) / own[:, None]
+        covs = sums[1 + components * (1 + d) :].reshape(components, d, d) / own[:, None, None] - means[:, :, None] * means[:, None, :]
+        weights = own / own.sum()
+    return weights, means, covs
+
+
 def mixture_scores(df: DataFrame, key: list[str], features: list[str], good: str, components: int = 2, seed: int = 7) -> DataFrame:
     """key and lod: the log10 density of a row under a Gaussian mixture of the rows where ``good`` holds, less that of the other rows. Fitted by expectation maximisation in the cluster."""
     import math
 
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     known = df.filter(" and ".join(f"{f} is not null" for f in features))
     moments = known.agg(*[x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev(f).alias(f"s_{f}"))]).first()
     scaled = known.select(*key, good, *[((F.col(f) - F.lit(moments[f"m_{f}"])) / F.lit(moments[f"s_{f}"] or 1.0)).alias(f) for f in features])
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled)
-    out = vectors.withColumn("x", vector_to_array("features"))
+    out = scaled.withColumn("x", F.array(*features))
+    # equal rows are one with a number: a step of the fit costs by distinct rows
+    of_side = F.coalesce(F.col(good), F.lit(False))
+    cells = stored(scaled.groupBy(of_side.alias("side"), *features).agg(F.count("*").alias("n")), "cells")
     sides = []
     for side in (True, False):
-        model = GaussianMixture(k=components, seed=seed, featuresCol="features").fit(vectors.filter(F.coalesce(F.col(good), F.lit(False)) == side))
+        rows = scaled.filter(of_side == side).select(*[F.col(f).cast("double") for f in features])
+        seeds = [[r.getDouble(i) for i in range(len(features))] for r in rows._jdf.rdd().takeSample(True, components * SEEDS, seed)]
+        model = _mixture(cells.filter(F.col("side") == side), features, np.array(seeds).reshape(components, SEEDS, len(features)), components)
         terms = []
-        for w, g in zip(model.weights, model.gaussians, strict=True):
-            cov = np.array(g.cov.toArray()) + 1e-6 * np.eye(len(features))
+        for w, mean, own in zip(*model, strict=True):
+            cov = own + 1e-6 * np.eye(len(features))
             inverse, size = np.linalg.inv(cov), math.log(max(w, 1e-300)) - 0.5 * (np.linalg.slogdet(cov)[1] + len(features) * math.log(2 * math.pi))
-            d = [F.get("x", F.lit(i)) - float(mu) for i, mu in enumerate(g.mean.toArray())]
+            d = [F.get("x", F.lit(i)) - float(mu) for i, mu in enumerate(mean)]
             square = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
             terms.append(F.lit(size) - square / 2)
         top = F.greatest(*terms) if len(terms) > 1 else terms[0]
