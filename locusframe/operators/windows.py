@@ -153,8 +153,12 @@ def active_regions(df: DataFrame, contig: str, at: str, value: str, threshold: f
 
     Inactive runs are cut after ``longest`` rows, active ones at their lowest
     minima.  (contig, at) must be unique.  Only active runs that are too long
-    for one region are solved one by one, each in a task.
+    for one region are solved one by one; a task takes its runs in order, and
+    holds one run and a batch.
     """
+    from collections.abc import Iterator
+
+    import numpy as np
     import pandas as pd
 
     rows = ranged(df.select(contig, at, F.col(value).cast("double").alias("v")).withColumn("active", F.col("v") > threshold), [contig], [at])
@@ -167,13 +171,40 @@ def active_regions(df: DataFrame, contig: str, at: str, value: str, threshold: f
     long = F.col("active") & (F.col("size") >= longest)
     types = dict(every.dtypes)
 
-    def cut(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(at, kind="stable")
-        last = run["behind"].iloc[-1]
-        sizes_ = cut_places(run["v"].tolist(), None if pd.isna(last) else float(last), least, longest)
-        return run[[contig, "run", at]].assign(piece=[i for i, n in enumerate(sizes_) for _ in range(n)])
-
-    solved = every.filter(long).select(contig, "run", at, "v", "behind").groupBy(contig, "run").applyInPandas(cut, f"{contig} {types[contig]}, run long, {at} {types[at]}, piece long").withColumn("active", F.lit(True))
+    def solved_runs(rows_: pd.DataFrame) -> pd.DataFrame:
+        values, behind = rows_["v"].tolist(), rows_["behind"].tolist()
+        begins = np.flatnonzero(_run_begins(rows_)).tolist()
+        pieces: list[int] = []
+        for begin, end in zip(begins, [*begins[1:], len(values)], strict=True):
+            last = behind[end - 1]
+            for i, n in enumerate(cut_places(values[begin:end], None if pd.isna(last) else float(last), least, longest)):
+                pieces += [i] * n
+        return rows_[[contig, "run", at]].assign(piece=pieces)
+
+    def _run_begins(rows_: pd.DataFrame) -> np.ndarray:
+        codes, runs_ = pd.factorize(rows_[contig], use_na_sentinel=False)[0], rows_["run"].to_numpy()
+        return np.r_[True, (codes[1:] != codes[:-1]) | (runs_[1:] != runs_[:-1])]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole runs of a task, whose rows come in order: the last run of a batch waits for the next one."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            joined = pd.concat([held[-1].iloc[-1:], batch], ignore_index=True) if held else batch.reset_index(drop=True)
+            begins = np.flatnonzero(_run_begins(joined)[1:]) + (0 if held else 1)
+            if not len(begins):
+                held.append(batch)
+                continue
+            last = int(begins[-1])
+            whole = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = [batch.iloc[last:]]
+            yield solved_runs(whole)
+        if held:
+            yield solved_runs(pd.concat(held, ignore_index=True))
+
+    in_order = every.filter(long).select(contig, "run", at, "v", "behind").repartition(contig, "run").sortWithinPartitions(contig, "run", at)
+    solved = in_order.mapInPandas(cut, f"{contig} {types[contig]}, run long, {at} {types[at]}, piece long").withColumn("active", F.lit(True))
     plain = every.filter(~long).select(contig, "run", at, F.floor((F.col("place") - 1) / longest).alias("piece"), "active")
     both = plain.unionByName(solved)
     return both.groupBy(contig, "run", "piece").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.first("active").alias("active"), F.count("*").alias("n")).drop("run", "piece")
