@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,28 +83,39 @@ def in_order(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(check, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Lots of keys whose blocks are one state: a lot costs a call of Python, however many keys it has.
+LOTS = 4096
+
+
 def merged_blocks(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Overlapping or abutting intervals of each key as they arrive in any order: versions (key, start, end, n, version), the last version of a key counting.
 
-    State is the key's disjoint blocks; a version lists all of them, so it is
-    for keys with few open blocks.
+    State is the disjoint blocks of a lot of keys; a version of a key lists all
+    of its blocks, so it is for keys with few open blocks.
     """
 
-    def merge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocks, version = (list(zip(*state.get[:3], strict=True)), state.get[3]) if state.exists else ([], 0)
-        for batch in batches:
-            blocks += [(int(s), int(e), 1) for s, e in zip(batch[start], batch[end], strict=True)]
-        out: list[list[int]] = []
-        for s, e, n in sorted(blocks):
-            if out and s <= out[-1][1] + 1:
-                out[-1][1], out[-1][2] = max(out[-1][1], e), out[-1][2] + n
-            else:
-                out.append([s, e, n])
-        state.update(([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], version + 1))
-        yield pd.DataFrame({"key": [k[0]] * len(out), "start": [x[0] for x in out], "end": [x[1] for x in out], "n": [x[2] for x in out], "version": [version + 1] * len(out)})
+    def merge(lot: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, version = ([np.array(x, np.int64) for x in state.get[:4]], state.get[4]) if state.exists else ([np.zeros(0, np.int64)] * 4, 0)
+        come = [b[[key, start, end]] for b in batches]
+        new = [np.concatenate([b[c].fillna(0).to_numpy(np.int64) for b in come]) if come else np.zeros(0, np.int64) for c in (key, start, end)]
+        keys, starts, ends, counts = (np.concatenate(x) for x in zip(held, [*new, np.ones(len(new[0]), np.int64)], strict=True))
+        order = np.lexsort((ends, starts, keys))
+        keys, starts, ends, counts = keys[order], starts[order], ends[order], counts[order]
+        if len(keys):
+            # keys are laid end to end, so that one running maximum tells how far each one's blocks reach
+            fresh = np.r_[True, keys[1:] != keys[:-1]]
+            shift = (np.cumsum(fresh) - 1) * (int(ends.max()) - int(starts.min()) + 2)
+            reach = np.maximum.accumulate(ends + shift)
+            heads = np.flatnonzero(fresh | (starts + shift > np.r_[0, reach[:-1]] + 1))
+            keys, starts, ends, counts = keys[heads], starts[heads], np.maximum.reduceat(ends, heads), np.add.reduceat(counts, heads)
+        state.update((keys.tolist(), starts.tolist(), ends.tolist(), counts.tolist(), version + 1))
+        told = np.isin(keys, new[0])  # a version of the keys that came
+        out = pd.DataFrame({"key": keys[told], "start": starts[told], "end": ends[told], "n": counts[told], "version": version + 1})
+        yield out.assign(key=pd.Series([None] * len(out), dtype="Int64")) if lot[0] < 0 else out
 
     rows = intervals.select(F.col(key).cast("long").alias(key), F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
-    return rows.groupBy(key).applyInPandasWithState(merge, "key long, start long, end long, n long, version long", "starts array<long>, ends array<long>, counts array<long>, version long", "update", GroupStateTimeout.NoTimeout)
+    lots = rows.withColumn("lot", F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(LOTS).cast("long"))))
+    return lots.groupBy("lot").applyInPandasWithState(merge, "key long, start long, end long, n long, version long", "keys array<long>, starts array<long>, ends array<long>, counts array<long>, version long", "update", GroupStateTimeout.NoTimeout)
 
 
 def reservoirs(events: DataFrame, key: str, item: str, n: int) -> DataFrame:
