@@ -470,25 +470,52 @@ def allele_count_posterior(likelihoods_: np.ndarray, log10_prior: np.ndarray) ->
     return p / p.sum()
 
 
+def allele_count_posteriors(likelihoods_: np.ndarray, log10_prior: np.ndarray) -> np.ndarray:
+    """allele_count_posterior() of many sites with equally many samples. likelihoods_: log10, by site, sample and genotype."""
+    g = 10.0 ** (likelihoods_ - likelihoods_.max(2, keepdims=True))
+    z = np.ones((len(g), 1))
+    for j in range(1, g.shape[1] + 1):
+        k = np.arange(2 * j + 1)
+        at = lambda i: np.pad(z, ((0, 0), (i, 2 - i)))  # noqa: E731, B023
+        z = ((2 * j - k) * (2 * j - k - 1) * at(0) * g[:, j - 1, :1] + 2 * k * (2 * j - k) * at(1) * g[:, j - 1, 1:2] + k * (k - 1) * at(2) * g[:, j - 1, 2:]) / (2 * j * (2 * j - 1))
+        z /= z.max(1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        log = np.log10(z) + log10_prior[: z.shape[1]]
+    p = 10.0 ** (log - log.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+#: Genotype counts of sites that are solved at once.
+SITE_CELLS = 1_000_000
+
+
 def allele_counts(df: DataFrame, key: str, likelihoods_: str, theta: float = 1e-3) -> DataFrame:
     """key, ac (the most probable count of alternate alleles), qual (Phred of no alternate allele), from each row's genotype likelihoods (log10, an array for each sample).
 
-    The prior of a count k > 0 is theta / k. Samples without likelihoods don't count.
+    The prior of a count k > 0 is theta / k. Samples without likelihoods don't
+    count. Sites with equally many samples are solved together.
     """
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ac, qual = [], []
-            for row in batch[likelihoods_]:
-                x = np.array([list(s) for s in (row if row is not None else []) if s is not None and len(s) == 3], float).reshape(-1, 3)
-                prior = np.array([0.0] + [theta / k for k in range(1, 2 * len(x) + 1)])
+            sites, ac, qual = batch.column(1), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            samples, own = sites.flatten(), pc.list_parent_indices(sites).to_numpy(zero_copy_only=False)
+            good = pc.equal(pc.fill_null(pc.list_value_length(samples), 0), 3)
+            x = samples.filter(good).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 3)
+            sizes = np.bincount(own[good.to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+            begins = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                prior = np.array([0.0] + [theta / k for k in range(1, 2 * n + 1)])
                 prior[0] = max(1 - prior.sum(), 1e-300)
-                p = allele_count_posterior(x, np.log10(prior)) if len(x) else np.array([1.0])
-                ac.append(int(p.argmax()))
-                qual.append(float(-10 * np.log10(max(p[0], 1e-300))))
-            yield pd.DataFrame({key: batch[key], "ac": ac, "qual": qual})
+                rows = np.flatnonzero(sizes == n)
+                for some in np.array_split(rows, max(1, len(rows) * (2 * n + 1) // SITE_CELLS)):
+                    p = allele_count_posteriors(x[begins[some][:, None] + np.arange(n)], np.log10(prior))
+                    ac[some], qual[some] = p.argmax(1), -10 * np.log10(np.maximum(p[:, 0], 1e-300))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ac), pa.array(qual)], names=[key, "ac", "qual"])
 
-    return df.select(key, likelihoods_).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, ac long, qual double")
+    return df.select(key, likelihoods_).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, ac long, qual double")
 
 
 #: Distinct rows of features, with how often each occurs, that the driver fits itself; more are fitted by tasks.
