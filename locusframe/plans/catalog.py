@@ -324,7 +324,7 @@ def kmer_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with t as (select doc_id, length(t) n, {kmers_sql(3)} k from (select doc_id, {LETTERS} t from documents)), c as (select doc_id, n, k, count(*) c from t group by all) select d.doc_id, round(coalesce(case when max(c.n) > 3 then sum(c * (c - 1) / 2) / (max(c.n) - 3) end, 0), 6) score from documents d left join c using (doc_id) group by d.doc_id")
 def dust_low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", letters().alias("s")).select("doc_id", F.round(S.dust(F.col("s")), 6).alias("score"))
+    return A.dust_scores(table(spark, sf_dir, "documents"), "doc_id", letters()).withColumn("score", F.round("score", 6))
 
 
 @query("select doc_id, round((length(text) - length(translate(text, 'aeiou', ''))) / greatest(length(text), 1), 9) share from documents")
